@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartomill import runtime
-from cartomill.llm import length_buckets, streaming_bpe
+from cartomill.llm import length_buckets, plain_text, streaming_bpe
 from cartomill.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,18 @@ def query(name: str):
     return keep
 
 
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return plain_text.found(table(spark, d, "city_summary"), table(spark, d, "city_area"))
+
+
+@query("p5_plain")
+def p5_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Every name with its plain form."""
+    names = plain_text.fields(table(spark, d, "city_summary"), table(spark, d, "city_area"))
+    return plain_text.rewrite(names, ["record_kind", "record_key", "field_name"], "text")
+
+
 @query("p6_ids")
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return streaming_bpe.encode(table(spark, d, "documents"), "doc_id", "text")
