@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartomill import runtime
-from cartomill.llm import length_buckets, plain_text, streaming_bpe
+from cartomill.llm import language, length_buckets, plain_text, streaming_bpe
 from cartomill.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(table(spark, d, "documents"), table(spark, d, "lang_sample"))
+
+
+@query("p8_segments")
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", language.named_language(F.col("lang")).alias("label"))
+    return language.segments(docs, table(spark, d, "lang_sample"), label="label").drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
