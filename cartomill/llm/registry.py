@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartomill import runtime
-from cartomill.llm import language, length_buckets, plain_text, streaming_bpe
+from cartomill.llm import entity_match, language, length_buckets, plain_text, streaming_bpe
 from cartomill.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,20 @@ def query(name: str):
     return keep
 
 
+def _sources(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("city_summary", "boundary_candidate", "city_area", "country_info")]
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return entity_match.found(*_sources(spark, d))
+
+
+@query("p1_confidence")
+def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return entity_match.match(*_sources(spark, d)).drop("km")
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return plain_text.found(table(spark, d, "city_summary"), table(spark, d, "city_area"))
