@@ -55,7 +55,7 @@ def _fields(feed: str, text: Column) -> Column:
 
 
 def classify(raw: DataFrame, countries: DataFrame, feed_col: str = "feed", record_col: str = "record") -> DataFrame:
-    """All records with ``fields``, ``reason`` (null: loads), ``is_empty`` and ``corrupt``.
+    """record_no, feed, record of all records with ``fields``, ``reason`` (null: loads), ``is_empty`` and ``corrupt``.
 
     Empty and null records have ``is_empty`` and no reason. A record of an unknown
     or null feed has the reason ``feed``. Repeated records are kept. A country code
@@ -65,8 +65,9 @@ def classify(raw: DataFrame, countries: DataFrame, feed_col: str = "feed", recor
     if codes.limit(CODES_LIMIT + 1).count() <= CODES_LIMIT:
         codes = F.broadcast(codes)
     text = body(F.col("_record"))
-    df = raw.withColumn("_record", F.col(record_col)).withColumn("_text", text)
-    feed = F.col(feed_col)
+    # only these columns go on, so that no other can clash
+    df = raw.select("record_no", F.col(feed_col).alias("feed"), F.col(record_col).alias("record")).withColumn("_record", F.col("record")).withColumn("_text", text)
+    feed = F.col("feed")
     by_feed = lambda make: reduce(lambda acc, f: acc.when(feed == f, make(f)), list(FEEDS)[1:], F.when(feed == list(FEEDS)[0], make(list(FEEDS)[0])))
 
     def lenient(name: str) -> Column:

@@ -85,17 +85,29 @@ def promote(staged: dict[str, str]) -> None:
             shutil.rmtree(kept, ignore_errors=True)
 
 
-def checksum(df: DataFrame, *order: str, parts: int = 4096) -> DataFrame:
-    """One SHA-256 of all rows in order, as a digest of digests.
+def checksum(df: DataFrame, *order: str, rows_per_digest: int = 50_000, fan: int = 4096) -> DataFrame:
+    """Rows and one SHA-256 of all rows in order, as a tree of digests.
 
-    Rows are hashed into buckets of their keys, each bucket's rows in order, the bucket
-    digests in order: no task holds more than a bucket and the last one 4096 digests.
+    Rows are hashed into buckets of their keys by how many there are, each bucket's rows
+    in order; digests are then joined by at most ``fan`` at a time. No task holds more
+    than a bucket or ``fan`` digests. An empty table has 0 rows and the digest of nothing.
     """
-    keyed = df.select(F.pmod(F.xxhash64(*order), F.lit(parts)).alias("_b"), F.struct(*order).alias("_o"), canonical_json(df).alias("_j"))
-    buckets = keyed.groupBy("_b").agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.sha2("_j", 256).alias("h")))), lambda s: s["h"]), "\n"), 256).alias("d"), F.count("*").alias("n")
+    total = df.count()
+    parts = max(1, -(-total // rows_per_digest))
+    row = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.sha2(canonical_json(df), 256).alias("h"))
+    level = df.select(F.pmod(F.xxhash64(*order), F.lit(parts)).alias("b"), row.alias("r")).groupBy("b").agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda s: s["h"]), "\n"), 256).alias("h")
     )
-    return buckets.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "d"))), lambda s: s["d"]), "\n"), 256).alias("checksum"))
+    while True:
+        up = F.floor(F.col("b") / fan).alias("b") if parts > fan else F.lit(0).cast("bigint").alias("b")
+        level = level.select(up, F.struct("b", "h").alias("r")).groupBy("b").agg(
+            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda s: s["h"]), "\n"), 256).alias("h")
+        )
+        if parts <= fan:
+            break
+        parts = -(-parts // fan)
+    digest = F.coalesce(F.max("h"), F.sha2(F.lit(""), 256))
+    return level.agg(digest.alias("checksum")).select(F.lit(total).cast("bigint").alias("rows"), "checksum")
 
 
 def backup(visits: DataFrame, title: str, exported_at: str) -> DataFrame:

@@ -31,7 +31,7 @@ def upsert_stream(stream: DataFrame, target: str, keys: list[str], stamp: str, c
 def _version(spark: SparkSession, target: str, number: int, schema) -> DataFrame:
     if number < 0:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{target}/version={number}")
+    return spark.read.schema(schema).parquet(f"{target}/version={number}").select(*schema.names)
 
 
 def latest(spark: SparkSession, target: str, schema) -> DataFrame:
@@ -41,7 +41,7 @@ def latest(spark: SparkSession, target: str, schema) -> DataFrame:
     if not fs.exists(path):
         return spark.createDataFrame([], schema)
     versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
-    return spark.read.schema(schema).parquet(f"{target}/version={max(versions)}")
+    return spark.read.schema(schema).parquet(f"{target}/version={max(versions)}").select(*schema.names)
 
 
 def windowed_counts(stream: DataFrame, stamp: str, late: str, width: str, *keys: str) -> DataFrame:
