@@ -291,7 +291,8 @@ def segments(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str
                 all_langs = sorted({langs[s[0]] for s in segs})
                 for no, (lang, c, i, j) in enumerate(segs):
                     out.append((k, own_label, no, langs[lang], c, " ".join(flat[at][i : j + 1]), langs[main], sure, all_langs))
-            yield pd.DataFrame(out, columns=columns)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     return prepared.mapInPandas(run, SEGMENTS)
 

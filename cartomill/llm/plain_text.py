@@ -252,7 +252,8 @@ def fit(texts: DataFrame, col: str):
             for t in b["text"]:
                 if t:
                     seen.update(units(t))
-            yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"unit": list(seen), "n": list(seen.values())})
 
     rows = (
         texts.select(F.col(col).alias("text")).where(F.col("text").isNotNull())
