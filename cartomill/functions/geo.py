@@ -255,48 +255,41 @@ def canonical(s: pa.Array) -> pa.Array:
     return _each(one, pa.string(), s)
 
 
-def _orient(a, b, c) -> float:
-    v = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-    return 0.0 if abs(v) < 1e-12 else math.copysign(1.0, v)
+def _side(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """[edges, points]: which side of the edges a-b the points c lie on, 0 on the line."""
+    d, v = b - a, c[None, :, :] - a[:, None, :]
+    cross = d[:, 0, None] * v[:, :, 1] - d[:, 1, None] * v[:, :, 0]
+    return np.where(np.abs(cross) < 1e-12, 0.0, np.sign(cross))
+
+
+def in_ring(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """G11 for many points: 1 inside, 0 on the ring, -1 outside."""
+    a, b = ring[:-1], ring[1:]
+    low, high = np.minimum(a, b)[:, None, :] - 1e-12, np.maximum(a, b)[:, None, :] + 1e-12
+    p = points[None, :, :]
+    on = ((_side(a, b, points) == 0) & (low <= p).all(axis=2) & (p <= high).all(axis=2)).any(axis=0)
+    meets = (a[:, 1, None] > p[:, :, 1]) != (b[:, 1, None] > p[:, :, 1])
+    rise = np.where(b[:, 1] == a[:, 1], 1.0, b[:, 1] - a[:, 1])[:, None]
+    x = a[:, 0, None] + (p[:, :, 1] - a[:, 1, None]) * (b[:, 0] - a[:, 0])[:, None] / rise
+    odd = (meets & (p[:, :, 0] < x)).sum(axis=0) % 2 == 1
+    return np.where(on, 0, np.where(odd, 1, -1))
+
+
+def in_polygon(points: np.ndarray, polygon: list[np.ndarray]) -> np.ndarray:
+    """1 within the outer ring and outside all holes, 0 on a ring, else -1."""
+    at = in_ring(points, polygon[0])
+    for hole in polygon[1:]:
+        h = in_ring(points, hole)
+        at = np.where(at == 1, np.where(h == 0, 0, -h), at)
+    return at
 
 
-def point_in_ring(p, ring) -> int:
-    """1 inside, 0 on the ring, -1 outside."""
-    inside = False
-    for a, b in zip(ring[:-1], ring[1:]):
-        if _orient(a, b, p) == 0 and min(a[0], b[0]) - 1e-12 <= p[0] <= max(a[0], b[0]) + 1e-12 and min(a[1], b[1]) - 1e-12 <= p[1] <= max(a[1], b[1]) + 1e-12:
-            return 0
-        if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < a[0] + (p[1] - a[1]) * (b[0] - a[0]) / (b[1] - a[1]):
-            inside = not inside
-    return 1 if inside else -1
-
-
-def point_in_polygon(p, polygon) -> int:
-    """Inside the outer ring and in no hole; rings count as on."""
-    at = point_in_ring(p, polygon[0])
-    if at <= 0:
-        return at
-    for hole in polygon[1:]:
-        h = point_in_ring(p, hole)
-        if h >= 0:
-            return 0 if h == 0 else -1
-    return 1
-
-
-def polygons_overlap(one, two) -> bool:
-    """A proper crossing of edges, or a vertex of one strictly inside the other.
-
-    Boxes are compared for all edge pairs at once; only pairs whose boxes meet are tested.
-    """
-    ea, eb = (np.concatenate([np.hstack([r[:-1], r[1:]]) for r in p]) for p in (one, two))
-    lo = np.maximum(np.minimum(ea[:, None, :2], ea[:, None, 2:]), np.minimum(eb[None, :, :2], eb[None, :, 2:]))
-    hi = np.minimum(np.maximum(ea[:, None, :2], ea[:, None, 2:]), np.maximum(eb[None, :, :2], eb[None, :, 2:]))
-    for i, j in zip(*np.nonzero((lo <= hi).all(axis=2))):
-        a, b, c, d = ea[i, :2], ea[i, 2:], eb[j, :2], eb[j, 2:]
-        o = (_orient(a, b, c), _orient(a, b, d), _orient(c, d, a), _orient(c, d, b))
-        if 0 not in o and o[0] != o[1] and o[2] != o[3]:
-            return True
-    return any(point_in_polygon(p, two) == 1 for p in one[0][:-1]) or any(point_in_polygon(p, one) == 1 for p in two[0][:-1])
+def polygons_overlap(one: list[np.ndarray], two: list[np.ndarray]) -> bool:
+    """A proper crossing of edges, or a vertex of one strictly inside the other."""
+    a, b = (np.concatenate([r[:-1] for r in one]), np.concatenate([r[1:] for r in one]))
+    c, d = (np.concatenate([r[:-1] for r in two]), np.concatenate([r[1:] for r in two]))
+    crossing = (_side(a, b, c) * _side(a, b, d) < 0) & ((_side(c, d, a) * _side(c, d, b)).T < 0)
+    return bool(crossing.any() or (in_polygon(one[0][:-1], two) == 1).any() or (in_polygon(two[0][:-1], one) == 1).any())
 
 
 @arrow_udf(BooleanType())

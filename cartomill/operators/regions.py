@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartomill import runtime
 from cartomill.functions import geo
 from cartomill.operators.relational import union_all
 
@@ -23,6 +24,8 @@ def overlap_candidates(areas: DataFrame, key: str = "areaId", geometry: str = "g
     boxed = areas.where(F.col(geometry).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), g.alias("g"))
     b = geo.bounds(F.col("g"))
     boxes = boxed.select("k", *[c.alias(n) for n, c in b.items()]).where("min_x IS NOT NULL AND min_y IS NOT NULL").dropDuplicates(["k"])
+    # boxes are read by several branches below; computed once, they are five columns
+    boxes = runtime.cut(boxes)
     # all boxes begin in -180..180; copies reach what lies a turn away
     turn = F.floor((F.col("min_x") + 180) / 360) * 360
     boxes = boxes.withColumn("_turn", turn).select("k", (F.col("min_x") - F.col("_turn")).alias("min_x"), (F.col("max_x") - F.col("_turn")).alias("max_x"), "min_y", "max_y")
@@ -50,11 +53,12 @@ def overlaps(areas: DataFrame, key: str = "areaId", geometry: str = "geometry")
     """Pairs whose polygons cross or nest; touching and equal ones do not."""
     pairs = overlap_candidates(areas, key, geometry)
     shape = areas.where(F.col(geometry).isNotNull()).select(F.col(key).alias("k"), F.col(geometry).alias("g")).dropDuplicates(["k"])
-    return (
-        pairs.join(shape.select(F.col("k").alias("a"), F.col("g").alias("ga")), "a")
-        .join(shape.select(F.col("k").alias("b"), F.col("g").alias("gb")), "b")
-        .where(geo.overlap("ga", "gb")).select("a", "b")
+    both = pairs.join(shape.select(F.col("k").alias("a"), F.col("g").alias("ga")), "a").join(
+        shape.select(F.col("k").alias("b"), F.col("g").alias("gb")), "b"
     )
+    # the exact test costs far more than its bytes say: keep it on all cores, also where pairs are few
+    n = runtime.parallelism(areas.sparkSession)
+    return both.repartition(n, "a", "b").where(geo.overlap("ga", "gb")).select("a", "b")
 
 
 def unexplained(pairs: DataFrame, exceptions: DataFrame) -> DataFrame:

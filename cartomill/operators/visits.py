@@ -10,18 +10,24 @@ from cartomill.operators.relational import first_by
 NOTE_LIMIT, PAGE = 500, 6
 
 
+#: The continents.
+CONTINENTS = ("AF", "AN", "AS", "EU", "NA", "OC", "SA")
+
+
 def stats(visits: DataFrame) -> DataFrame:
     """One row: cities, countries, continents as a map; the first visit of a city counts.
 
     visits: (cityId, countryCode, continentCode, ordinal). An empty table gives 0, 0 and
-    an empty map; null countries and continents count for nothing.
+    an empty map; null countries and unknown continents count for nothing. One aggregate
+    gives all: a count for each of the seven continents.
     """
     first = first_by(visits, ["cityId"], F.col("ordinal"))
-    by_continent = first.where("continentCode IS NOT NULL").groupBy("continentCode").count()
-    whole = first.agg(F.count("*").alias("city_count"), F.countDistinct("countryCode").alias("country_count"))
-    pairs = by_continent.agg(F.array_sort(F.collect_list(F.struct("continentCode", F.col("count").cast("int")))).alias("p"))
-    return whole.crossJoin(F.broadcast(pairs)).select(  # two rows of one
-        "city_count", "country_count", F.map_from_entries("p").alias("continent_counts")
+    counts = [F.struct(F.lit(c).alias("k"), F.count_if(F.col("continentCode") == c).cast("int").alias("n")) for c in CONTINENTS]
+    whole = first.agg(
+        F.count("*").alias("city_count"), F.countDistinct("countryCode").alias("country_count"), F.array(*counts).alias("p")
+    )
+    return whole.select(
+        "city_count", "country_count", F.map_from_entries(F.filter("p", lambda e: e["n"] > 0)).alias("continent_counts")
     )
 
 

@@ -74,11 +74,11 @@ def d3_d5(spark, d):
     return table(spark, d, "events").withColumn("said", said).select("event_id", "said", F.to_timestamp_ntz(F.substring("said", 1, 23)).alias("instant"), ).where(text.utc_instant(F.col("said")).isNotNull())
 
 
-@query("n1_n9_numbers", f"SELECT id, least(85.0, greatest(-85.0, lat)) AS clamped, (((lon + 180) % 360) + 360) % 360 - 180 AS wrapped, round(lat, 3) AS rounded, isfinite(lat) AS finite, sign(lat)::DOUBLE AS sgn, round(sqrt(lat * lat + lon * lon), 6) AS dist, greatest(0, floor(lat))::BIGINT AS shown FROM {CITY} WHERE {USABLE}")
+@query("n1_n9_numbers", f"SELECT id, least(85.0, greatest(-85.0, lat)) AS clamped, round((((lon + 180) % 360) + 360) % 360 - 180, 6) AS wrapped, round(lat, 3) AS rounded, isfinite(lat) AS finite, sign(lat)::DOUBLE AS sgn, round(sqrt(lat * lat + lon * lon), 6) AS dist, greatest(0, floor(lat))::BIGINT AS shown FROM {CITY} WHERE {USABLE}")
 def n1_n9(spark, d):
     lat, lon = F.col("lat"), F.col("lon")
     return cities(spark, d).where(nearby.usable(lat, lon)).select(
-        "id", F.least(F.lit(85.0), F.greatest(F.lit(-85.0), lat)).alias("clamped"), geo.wrapped(lon).alias("wrapped"), F.round(lat, 3).alias("rounded"),
+        "id", F.least(F.lit(85.0), F.greatest(F.lit(-85.0), lat)).alias("clamped"), F.round(geo.wrapped(lon), 6).alias("wrapped"), F.round(lat, 3).alias("rounded"),
         (~F.isnan(lat) & (F.abs(lat) < F.lit(float("inf")))).alias("finite"), F.signum(lat).alias("sgn"), F.round(F.hypot(lat, lon), 6).alias("dist"),
         F.greatest(F.lit(0), F.floor(lat)).cast("bigint").alias("shown"),
     )
