@@ -42,8 +42,8 @@ def match_rank(text: Column, query: Column) -> Column:
 
 
 def bounded(c: Column, most: int) -> Column:
-    """Trimmed text of 1 to most code points without control characters."""
-    t = F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    """Text of 1 to most code points without control characters, trimmed as JavaScript does (Unicode spaces, line ends and U+FEFF)."""
+    t = F.regexp_replace(c, r"\A[\s\p{Z}\x{feff}]+|[\s\p{Z}\x{feff}]+\z", "")
     return F.when((F.char_length(t) > 0) & (F.char_length(t) <= most) & ~has_control(t), t)
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from cartomill.functions import geo, text
 from cartomill.operators import gazetteer, regions, relational, selector, visits
+from cartomill.plans import function_queries
 from cartomill.sources import readers, writers
 from cartomill.streaming import merge
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQ = lambda x, y, s=1.0: [[[{"x": x, "y": y}, {"x": x + s, "y": y}, {"x": x + s, "y": y + s}, {"x": x, "y": y + s}, {"x": x, "y": y}]]]
 
 
@@ -254,3 +256,20 @@ def test_mapped_status(spark):
     pairs = spark.createDataFrame([("1", "x"), ("2", "y"), ("2", "x"), ("4", "x")], "key_a string, key_b string")
     got = {r.key: (r.status, r.areas) for r in visits.mapped(p, pairs, spark.createDataFrame([("AA",)], "countryCode string")).collect()}
     assert got == {"1": ("resolved", ["x"]), "2": ("ambiguous", ["x", "y"]), "3": ("outside", None), "4": ("country-unavailable", None), "5": ("country-unavailable", None)}
+
+
+def test_bounded_trims_as_javascript_does(spark):
+    space = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2007\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    texts = [space + "北京" + space, "“x” \x85", "x\u2028", "a\u3000b", "😀" * 500, "😀" * 501, "é" * 500 + space, "\u200bx", "\u2000" * 600, "a\x7fb", ""]
+
+    def kept(t):
+        t = t.strip(space)
+        return t if 1 <= len(t) <= 500 and not any(ord(c) < 32 or ord(c) == 127 for c in t) else None
+
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", text.bounded(F.col("t"), 500).alias("kept"))
+    assert {r.n: r.kept for r in df.collect()} == {n: kept(t) for n, t in enumerate(texts)}
+
+
+def test_every_document_is_bounded(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert function_queries.x5_x7_all(spark, DATA).count() == docs.count()
