@@ -97,10 +97,18 @@ def unwrapped(ring: Column) -> Column:
 
 
 def ring_area(ring: Column) -> Column:
-    """Signed area in square degrees, anticlockwise positive; R9 pairs neighbours."""
-    n = F.size(ring)
-    cross = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v) / 2)
+    """Signed area in square degrees, anticlockwise positive; each longitude within half a turn of the one before."""
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("x"), none.alias("y"), F.lit(0.0).alias("twice"))
+
+    def step(acc, p):
+        ahead = p["x"] - acc["x"]
+        turns = F.when(ahead > 180, F.ceil((ahead - 180) / 360)).when(ahead < -180, -F.ceil((-ahead - 180) / 360)).otherwise(F.lit(0))
+        x = F.when(acc["x"].isNull(), p["x"]).otherwise(p["x"] - 360 * turns)
+        cross = F.when(acc["x"].isNull(), F.lit(0.0)).otherwise(acc["x"] * p["y"] - x * acc["y"])
+        return F.struct(x.alias("x"), p["y"].alias("y"), (acc["twice"] + cross).alias("twice"))
+
+    return F.aggregate(ring, start, step, lambda acc: acc["twice"] / 2)
 
 
 def wound(geometry: Column) -> Column:

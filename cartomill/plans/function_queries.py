@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartomill.functions import geo, text
 from cartomill.operators import nearby, regions
-from cartomill.plans.base import AREA, CITY, USABLE, areas, candidates, cities, query
+from cartomill.plans.base import AREA, CAND, CITY, USABLE, areas, candidates, cities, query
 from cartomill.runtime import table
 
 
@@ -185,6 +185,21 @@ def a20(spark, d):
     return c.select("id", F.round(geo.ring_area(ring), 9).alias("area"))
 
 
+#: Points of rings (keys, no, p) as rings of (keys, no, p, x): each x within half a turn of the one before.
+_UNWRAPPED = "(SELECT *, p.x + 360 * coalesce(sum(turn) OVER (PARTITION BY {keys} ORDER BY no), 0) AS x FROM (SELECT *, CASE WHEN p.x - lag(p.x) OVER w > 180 THEN -1 WHEN p.x - lag(p.x) OVER w < -180 THEN 1 ELSE 0 END AS turn FROM {points} WINDOW w AS (PARTITION BY {keys} ORDER BY no)))"
+_AREAS = "(SELECT {keys}, coalesce(sum(x * y2 - x2 * y), 0) / 2 AS area FROM (SELECT {keys}, x, p.y AS y, lead(x) OVER w AS x2, lead(p.y) OVER w AS y2 FROM " + _UNWRAPPED + " WINDOW w AS (PARTITION BY {keys} ORDER BY no)) GROUP BY ALL)"
+_CAND_POINTS = f"(SELECT id, unnest(geometry[1][1]) AS p, unnest(range(1, len(geometry[1][1]) + 1)) AS no FROM {CAND} WHERE geometry IS NOT NULL)"
+_AREA_RINGS = f"(SELECT areaId, polygon, unnest(rings) AS ring, unnest(range(1, len(rings) + 1))::INT AS ring_no FROM (SELECT areaId, unnest(geometry) AS rings, unnest(range(1, len(geometry) + 1))::INT AS polygon FROM {_SHAPES}))"
+_AREA_POINTS = f"(SELECT areaId, polygon, ring_no, unnest(ring) AS p, unnest(range(1, len(ring) + 1)) AS no FROM {_AREA_RINGS})"
+
+
+@query("a20_ring_area_all", "SELECT id, round(area, 6) + 0.0 AS area FROM " + _AREAS.format(keys="id", points=_CAND_POINTS))
+def a20_all(spark, d):
+    """Of every candidate; a20_ring_area leaves out those near the antimeridian, whose longitudes its SQL does not unwrap."""
+    c = candidates(spark, d).where("geometry IS NOT NULL")
+    return c.select("id", (F.round(geo.ring_area(F.col("geometry")[0][0]), 6) + F.lit(0.0)).alias("area"))
+
+
 @query("g6_problems", f"SELECT areaId, CASE WHEN geometry IS NULL THEN 'GEOMETRY_INVALID' WHEN len(list_filter(flatten(geometry), lambda r: len(r) < 4)) > 0 THEN 'RING_TOO_SHORT' WHEN len(list_filter(flatten(geometry), lambda r: r[1].x <> r[-1].x OR r[1].y <> r[-1].y)) > 0 THEN 'RING_NOT_CLOSED' END AS code FROM {AREA}")
 def g6(spark, d):
     return areas(spark, d).select("areaId", geo.problem(F.col("geometry")).alias("code"))
@@ -225,6 +240,18 @@ def g15(spark, d):
     )
 
 
+@query("g15_wound_rings", "SELECT areaId, polygon, ring_no, round(CASE WHEN ring_no = 1 THEN abs(area) ELSE -abs(area) END, 6) + 0.0 AS area, ring[1].x AS first_x, ring[1].y AS first_y, CASE WHEN kept THEN ring[2].x ELSE ring[-2].x END AS second_x, CASE WHEN kept THEN ring[2].y ELSE ring[-2].y END AS second_y FROM (SELECT *, (area > 0) = (ring_no = 1) AS kept FROM " + _AREA_RINGS + " JOIN " + _AREAS.format(keys="areaId, polygon, ring_no", points=_AREA_POINTS) + " USING (areaId, polygon, ring_no))")
+def g15_rings(spark, d):
+    """Signed area and first two points of every ring as wound; g15_winding counts only."""
+    w = areas(spark, d).where("geometry IS NOT NULL").select("areaId", F.posexplode(geo.wound(F.col("geometry"))).alias("polygon", "rings"))
+    r = w.select("areaId", (F.col("polygon") + 1).alias("polygon"), F.posexplode("rings").alias("ring_no", "ring"))
+    at = lambda i, axis: F.col("ring")[i][axis]
+    return r.select(
+        "areaId", "polygon", (F.col("ring_no") + 1).alias("ring_no"), (F.round(geo.ring_area(F.col("ring")), 6) + F.lit(0.0)).alias("area"),
+        at(0, "x").alias("first_x"), at(0, "y").alias("first_y"), at(1, "x").alias("second_x"), at(1, "y").alias("second_y"),
+    )
+
+
 @query("g18_simplified")
 def g18(spark, d):
     s = geo.simplified(0.002)

@@ -273,3 +273,25 @@ def test_bounded_trims_as_javascript_does(spark):
 def test_every_document_is_bounded(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert function_queries.x5_x7_all(spark, DATA).count() == docs.count()
+
+
+def test_rings_across_the_antimeridian_are_wound(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    outer = ring((179, 10), (-179, 10), (-179, 12), (179, 12), (179, 10))
+    hole = ring((179.5, 10.5), (179.5, 11), (-179.5, 11), (-179.5, 10.5), (179.5, 10.5))
+    half = ring((0, 0), (180, 0), (180, 1), (0, 1), (0, 0))
+    df = shapes(spark, [("right", [[outer, hole]]), ("wrong", [[outer[::-1], hole[::-1]]]), ("half", [[half]]), ("empty", [[[]]])])
+    rows = df.select("areaId", geo.ring_area(F.col("geometry")[0][0]).alias("area"), geo.wound(F.col("geometry")).alias("w")).collect()
+    got = {r.areaId: (r.area, [[(p.x, p.y) for p in x] for x in r.w[0]]) for r in rows}
+    wanted = [[(p["x"], p["y"]) for p in x] for x in (outer, hole)]
+    assert got["right"] == (4, wanted) and got["wrong"] == (-4, wanted)
+    assert got["half"][0] == 180 and got["empty"][0] == 0
+
+
+def test_areas_of_every_ring_are_returned(spark):
+    c = spark.read.parquet(f"{DATA}/boundary_candidate.parquet").where("geometry IS NOT NULL").select("id").distinct()
+    assert function_queries.a20_all(spark, DATA).count() == c.count()
+    a = spark.read.parquet(f"{DATA}/city_area.parquet").dropDuplicates(["areaId"]).where("geometry IS NOT NULL")
+    signs = function_queries.g15_rings(spark, DATA).select("ring_no", F.signum("area").alias("sign"))
+    assert signs.count() == a.select(F.sum(F.size(F.flatten("geometry")))).collect()[0][0]
+    assert signs.where((F.col("ring_no") == 1) != (F.col("sign") == 1)).count() == 0
