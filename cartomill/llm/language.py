@@ -7,12 +7,13 @@ is broadcast (``BINS`` rows of two columns a language) and sentences are scored
 batches: the n-grams of many sentences at once gather rows of the matrix, which are
 summed by sentence.
 
-Menus, notices and footers are lines that many pages share: lines are counted over the
-whole corpus (hashes, map-side combined), and those on more than ``SHARED`` of all pages
-are left out unless a page has nothing else. At most lines-per-page / SHARED lines can
-pass, so the broadcast set is bounded whatever the number of pages.
+Menus, notices and footers are lines that many different pages share: lines are counted
+over the whole corpus (hashes, map-side combined); of those on more than ``SHARED`` of
+all pages (at most lines-per-page / SHARED, a bounded set) the pages are counted again
+with all copies of a page as one, and lines that still are on so many are left out unless
+a page has nothing else.
 
-Scale: one shuffle of line hashes and one pass over texts in Arrow batches.
+Scale: one shuffle of line hashes, and two passes over texts in Arrow batches.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from cartomill import runtime
 
 BINS, ORDERS, SMOOTHING = 1 << 15, (2, 3, 4), 0.05
 SHARED = 0.002
+#: Least share of a page's characters, in lines on the same number of pages, that makes these copies of it.
+COPIED = 0.25
 #: Most labelled samples, and most labelled pages with their most characters, the classifier is fitted on.
 FIT_ROWS, FIT_PAGES, FIT_CHARS = 200_000, 3_000, 3_000
 #: Least letters and confidence of a sentence that takes another language than its
@@ -194,18 +197,75 @@ def page(weight: np.ndarray, p: np.ndarray, odd: np.ndarray | None = None) -> tu
     return main, out
 
 
+def copies(count: np.ndarray, size: np.ndarray, own: int) -> int:
+    """Pages that are copies of a page: the most pages that each of its lines with a share of COPIED of its characters is on.
+
+    count, size: pages and characters of its often seen lines; own: characters of its other lines.
+    """
+    at = np.argsort(-count, kind="stable")
+    reached = np.cumsum(size[at]) >= COPIED * (size.sum() + own)
+    return int(count[at][reached.argmax()]) if reached.any() else 1
+
+
 def shared_lines(df: DataFrame, text: str) -> dict[int, float]:
-    """Hashes of lines on more than SHARED of all pages with text, and their share."""
+    """Hashes of lines that different pages share, on more than SHARED of all pages with text, and their share.
+
+    A page counts for one part in its copies, so that all copies together count once
+    even where they differ in some lines. Lines found to be shared say nothing about
+    copies: pages are counted again without them until no line is added.
+    """
     pages = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text).alias("text"))
     total = pages.count()
     if not total:
         return {}
-    lines = pages.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select(
-        F.xxhash64(F.trim("line")).alias("h")
-    )
+    own = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
+    lines = pages.select(F.explode(own).alias("line")).select(F.xxhash64("line").alias("h"), F.length("line").alias("n"))
     # few pages say little: a line must be on three at least
-    often = lines.groupBy("h").count().where(F.col("count") > F.lit(max(SHARED * total, 2.0)))
-    return {r["h"]: r["count"] / total for r in often.collect()}  # bounded: lines a page / SHARED
+    least = max(SHARED * total, 2.0)
+    rows = lines.groupBy("h").agg(F.count("*").alias("count"), F.max("n").alias("n")).where(F.col("count") > F.lit(least)).collect()
+    if not rows:
+        return {}
+    # bounded: lines a page / SHARED
+    ids = {r["h"]: i for i, r in enumerate(rows)}
+    count, size = np.array([r["count"] for r in rows]), np.array([r["n"] for r in rows])
+    runtime.ship_package(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast((ids, count, size))
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = sent.value[0]
+        for b in batches:
+            out = []
+            for hashes, sizes in zip(b["h"], b["n"]):
+                at = [ids.get(h) for h in hashes.tolist()]
+                often = [i for i in at if i is not None]
+                if often:
+                    out.append((often, int(sum(n for i, n in zip(at, sizes.tolist()) if i is None))))
+            if out:
+                yield pd.DataFrame(out, columns=["often", "own"])
+
+    hashed = pages.select(F.transform(own, lambda x: F.xxhash64(x)).alias("h"), F.transform(own, lambda x: F.length(x)).alias("n"))
+    kept = runtime.cut(hashed.mapInPandas(seen, "often array<int>, own bigint"))
+    shared = np.zeros(len(rows), dtype=bool)
+    while True:
+
+        def counted(batches: Iterator[pd.DataFrame], shared: np.ndarray = shared) -> Iterator[pd.DataFrame]:
+            _, count, size = sent.value
+            texts = np.zeros(len(count))
+            for b in batches:
+                for often, own in zip(b["often"], b["own"]):
+                    left = often[~shared[often]]
+                    texts[often] += 1 / copies(count[left], size[left], own)
+            i = np.nonzero(texts)[0]
+            yield pd.DataFrame({"i": i.astype(np.int32), "texts": texts[i]})
+
+        texts = np.zeros(len(rows))
+        for r in kept.mapInPandas(counted, "i int, texts double").groupBy("i").agg(F.sum("texts").alias("texts")).collect():
+            texts[r["i"]] = r["texts"]
+        # sums of parts fall short of whole numbers by their rounding
+        found = shared | (texts > least + 1e-6)
+        if (found == shared).all():
+            return {h: float(texts[i] / total) for h, i in ids.items() if shared[i]}
+        shared = found
 
 
 def fit(samples: list[tuple[str, str]], docs: DataFrame, text: str, label: str | None, often: dict[int, float]) -> Model:

@@ -55,3 +55,33 @@ def test_pages(spark, samples):
     assert segs[(3, 1)].lang == "ru" and segs[(3, 1)].segment_text == RU and segs[(3, 0)].confidence > 0.9
     assert not any(k[0] in (6, 7, 8) for k in segs)
     assert lg.found(df.limit(0), samples).collect() == [] and lg.found(df, samples.limit(0)).collect() == []
+
+
+#: Sentences of one page each, which share a menu, a footer and nothing else.
+PAGES = [
+    "The old mill by the river was sold to a young baker.", "Nobody knows who painted the large map in the station.", "Two ferries leave the northern pier every morning in summer.",
+    "The library keeps letters that sailors wrote to their families.", "A narrow path leads from the church down to the lake.", "Most shops in the centre close early on market days.",
+    "The bridge was closed after the storm damaged one pillar.", "Her grandfather built clocks in a workshop behind the school.",
+]
+MENU, FOOTER = "Home News Weather Contact", "Tous droits réservés à la rédaction de ce journal."
+
+
+def corpus(spark, copies):
+    pages = [*(f"{MENU}\n{PAGES[i]} {PAGES[i - 3]}\n{PAGES[i - 1]} {PAGES[i - 4]}\n{FOOTER}" for i in range(len(PAGES))), *copies]
+    return spark.createDataFrame([(i, t, "en") for i, t in enumerate(pages)], "doc_id bigint, text string, lang string")
+
+
+def test_copies_of_a_page_keep_their_lines(spark, samples):
+    """A third of all pages are one page; equal, or with another line in each, short or the longest."""
+    long = "It was last seen by the harbour master at noon on the day that the ships came in from the sea, it was said on day {}."
+    for changed in ("", "Read {} times.", long):
+        copied = [f"{MENU}\n{EN}\n{RU}\n{changed.format(i)}\n{FOOTER}" for i in range(5)]
+        df = corpus(spark, copied)
+        assert len(lg.shared_lines(df, "text")) == 2
+        assert sorted(map(tuple, lg.found(df, samples).collect())) == [(k, lang) for k in range(8, 13) for lang in ("en", "ru")]
+
+
+def test_copies():
+    many, size = np.array([9, 4, 2]), np.array([10, 30, 20])
+    assert lg.copies(many, size, 40) == 4 and lg.copies(many, size, 1000) == 1 and lg.copies(many, size, 100) == 4 and lg.copies(many[2:], size[2:], 0) == 2
+    assert lg.copies(many[:0], size[:0], 7) == 1
