@@ -129,9 +129,24 @@ def centroid(geometry: Column) -> tuple[Column, Column]:
     return F.when(n > 0, F.round(lon, 6) + F.lit(0.0)), F.round(lat, 6) + F.lit(0.0)
 
 
+def fixed(v: Column, decimals: int) -> Column:
+    """A number of so many decimals, rounded as JavaScript's toFixed: by its exact binary value, half away from zero."""
+    scale = 10**decimals
+    size = F.abs(v)
+    p = size * scale
+    # size is high + low of 26 bits each, so that their products are exact and error is what p was rounded by
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    error = (high * scale - p) + (size - high) * scale
+    over = p - F.floor(p) - 0.5
+    n = F.floor(p) + F.when((over > 0) | ((over == 0) & (error >= 0)), F.lit(1)).otherwise(F.lit(0))
+    digits = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(decimals + 1)), F.lit("0"))
+    out = F.concat(F.when(v < 0, "-").otherwise(""), F.substring(digits, F.lit(1), F.length(digits) - decimals), F.lit("."), F.right(digits, F.lit(decimals)))
+    return F.when(size < 1e9, out).otherwise(F.format_string(f"%.{decimals}f", v))
+
+
 def svg_path(geometry: Column, decimals: int = 3) -> Column:
     """M x y L x y ... Z for every ring."""
-    number = lambda v: F.format_string(f"%.{decimals}f", v)
+    number = lambda v: fixed(v, decimals)
     ring = lambda r: F.concat(F.lit("M"), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", number(p["x"]), number(p["y"]))), "L"), F.lit("Z"))
     return F.array_join(F.transform(F.flatten(geometry), ring), "")
 

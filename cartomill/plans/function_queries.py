@@ -232,6 +232,19 @@ def g14(spark, d):
     return c.select("id", geo.svg_path(F.col("geometry")).alias("path"))
 
 
+#: printf rounds by the exact value; only sixteenths lie half way between two outputs, and go away from zero.
+_FIXED = "printf('%.3f', CASE WHEN {v} * 16 = floor({v} * 16) AND ({v} * 16)::BIGINT % 2 <> 0 THEN {v} + sign({v}) * 0.0001 ELSE {v} + 0.0 END)"
+_PATH = f"array_to_string(list_transform(flatten(geometry), lambda r: 'M' || array_to_string(list_transform(r, lambda p: {_FIXED.format(v='p.x')} || ' ' || {_FIXED.format(v='p.y')}), 'L') || 'Z'), '')"
+
+
+@query("g14_svg_path_all", f"SELECT 'candidate' AS kind, id AS key, {_PATH} AS path FROM {CAND} WHERE geometry IS NOT NULL UNION ALL SELECT 'area', areaId, {_PATH} FROM {_SHAPES}")
+def g14_all(spark, d):
+    """Of every candidate and area, with all polygons, holes and half-way values; g14_svg_path leaves those out."""
+    path = geo.svg_path(F.col("geometry")).alias("path")
+    c, a = candidates(spark, d).where("geometry IS NOT NULL"), areas(spark, d).where("geometry IS NOT NULL")
+    return c.select(F.lit("candidate").alias("kind"), F.col("id").alias("key"), path).unionByName(a.select(F.lit("area").alias("kind"), F.col("areaId").alias("key"), path))
+
+
 @query("g15_winding", f"SELECT areaId, len(flatten(flatten(geometry)))::INT AS vertices, len(flatten(geometry))::INT AS rings FROM {_SHAPES}")
 def g15(spark, d):
     w = geo.wound(F.col("geometry"))

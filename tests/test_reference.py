@@ -1,8 +1,10 @@
 """Facts about the reference's operators on small literal inputs."""
 
+import decimal
 import json
 import math
 import os
+import random
 
 import numpy as np
 import pytest
@@ -295,3 +297,31 @@ def test_areas_of_every_ring_are_returned(spark):
     signs = function_queries.g15_rings(spark, DATA).select("ring_no", F.signum("area").alias("sign"))
     assert signs.count() == a.select(F.sum(F.size(F.flatten("geometry")))).collect()[0][0]
     assert signs.where((F.col("ring_no") == 1) != (F.col("sign") == 1)).count() == 0
+
+
+def test_path_numbers_are_rounded_by_their_exact_value(spark):
+    draw = random.Random(1)
+    values = [0.0, -0.0, -0.0001, 0.0005, 1.0005, -1.0005, 2.0625, -2.0625, 0.1875, 179.9995, 179.9994999, 0.0004999, 1e-300, 5e8 + 0.0625, 999.9995]
+    values += [round(draw.uniform(-180, 180), 3) + draw.choice((0.0005, -0.0005)) for _ in range(2000)] + [draw.uniform(-180, 180) for _ in range(500)]
+    values += [math.nextafter(k / 16, d) for k in range(-99, 99) for d in (-1e3, 1e3)]
+
+    def brute(v):
+        n = abs(decimal.Decimal(v)).quantize(decimal.Decimal("0.001"), decimal.ROUND_HALF_UP)
+        return ("-" if v < 0 else "") + str(n)
+
+    got = spark.createDataFrame(list(enumerate(values)), "n int, v double").select("n", geo.fixed(F.col("v"), 3).alias("f")).collect()
+    assert {r.n: r.f for r in got} == {n: brute(v) for n, v in enumerate(values)}
+
+
+def test_path_of_several_polygons_and_holes(spark):
+    rings = [SQ(0.0, 0.0, 3.0)[0][0], SQ(1.0, 1.0)[0][0], SQ(9.0, -0.0005)[0][0]]
+    r = shapes(spark, [("a", [rings[:2], rings[2:]])]).select(geo.svg_path(F.col("geometry")).alias("p")).collect()[0].p
+    assert r == (
+        "M0.000 0.000L3.000 0.000L3.000 3.000L0.000 3.000L0.000 0.000ZM1.000 1.000L2.000 1.000L2.000 2.000L1.000 2.000L1.000 1.000Z"
+        "M9.000 -0.001L10.000 -0.001L10.000 1.000L9.000 1.000L9.000 -0.001Z"
+    )
+
+
+def test_every_geometry_has_a_path(spark):
+    wanted = sum(spark.read.parquet(f"{DATA}/{t}.parquet").where("geometry IS NOT NULL").select(k).distinct().count() for t, k in (("boundary_candidate", "id"), ("city_area", "areaId")))
+    assert function_queries.g14_all(spark, DATA).where("path LIKE 'M%Z'").count() == wanted
