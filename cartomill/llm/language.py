@@ -37,6 +37,8 @@ FIT_ROWS, FIT_PAGES, FIT_CHARS = 200_000, 3_000, 3_000
 #: Least letters and confidence of a sentence that takes another language than its
 #: page's, and least letters of all such sentences for the language to count.
 SURE_LETTERS, SURE, LEAST_LETTERS = 12, 0.98, 40
+#: Confidence at which one sentence is enough whatever its letters (SURE_LETTERS at least).
+CERTAIN = 0.99999
 #: Below this confidence of a page's language its label stands.
 UNSURE = 0.7
 #: Charsets pages are sent in, and charsets they are wrongly read in.
@@ -173,7 +175,8 @@ def page(weight: np.ndarray, p: np.ndarray, odd: np.ndarray | None = None) -> tu
 
     weight: letters of the page's sentences; p: their probabilities. The page's language
     has the greatest sum of letters times probability. A sentence takes another language
-    only if it is long and sure enough, and the language only if it has enough of them;
+    only if it is long and sure enough, and the language only if it has enough of them
+    or one that is all but certain;
     neighbours of one language form a segment. On a page that a false charset spoilt for
     the most part, only plain sentences bring in a further language.
     """
@@ -187,7 +190,8 @@ def page(weight: np.ndarray, p: np.ndarray, odd: np.ndarray | None = None) -> tu
             sure &= ~odd
         for lang in np.unique(best[sure]):
             own = sure & (best == lang)
-            if weight[own].sum() >= LEAST_LETTERS:
+            # one sentence that is all but certain is enough
+            if weight[own].sum() >= LEAST_LETTERS or (p[own, lang] >= CERTAIN).any():
                 label[own] = lang
     starts = np.concatenate([[0], np.nonzero(np.diff(label))[0] + 1, [len(label)]])
     out = []

@@ -85,3 +85,8 @@ def test_copies():
     many, size = np.array([9, 4, 2]), np.array([10, 30, 20])
     assert lg.copies(many, size, 40) == 4 and lg.copies(many, size, 1000) == 1 and lg.copies(many, size, 100) == 4 and lg.copies(many[2:], size[2:], 0) == 2
     assert lg.copies(many[:0], size[:0], 7) == 1
+
+
+def test_one_certain_sentence_is_enough(spark, samples):
+    df = spark.createDataFrame([(1, f"{EN} Sous la pluie tout change.", "en")], "doc_id bigint, text string, lang string")
+    assert sorted(map(tuple, lg.found(df, samples).collect())) == [(1, "en"), (1, "fr")]
