@@ -265,6 +265,17 @@ def g15_rings(spark, d):
     )
 
 
+@query("r8_rotated_rings_all", f"SELECT areaId, polygon, ring_no, list_position(xs, list_min(xs)) AS at, array_to_string(list_transform(list_concat(xs[list_position(xs, list_min(xs)):], xs[:list_position(xs, list_min(xs)) - 1]), lambda x: printf('%.6f', x)), ' ') AS rotated FROM (SELECT areaId, polygon, ring_no, list_transform(ring[:-2], lambda p: p.x) xs FROM {_AREA_RINGS})")
+def r8_all(spark, d):
+    """Of every ring of every polygon; r8_rotated_rings takes the first."""
+    a = areas(spark, d).where("geometry IS NOT NULL").select("areaId", F.posexplode("geometry").alias("polygon", "rings"))
+    r = a.select("areaId", (F.col("polygon") + 1).alias("polygon"), F.posexplode("rings").alias("ring_no", "ring"))
+    xs = F.transform(F.slice("ring", F.lit(1), F.size("ring") - 1), lambda p: p["x"])
+    r = r.select("areaId", "polygon", (F.col("ring_no") + 1).alias("ring_no"), xs.alias("xs")).withColumn("at", F.array_position("xs", F.array_min("xs")))
+    turned = F.concat(F.slice("xs", F.col("at"), F.size("xs")), F.slice("xs", F.lit(1), F.col("at") - 1))
+    return r.select("areaId", "polygon", "ring_no", "at", F.array_join(F.transform(turned, lambda x: F.format_string("%.6f", x)), " ").alias("rotated"))
+
+
 @query("g18_simplified")
 def g18(spark, d):
     s = geo.simplified(0.002)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cartomill.functions import text
 from cartomill.functions.geo import GEOM
-from cartomill.plans.base import AREA, areas, query
+from cartomill.plans.base import AREA, CITY, areas, cities, query
 from cartomill.runtime import table
 from cartomill.sources import readers, writers
 
@@ -52,6 +53,28 @@ def s4_s5(spark, d):
     return readers.cities_tsv(spark, at).select("id", "name", "countryCode", "population")
 
 
+@query("s4_cities_tsv_all", "SELECT try_cast(f[1] AS bigint) AS id, f[2] AS name, f[9] AS countryCode, try_cast(nullif(f[15], '') AS bigint) AS population FROM (SELECT string_split(record, chr(9)) f FROM city_raw WHERE feed = 'cities500') WHERE len(f) = 19 AND regexp_full_match(f[1], '[0-9]{1,38}') AND try_cast(f[1] AS hugeint) <= 9007199254740991 AND (f[15] = '' OR regexp_full_match(f[15], '[0-9]{1,38}') AND try_cast(f[15] AS hugeint) <= 9007199254740991)")
+def s4_all(spark, d):
+    """With every id and population that is a whole number a double holds; s4_s5_cities_tsv takes 15 digits."""
+    at = writers.scratch(spark)
+    f = F.split("record", "\t", -1)
+    field = lambda i: F.get(f, F.lit(i))
+    good = table(spark, d, "city_raw").where("feed = 'cities500'").where((F.size(f) == 19) & text.is_whole(field(0)) & ((field(14) == "") | text.is_whole(field(14))))
+    good.select(F.regexp_replace("record", "[\r\n]", "").alias("value")).write.mode("overwrite").text(at)
+    return readers.cities_tsv(spark, at).select("id", "name", "countryCode", "population")
+
+
+@query("s5_alternate_names", f"SELECT id AS cityId, 'zh' AS language, zhName AS name, id % 2 = 1 AS is_preferred FROM {CITY} WHERE zhName IS NOT NULL")
+def s5(spark, d):
+    """A file of Chinese and other names, written and read again."""
+    at = writers.scratch(spark)
+    line = lambda lang, name: F.concat_ws("\t", F.lit("1"), F.col("id").cast("string"), F.lit(lang), F.regexp_replace(name, "[\t\r\n]", " "), F.when(F.col("id") % 2 == 1, "1").otherwise(""), F.lit(""), F.lit(""), F.lit(""))
+    c = cities(spark, d)
+    lines = c.where("zhName IS NOT NULL").select(line("zh", F.col("zhName")).alias("value")).unionByName(c.where("name IS NOT NULL").select(line("en", F.col("name")).alias("value")))
+    lines.write.mode("overwrite").text(at)
+    return readers.alternate_names(spark, at).select("cityId", "language", "name", "is_preferred")
+
+
 @query("s6_country_info", "SELECT countryCode, continentCode FROM country_info")
 def s6(spark, d):
     at = writers.scratch(spark)

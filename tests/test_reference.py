@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cartomill.functions import geo, text
 from cartomill.operators import gazetteer, regions, relational, selector, visits
-from cartomill.plans import function_queries
+from cartomill.plans import function_queries, io_queries
 from cartomill.sources import readers, writers
 from cartomill.streaming import merge
 
@@ -325,3 +325,20 @@ def test_path_of_several_polygons_and_holes(spark):
 def test_every_geometry_has_a_path(spark):
     wanted = sum(spark.read.parquet(f"{DATA}/{t}.parquet").where("geometry IS NOT NULL").select(k).distinct().count() for t, k in (("boundary_candidate", "id"), ("city_area", "areaId")))
     assert function_queries.g14_all(spark, DATA).where("path LIKE 'M%Z'").count() == wanted
+
+
+def test_every_ring_is_rotated(spark, tmp_path):
+    a, b, c = (SQ(x, 0.0)[0][0][1:] + SQ(x, 0.0)[0][0][1:2] for x in (0.0, 3.0, 9.0))
+    shapes(spark, [("a", [[a, b], [c]])]).write.parquet(str(tmp_path / "city_area.parquet"))
+    rows = function_queries.r8_all(spark, str(tmp_path)).collect()
+    assert sorted((r.polygon, r.ring_no, r.at, r.rotated.split()[0]) for r in rows) == [(1, 1, 3, "0.000000"), (1, 2, 3, "3.000000"), (2, 1, 3, "9.000000")]
+
+
+def test_readers_get_all_valid_ids_and_alternate_names(spark, tmp_path):
+    record = lambda k, people="7": "\t".join([k, "n", "n", "", "1", "2", "", "", "DE", "", "", "", "", "", people, "", "", "", ""])
+    ids = ["1", "999999999999999", "9007199254740991", "9007199254740992", "0" * 20 + "5", "x", ""]
+    raw = [(i, "cities500", record(k)) for i, k in enumerate(ids)] + [(90, "cities500", record("8", "")), (91, "cities500", record("9", "-1")), (92, "cities500", "1\t2")]
+    spark.createDataFrame(raw, "record_no bigint, feed string, record string").write.parquet(str(tmp_path / "city_raw.parquet"))
+    assert sorted(r.id for r in io_queries.s4_all(spark, str(tmp_path)).collect()) == [1, 5, 8, 999999999999999, 9007199254740991]
+    city(spark, CITIES[:2]).write.parquet(str(tmp_path / "city_summary.parquet"))
+    assert [tuple(r) for r in io_queries.s5(spark, str(tmp_path)).collect()] == [(1, "zh", "慕尼黑", True)]
