@@ -22,7 +22,7 @@ UNION ALL
 SELECT r, 'package', k, c FROM db JOIN prel USING (p) WHERE p > 1
 """
 
-ORACLES["p4_found"] = r"""
+_RECORDS = r"""
 WITH t AS (SELECT record_no, feed, CASE WHEN right(record, 1) = chr(13) THEN left(record, len(record) - 1) ELSE record END x FROM city_raw),
 u AS (SELECT *, regexp_replace(x, '"([^"]|"")*"', '', 'g') bare,
         feed = 'compact' AND NOT regexp_full_match(x, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*', 's') AS q
@@ -31,9 +31,16 @@ v AS (SELECT *, CASE feed WHEN 'cities500' THEN len(string_split(x, chr(9))) = 1
         CASE feed WHEN 'cities500' THEN string_split(x, chr(9)) ELSE list_transform(regexp_extract_all(',' || x, ',("([^"]|"")*"|[^,]*)', 1), lambda f: CASE WHEN f[1] = '"' AND f[-1] = '"' THEN replace(f[2:-2], '""', '"') ELSE f END) END AS f
       FROM u),
 w AS (SELECT *, f[1] id, CASE feed WHEN 'cities500' THEN f[9] ELSE f[5] END cc, coalesce(CASE feed WHEN 'cities500' THEN f[15] ELSE f[11] END, '') pop FROM v),
-z AS (SELECT record_no, CASE WHEN q THEN 'quoting' WHEN NOT right_count THEN 'column_count'
+z AS (SELECT *, CASE WHEN q THEN 'quoting' WHEN NOT right_count THEN 'column_count'
         WHEN NOT (regexp_full_match(id, '[0-9]+') AND coalesce(try_cast(id AS hugeint) <= 9007199254740991, false)) THEN 'id'
         WHEN cc NOT IN (SELECT countryCode FROM country_info) THEN 'country_code'
         WHEN pop <> '' AND NOT (regexp_full_match(pop, '[0-9]+') AND coalesce(try_cast(pop AS hugeint) <= 9007199254740991, false)) THEN 'population' END reason FROM w)
-SELECT record_no, reason FROM z WHERE reason IS NOT NULL
+"""
+ORACLES["p4_found"] = _RECORDS + "SELECT record_no, reason FROM z WHERE reason IS NOT NULL"
+ORACLES["p4_loaded"] = _RECORDS + """
+SELECT record_no, id::BIGINT AS id, nullif(f[2], '') AS name, nullif(f[3], '') AS asciiName, string_split(nullif(f[4], ''), ',') AS aliases, cc AS countryCode,
+       CASE feed WHEN 'compact' THEN nullif(f[6], '') END AS continentCode, try_cast(CASE feed WHEN 'compact' THEN f[7] ELSE f[5] END AS double) AS lat,
+       try_cast(CASE feed WHEN 'compact' THEN f[8] ELSE f[6] END AS double) AS lon, CASE feed WHEN 'compact' THEN nullif(f[9], '') END AS zhName,
+       nullif(CASE feed WHEN 'compact' THEN f[10] ELSE f[11] END, '') AS admin1, nullif(pop, '')::BIGINT AS population
+FROM z WHERE reason IS NULL
 """
