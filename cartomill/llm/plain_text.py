@@ -3,10 +3,13 @@
 Nodes are code points and short strings that the corpus holds; edges join forms that
 look alike: compatibility forms, letters with their marks apart, invisible characters
 and nothing, spaces, letters of the same shape in several scripts. Union-find makes the
-classes transitive. The most frequent plain member represents a class, one for each
-script, as a letter's plain form depends on the script of its word. Texts are rewritten
-greedily, leftmost and longest first, by a multi-pattern automaton; then letters of
-another script inside a word become their class's letter of the word's script.
+classes transitive. Every rewrite is a class's: a member that is not plain becomes the
+most frequent plain member of its class in its own script, a letter of another script
+inside a word the most frequent one in the script of that word. Texts are rewritten
+greedily, leftmost and longest first, by one multi-pattern automaton. ``look`` is the
+text with every letter replaced by the most frequent member of its class whatever its
+script, without case: texts that look alike have one look, also where each is written
+in a single script and plain, so that only the look can compare them.
 
 Scale: one pass counts characters and combining sequences with a counter per batch and
 a shuffle of distinct units; the driver holds distinct units only (code points, and
@@ -112,11 +115,30 @@ def composed(text: str) -> str:
     return unicodedata.normalize("NFKC", text)
 
 
-def build(counts: dict[str, int]) -> tuple[dict[str, str], dict[tuple[str, str], str], dict[str, list[str]]]:
-    """(rewrites, letters by shape and script, classes) for the units of a corpus.
+def is_plain(unit: str) -> bool:
+    return unit == composed(unit) and not any(is_invisible(c) or is_odd_space(c) for c in unit)
 
-    rewrites: a class member that is plain in no script -> its representative.
-    letters: (letter, script) -> the class's representative in that script.
+
+def unit_script(unit: str) -> str:
+    """Script of the letters of a unit, or empty where they have none or several."""
+    seen = {script(c) for c in unit} - {""}
+    return seen.pop() if len(seen) == 1 else ""
+
+
+class Tables:
+    """What the classes of a corpus say: rewrites, letters by (letter, script), looks, and the classes of two or more."""
+
+    def __init__(self, rewrites: dict[str, str], letters: dict[tuple[str, str], str], looks: dict[str, str], classes: dict[str, list[str]]):
+        self.rewrites, self.letters, self.looks, self.classes = rewrites, letters, looks, classes
+
+
+def build(counts: dict[str, int]) -> Tables:
+    """The tables for the units of a corpus.
+
+    rewrites: a member that is plain in no script -> the representative in its own
+    script, the plain form's; letters: (letter, script) -> the representative in that
+    script; looks: a plain letter -> the representative over all scripts. A
+    representative is the most frequent plain member; ties go to the least code point.
     """
     classes = Classes()
     nodes = set(counts)
@@ -144,32 +166,35 @@ def build(counts: dict[str, int]) -> tuple[dict[str, str], dict[tuple[str, str],
     groups = classes.groups()
     rewrites: dict[str, str] = {}
     letters: dict[tuple[str, str], str] = {}
-    is_plain = lambda m: m == composed(m) and not any(is_invisible(c) or is_odd_space(c) for c in m)
+    looks: dict[str, str] = {}
+    rank = lambda m: (-counts.get(m, 0), m)
     for members in groups.values():
-        plain = [m for m in members if is_plain(m)]
-        by_script: dict[str, str] = {}
+        plain = sorted((m for m in members if is_plain(m)), key=rank)
+        # of one script and as many code points: a class may hold a letter and a string that shows as it
+        best: dict[tuple[str, int], str] = {}
         for m in plain:
-            if len(m) == 1 and script(m):
-                best = by_script.get(script(m))
-                if best is None or (counts.get(m, 0), -ord(m)) > (counts.get(best, 0), -ord(best)):
-                    by_script[script(m)] = m
+            best.setdefault((unit_script(m), len(m)), m)
         for m in members:
             if not is_plain(m):
-                rewrites[m] = "" if "" in members else " " if " " in members else composed(m)
+                # a class with nothing or a space in it has no other plain member
+                form = composed(m) if not any(x in ("", " ") for x in plain) else plain[0]
+                rewrites[m] = best.get((unit_script(form), len(form)), form)
             elif len(m) == 1 and script(m):
-                for s, rep in by_script.items():
-                    if s != script(m):
+                for (s, n), rep in best.items():
+                    if n == 1 and s not in ("", script(m)):
                         letters[(m, s)] = rep
-    return rewrites, letters, {k: v for k, v in groups.items() if len(v) > 1}
+                looks[m] = next(x for x in plain if len(x) == 1 and script(x))
+    return Tables(rewrites, letters, {a: b for a, b in looks.items() if a != b}, {k: v for k, v in groups.items() if len(v) > 1})
 
 
 class Rewriter:
     """Greedy rewriting with an automaton of all patterns, then letters by the word's script."""
 
-    def __init__(self, rewrites: dict[str, str], letters: dict[tuple[str, str], str], common: dict[str, int]):
+    def __init__(self, tables: Tables, common: dict[str, int]):
         import ahocorasick
 
-        self.letters, self.common = letters, common
+        rewrites = tables.rewrites
+        self.letters, self.looks, self.common = tables.letters, str.maketrans(tables.looks), common
         self.automaton = ahocorasick.Automaton()
         for pattern, rep in rewrites.items():
             self.automaton.add_word(pattern, (len(pattern), rep))
@@ -218,11 +243,14 @@ class Rewriter:
             text = "".join(out) + text[last:]
         return text
 
-    def is_case(self, text: str | None) -> bool:
+    def is_case(self, text: str | None, plain: str | None) -> bool:
         """Some character is not the plain one, or scripts still mix within a word."""
-        plain = self.plain(text)
         return plain != text or (text is not None and not text.isascii() and self.mixed(plain))
 
+    def look(self, plain: str | None) -> str | None:
+        """What a plain text looks like: one for all texts that look alike, without case; null stays null."""
+        return None if plain is None else plain.translate(self.looks).lower().translate(self.looks)
+
 
 def spans(text: str) -> Iterator[tuple[int, int]]:
     """Words: runs of letters and marks; East Asian letters stand on their own."""
@@ -242,8 +270,8 @@ def words(text: str) -> list[str]:
     return [text[a:b] for a, b in spans(text)]
 
 
-def fit(texts: DataFrame, col: str):
-    """(rewrites, letters, classes, counts of scripts) from all texts of a column."""
+def fit(texts: DataFrame, col: str) -> tuple[Tables, dict[str, int]]:
+    """The tables and the letters of each script, from all texts of a column."""
     runtime.ship_package(texts.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,33 +288,35 @@ def fit(texts: DataFrame, col: str):
         .mapInPandas(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).collect()
     )  # distinct characters and short sequences
     counts = {r["unit"]: r["n"] for r in rows}
-    rewrites, letters, classes = build(counts)
     scripts: Counter = Counter()
     for u, n in counts.items():
         if len(u) == 1 and script(u):
             scripts[script(u)] += n
-    return rewrites, letters, classes, dict(scripts)
+    return build(counts), dict(scripts)
 
 
 def rewrite(df: DataFrame, key_cols: list[str], col: str) -> DataFrame:
-    """key_cols, text, plain, is_case of every row; null and empty texts are their own plain form.
+    """key_cols, text, plain, look, is_case of every row; null and empty texts are their own plain form and look.
 
     Rows are kept as they are, repeated ones included; columns beside those named are
     not read, whatever their names.
     """
     spark = df.sparkSession
-    rewrites, letters, _, scripts = fit(df, col)
-    shared = spark.sparkContext.broadcast((rewrites, letters, scripts))
+    tables, scripts = fit(df, col)
+    # bounded by the character repertoire
+    shared = spark.sparkContext.broadcast((tables, scripts))
     named = df.select(*[F.col(k) for k in key_cols], F.col(col).alias("text"))
-    schema = StructType(list(named.schema.fields)).add("plain", "string").add("is_case", "boolean")
+    schema = StructType(list(named.schema.fields)).add("plain", "string").add("look", "string").add("is_case", "boolean")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Rewriter(*shared.value)
         for b in batches:
             texts = [None if t is None or t != t else t for t in b["text"]]
+            plain = [r.plain(t) for t in texts]
             b["text"] = pd.Series(texts, index=b.index, dtype=object)
-            b["plain"] = pd.Series([r.plain(t) for t in texts], index=b.index, dtype=object)
-            b["is_case"] = [r.is_case(t) for t in texts]
+            b["plain"] = pd.Series(plain, index=b.index, dtype=object)
+            b["look"] = pd.Series([r.look(p) for p in plain], index=b.index, dtype=object)
+            b["is_case"] = [r.is_case(t, p) for t, p in zip(texts, plain)]
             yield b
 
     return named.mapInPandas(run, schema)
