@@ -75,11 +75,8 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p7_fill")
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, tokens and the share of their room that is filled."""
-    packed = length_buckets.pack(_sizes(spark, d), "doc_id", "n_tokens").where("container_id IS NOT NULL")
-    return packed.agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens")).withColumn(
-        "fill", F.round(F.col("tokens") / (F.col("containers") * length_buckets.CAPACITY), 6)
-    )
+    """Containers, tokens and the share of their room that is filled, by buckets alone and topped up."""
+    return length_buckets.fill(_sizes(spark, d), "doc_id", "n_tokens")
 
 
 @query("p8_found")

@@ -72,3 +72,33 @@ def test_pack_empty_and_zero(spark):
     assert lb.pack(df, "doc", "n").collect() == []
     df = spark.createDataFrame([(1, 0), (2, None)], "doc bigint, n bigint")
     assert sorted(tuple(r) for r in lb.pack(df, "doc", "n").collect()) == [(1, 0, 0, None, None), (2, 0, 0, None, None)]
+
+
+def test_batches_form_inside_their_bucket():
+    sizes, counts = [2, 3, 5, 8], [7, 5, 3, 2]
+    alone = lb.plan(sizes, counts, 10, top_up=False)
+    assert all(len(batch) == 1 for _, batch in alone)
+    assert [(n, b) for n, b in alone] == [(2, {3: 1}), (1, {2: 2}), (1, {2: 1}), (1, {1: 3}), (1, {1: 2}), (1, {0: 5}), (1, {0: 2})]
+    # a topped-up batch still begins with all that fits of its own bucket
+    for _, batch in lb.plan(sizes, counts, 10):
+        own = next(iter(batch))
+        assert own == max(batch, key=lambda b: sizes[b])
+
+
+def test_fill_is_told_with_and_without_top_up(spark):
+    df = spark.createDataFrame([(i, 5 if i % 2 else 60) for i in range(200)], "doc bigint, n bigint")
+    rows = {r.top_up: r for r in lb.fill(df, "doc", "n", 64).collect()}
+    assert (rows[False].containers, rows[True].containers) == (100 + 9, 100 + 9) and rows[True].tokens == 6500
+    df = spark.createDataFrame([(i, 20 if i % 2 else 40) for i in range(200)], "doc bigint, n bigint")
+    rows = {r.top_up: r for r in lb.fill(df, "doc", "n", 64).collect()}
+    assert (rows[False].containers, rows[True].containers) == (100 + 34, 100)
+    assert [r.fill for r in lb.fill(df.limit(0), "doc", "n").collect()] == [None, None]
+
+
+def test_large_containers_are_planned_in_bounded_steps():
+    import time
+
+    counts = np.random.default_rng(1).integers(1, 10_000, 32_768)
+    began = time.time()
+    bounds = lb.boundaries(counts, 128)
+    assert len(bounds) == 128 and bounds[-1] == 32_768 and time.time() - began < 20
