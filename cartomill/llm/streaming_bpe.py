@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import codecs
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ from cartomill import runtime
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters read at once, bytes of a run encoded in one piece, entries of the memo, longest piece kept in it.
-BLOCK, WINDOW, MEMO, MEMO_CHARS = 32_768, 192, 200_000, 48
+#: Characters read at once, bytes of a run encoded in one piece, entries of the memo, longest piece kept in it,
+#: ids after which the texts encoded so far are sent on.
+BLOCK, WINDOW, MEMO, MEMO_CHARS, FLUSH_IDS = 32_768, 192, 200_000, 48, 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -225,9 +227,12 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for an empty or null one."""
+        return self.encode_into([], text)
+
+    def encode_into(self, out, text: str | None):
+        """out with the ids of a text added, a list or an array; none for an empty or null text."""
         if not text:
-            return []
-        out: list[int] = []
+            return out
         get, extend = self.memo.get, out.extend
         for block in self.pieces(text):
             for p in block:
@@ -281,12 +286,15 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(shared)
         for b in batches:
-            offsets, flat = [0], []
-            for x in b.column(1):
-                flat.extend(enc.encode(x.as_py()))
+            offsets, flat, first = [0], array("i"), 0
+            for row, x in enumerate(b.column(1), 1):
+                enc.encode_into(flat, x.as_py())
                 offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, dtype=np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["key", "ids"])
+                # tokens are sent on in pieces of bounded size, whatever the batch holds
+                if len(flat) >= FLUSH_IDS or row == len(b):
+                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, row - first), ids], ["key", "ids"])
+                    offsets, flat, first = [0], array("i"), row
 
     out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)

@@ -68,3 +68,10 @@ def test_frames(spark):
     assert sorted(tuple(r) for r in back.collect()) == [(1, "ab"), (1, "ab"), (2, ""), (3, "")]
     assert sb.encode(df.limit(0), "doc_id", "text").collect() == []
     assert sorted(r.n_tokens for r in sb.count_tokens(df, "doc_id", "text").collect()) == [0, 0, 1, 1]
+
+
+def test_ids_are_sent_on_in_bounded_pieces(tables, reference, spark):
+    rows = [(i, "one two three " * 30_000 if i % 3 == 0 else "four" if i % 3 == 1 else None) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    got = {r.doc_id: r.ids for r in sb.encode(df, "doc_id", "text").collect()}
+    assert len(got) == 12 and all(got[i] == (reference.encode_ordinary(t) if t else []) for i, t in rows)
