@@ -42,10 +42,44 @@ def test_random_against_brute_force(spark):
                 rows.append((f"K{i:04}", release, datetime(2026, 1, 1, rng.randrange(23)), value, rng.choice([1, 1, 1, None])))
     rows += rows[:50]  # repeated rows
     rows += [(None, "2026-02-01.0", datetime(2026, 1, 1), "x", 1), ("K0001", None, datetime(2026, 1, 1), "x", 1)]
-    assert run(spark, rows, chunk_rows=8, cells=5) == brute(rows)
+    assert run(spark, rows, chunk_rows=8) == brute(rows)
+    assert run(spark, rows, chunk_rows=8, chunks=5, span=1) == brute(rows)
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_boundaries_in_several_lists(spark, monkeypatch):
+    monkeypatch.setattr(sc, "INNER", 4)
+    rows = [(f"K{i:04}", r, datetime(2026, 1, 1), f"{i}{r if i % 37 == 0 else ''}", 1) for i in range(600) for r in ("2026-01-01.0", "2026-01-02.0")]
+    assert run(spark, rows, chunk_rows=2) == brute(rows)
+    keys = sorted({x[0] for x in rows})
+    df = spark.createDataFrame([(k,) for k in keys], "_key string")
+    bounds = keys[3::7]
+    got = {r._key: r._chunk for r in sc._with_chunk(df, bounds).collect()}
+    assert got == {k: sum(b <= k for b in bounds) for k in keys}
+
+
+def test_only_chunks_that_differ_are_joined(spark):
+    """Of two equal deliveries nothing is left; one changed row leaves its own chunk, a repeated key its chunk too."""
+    def masks(rows):
+        df = sc._rows(spark.createDataFrame([(*x, "c", "c") for x in rows], SCHEMA), "k", "r", "t", [F.col("v"), F.col("w")])
+        placed = sc._with_chunk(df.withColumn("_pos", F.when(F.col("_release") == "2026-01-01.0", 0).otherwise(1)), [f"K{i:04}" for i in range(0, 1000, 20)])
+        return sorted((r._chunk, r._mask) for r in sc.unmatched_chunks(placed, 2).collect())
+
+    t = datetime(2026, 1, 1)
+    same = [(f"K{i:04}", r, t, f"v{i}", 1) for i in range(1000) for r in ("2026-01-01.0", "2026-01-01.1")]
+    assert masks(same) == []
+    changed = [(k, r, t, "other" if (k, r) == ("K0500", "2026-01-01.1") else v, w) for k, r, t, v, w in same]
+    assert masks(changed) == [(26, 2)]
+    assert masks(same + [("K0020", "2026-01-01.1", t, "v20", 1)]) == [(2, 2)]
+    added = [*same, ("K0020x", "2026-01-01.1", t, "v", 1)]
+    assert masks(added) == [(2, 2)]
+
+
+def test_a_key_that_repeats_without_end(spark):
+    rows = [("a", r, datetime(2026, 1, 1, 0, i // 60, i % 60), f"v{i}", i) for i in range(500) for r in ("2026-01-01.0", "2026-01-01.1")] + [("b", "2026-01-01.1", datetime(2026, 1, 1), "x", 1)]
+    assert run(spark, rows) == brute(rows) == [("2026-01-01.1", "b", "added")]
+
+
 def test_latest_row_counts_however_late(spark):
     rows = [
         ("a", "2026-01-01.0", datetime(2026, 1, 1), "x", 1),
