@@ -11,9 +11,12 @@ Menus, notices and footers are lines that many different pages share: lines are
 over the whole corpus (hashes, map-side combined); of those on more than ``SHARED`` of
 all pages (at most lines-per-page / SHARED, a bounded set) the pages are counted again
 with all copies of a page as one, and lines that still are on so many are left out unless
-a page has nothing else.
+a page has nothing else. The languages of a page come from its main content; ``segments``
+can also give every other line with letters, as a segment that is no main one.
 
-Scale: one shuffle of line hashes, and two passes over texts in Arrow batches.
+Scale: documents are read twice. The first pass writes the hashes and sizes of each
+page's lines and the text of a bounded sample for the fit; one shuffle of line hashes
+and all further counts read that. The second pass scores texts in Arrow batches.
 """
 
 from __future__ import annotations
@@ -211,19 +214,42 @@ def copies(count: np.ndarray, size: np.ndarray, own: int) -> int:
     return int(count[at][reached.argmax()]) if reached.any() else 1
 
 
-def shared_lines(df: DataFrame, text: str) -> dict[int, float]:
+def sketch(docs: DataFrame, text: str, label: str | None, langs: list[str]) -> DataFrame:
+    """(h, n, u, x) of every page with text, cut: hashes and sizes of its distinct lines, and what the fit may sample.
+
+    u: a hash of the text where the label is one of langs and the text is short enough,
+    else null. x: the text where u is below twice the share of FIT_PAGES in all rows.
+    """
+    share = F.lit(_share(docs.count() / 2))
+    own = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
+    named = F.col(label).isin(langs) if label is not None else F.lit(False)
+    pages = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text).alias("text"), F.coalesce(named, F.lit(False)).alias("named"), *([F.col(label).alias("l")] if label else [F.lit(None).cast("string").alias("l")]))
+    u = F.when(F.col("named") & (F.length("text") <= FIT_CHARS), F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)))
+    return runtime.cut(
+        pages.withColumn("own", own).withColumn("u", u).select(
+            F.transform("own", lambda x: F.xxhash64(x)).alias("h"), F.transform("own", lambda x: F.length(x)).alias("n"), "u",
+            F.when(F.col("u") <= share, F.struct("l", "text")).alias("x"),
+        )
+    )
+
+
+def _share(rows: float) -> int:
+    """The hash up to which rows are sampled, so that about FIT_PAGES are."""
+    return int(min(1.0, FIT_PAGES / max(rows, 1)) * (1 << 30))
+
+
+def shared_lines(pages: DataFrame) -> dict[int, float]:
     """Hashes of lines that different pages share, on more than SHARED of all pages with text, and their share.
 
-    A page counts for one part in its copies, so that all copies together count once
-    even where they differ in some lines. Lines found to be shared say nothing about
-    copies: pages are counted again without them until no line is added.
+    pages: (h, n), hashes and sizes of each page's distinct lines. A page counts for one
+    part in its copies, so that all copies together count once even where they differ
+    in some lines. Lines found to be shared say nothing about copies: pages are counted
+    again without them until no line is added.
     """
-    pages = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(text).alias("text"))
     total = pages.count()
     if not total:
         return {}
-    own = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
-    lines = pages.select(F.explode(own).alias("line")).select(F.xxhash64("line").alias("h"), F.length("line").alias("n"))
+    lines = pages.select(F.explode(F.arrays_zip("h", "n")).alias("e")).select("e.h", "e.n")
     # few pages say little: a line must be on three at least
     least = max(SHARED * total, 2.0)
     rows = lines.groupBy("h").agg(F.count("*").alias("count"), F.max("n").alias("n")).where(F.col("count") > F.lit(least)).collect()
@@ -232,8 +258,8 @@ def shared_lines(df: DataFrame, text: str) -> dict[int, float]:
     # bounded: lines a page / SHARED
     ids = {r["h"]: i for i, r in enumerate(rows)}
     count, size = np.array([r["count"] for r in rows]), np.array([r["n"] for r in rows])
-    runtime.ship_package(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast((ids, count, size))
+    runtime.ship_package(pages.sparkSession)
+    sent = pages.sparkSession.sparkContext.broadcast((ids, count, size))
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = sent.value[0]
@@ -247,8 +273,7 @@ def shared_lines(df: DataFrame, text: str) -> dict[int, float]:
             if out:
                 yield pd.DataFrame(out, columns=["often", "own"])
 
-    hashed = pages.select(F.transform(own, lambda x: F.xxhash64(x)).alias("h"), F.transform(own, lambda x: F.length(x)).alias("n"))
-    kept = runtime.cut(hashed.mapInPandas(seen, "often array<int>, own bigint"))
+    kept = runtime.cut(pages.select("h", "n").mapInPandas(seen, "often array<int>, own bigint"))
     shared = np.zeros(len(rows), dtype=bool)
     while True:
 
@@ -272,22 +297,20 @@ def shared_lines(df: DataFrame, text: str) -> dict[int, float]:
         shared = found
 
 
-def fit(samples: list[tuple[str, str]], docs: DataFrame, text: str, label: str | None, often: dict[int, float]) -> Model:
+def fit(samples: list[tuple[str, str]], pages: DataFrame | None, often: dict[int, float]) -> Model:
     """The classifier: from the samples, then again with a bounded sample of labelled pages.
 
-    Pages teach the words the few samples lack. Their labels may be wrong: a page whose
-    language the first fit is sure to be another is left out.
+    pages: the sketch, or None. Pages teach the words the few samples lack. Their labels
+    may be wrong: a page whose language the first fit is sure to be another is left out.
     """
     model = Model.fit(samples)
-    if label is None:
+    if pages is None:
         return model
-    usable = docs.where(F.col(label).isin(model.langs) & (F.length(text) <= FIT_CHARS) & (F.length(text) > 0))
-    total = usable.count()
-    share = int(min(1.0, FIT_PAGES / max(total, 1)) * (1 << 30))
-    lines = F.split(text, "\n")
+    share = _share(pages.where("u IS NOT NULL").count())
+    lines = F.split("x.text", "\n")
     rows = (
-        usable.where(F.pmod(F.xxhash64(F.col(text), F.lit(3)), F.lit(1 << 30)) <= share)
-        .select(F.col(label).alias("l"), lines.alias("x"), F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("h"))
+        pages.where((F.col("u") <= share) & F.col("x").isNotNull())
+        .select(F.col("x.l").alias("l"), lines.alias("x"), F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("h"))
         .limit(2 * FIT_PAGES).collect()
     )
     taught: set[tuple[str, str]] = set()
@@ -303,13 +326,42 @@ def fit(samples: list[tuple[str, str]], docs: DataFrame, text: str, label: str |
 
 SEGMENTS = (
     "doc_id bigint, label string, segment_no int, lang string, confidence double, segment_text string, "
-    "page_lang string, page_confidence double, page_langs array<string>"
+    "is_main boolean, page_lang string, page_confidence double, page_langs array<string>"
 )
 
 
-def segments(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", label: str | None = None) -> DataFrame:
+def runs(weight: np.ndarray, p: np.ndarray, odd: np.ndarray, is_main: np.ndarray) -> tuple[int, list[tuple[int, float, int, int, bool]]]:
+    """Language of a page and its segments (language, confidence, first, last sentence, whether of main content).
+
+    Sentences that are not main take the page's language unless each is long and sure
+    enough by itself; they bring in no language of the page.
+    """
+    if not is_main.any():
+        is_main = np.ones(len(weight), dtype=bool)
+    at = np.flatnonzero(is_main)
+    main, segs = page(weight[at], p[at], odd[at])
+    if is_main.all():
+        return main, [(*s, True) for s in segs]
+    label = np.full(len(weight), main)
+    for lang, _, i, j in segs:
+        label[at[i : j + 1]] = lang
+    best = p.argmax(axis=1)
+    own = ~is_main & (best != main) & (p.max(axis=1) >= SURE) & (weight >= SURE_LETTERS)
+    label[own] = best[own]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(label) | np.diff(is_main)) + 1, [len(label)]])
+    out = []
+    for i, j in zip(starts[:-1], starts[1:]):
+        w = np.maximum(weight[i:j], 1e-9)
+        out.append((int(label[i]), float((p[i:j, label[i]] * w).sum() / w.sum()), int(i), int(j) - 1, bool(is_main[i])))
+    return main, out
+
+
+def segments(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", label: str | None = None, whole: bool = True) -> DataFrame:
     """Segments of every page with text: language, confidence, and those of the page.
 
+    With whole, every line with a letter is in a segment, those that are not main
+    content too (``is_main`` tells); without, main content only. The languages of the
+    page are those of its main content either way.
     samples: (lang, sample_text); rows with a null in either are not used. Null, empty
     and blank texts, and texts without a letter, have no row. Repeated pages are pages
     of their own. ``label`` is carried along. Other columns are not read.
@@ -319,8 +371,9 @@ def segments(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str
     rows = samples.where("lang IS NOT NULL AND sample_text IS NOT NULL").select("lang", "sample_text").orderBy("lang", "sample_text").limit(FIT_ROWS).collect()
     if not rows:
         return spark.createDataFrame([], SEGMENTS)
-    often = shared_lines(docs, text)
-    model = fit([(r[0], r[1]) for r in rows], docs, text, label, often)
+    pages = sketch(docs, text, label, sorted({r[0] for r in rows}))
+    often = shared_lines(pages)
+    model = fit([(r[0], r[1]) for r in rows], pages if label else None, often)
     shared = spark.sparkContext.broadcast((model.langs, model.table, often))
     prepared = docs.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(
         F.col(key).alias("doc_id"),
@@ -333,28 +386,29 @@ def segments(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str
         m = Model(langs, table)
         columns = [c.split()[0] for c in SEGMENTS.split(", ")]
         for b in batches:
-            pages, flat, weights = [], [], []
+            pages, flat, weights, mains = [], [], [], []
             for k, own_label, lines, hashes in zip(b["doc_id"], b["label"], b["lines"], b["hashes"]):
-                n = 0
-                for i in main_lines(lines, [often.get(h, 0.0) for h in hashes.tolist()]):
+                n, chosen = 0, main_lines(lines, [often.get(h, 0.0) for h in hashes.tolist()])
+                own = set(chosen)
+                for i in range(len(lines)) if whole else chosen:
                     for s in sentences(lines[i]):
                         if w := letters(s):
-                            flat.append(s), weights.append(w)
+                            flat.append(s), weights.append(w), mains.append(i in own)
                             n += 1
                 if n:
                     pages.append((k, own_label, n))
-            p, weight = m.score(flat), np.array(weights)
+            p, weight, main_part = m.score(flat), np.array(weights), np.array(mains, dtype=bool)
             odd = np.array([not s.isascii() and _ODD.search(s) is not None for s in flat], dtype=bool)
             out, start = [], 0
             for k, own_label, n in pages:
                 at = slice(start, start + n)
                 start += n
-                main, segs = page(weight[at], p[at], odd[at])
-                of_main = [(c, weight[at][i : j + 1].sum()) for lang, c, i, j in segs if lang == main]
+                main, segs = runs(weight[at], p[at], odd[at], main_part[at])
+                of_main = [(c, weight[at][i : j + 1].sum()) for lang, c, i, j, is_main in segs if lang == main and is_main]
                 sure = float(sum(c * w for c, w in of_main) / sum(w for _, w in of_main)) if of_main else 0.0
-                all_langs = sorted({langs[s[0]] for s in segs})
-                for no, (lang, c, i, j) in enumerate(segs):
-                    out.append((k, own_label, no, langs[lang], c, " ".join(flat[at][i : j + 1]), langs[main], sure, all_langs))
+                all_langs = sorted({langs[s[0]] for s in segs if s[4]})
+                for no, (lang, c, i, j, is_main) in enumerate(segs):
+                    out.append((k, own_label, no, langs[lang], c, " ".join(flat[at][i : j + 1]), is_main, langs[main], sure, all_langs))
             if out:
                 yield pd.DataFrame(out, columns=columns)
 
@@ -375,7 +429,7 @@ def found(docs: DataFrame, samples: DataFrame) -> DataFrame:
     """
     keyed = docs.select("doc_id", "text", named_language(F.col("lang")).alias("label"))
     known = [r[0] for r in samples.select("lang").where("lang IS NOT NULL").distinct().collect()]
-    first = segments(keyed, samples, label="label").where("segment_no = 0")
+    first = segments(keyed, samples, label="label", whole=False).where("segment_no = 0")
     return first.where(
         (F.size("page_langs") > 1)
         | F.col("label").isNull()

@@ -51,7 +51,7 @@ def test_pages(spark, samples):
     df = spark.createDataFrame([(*d, "clash", "clash") for d in docs], "doc_id bigint, text string, lang string, label string, page_langs string")
     got = sorted(tuple(r) for r in lg.found(df, samples).collect())
     assert got == [(2, "de"), (3, "en"), (3, "ru"), (4, "en"), (4, "en"), (5, "en"), (10, "en")]
-    segs = {(r.doc_id, r.segment_no): r for r in lg.segments(df, samples).collect()}
+    segs = {(r.doc_id, r.segment_no): r for r in lg.segments(df, samples, whole=False).collect()}
     assert segs[(3, 1)].lang == "ru" and segs[(3, 1)].segment_text == RU and segs[(3, 0)].confidence > 0.9
     assert not any(k[0] in (6, 7, 8) for k in segs)
     assert lg.found(df.limit(0), samples).collect() == [] and lg.found(df, samples.limit(0)).collect() == []
@@ -77,7 +77,7 @@ def test_copies_of_a_page_keep_their_lines(spark, samples):
     for changed in ("", "Read {} times.", long):
         copied = [f"{MENU}\n{EN}\n{RU}\n{changed.format(i)}\n{FOOTER}" for i in range(5)]
         df = corpus(spark, copied)
-        assert len(lg.shared_lines(df, "text")) == 2
+        assert len(lg.shared_lines(lg.sketch(df, "text", None, []))) == 2
         assert sorted(map(tuple, lg.found(df, samples).collect())) == [(k, lang) for k in range(8, 13) for lang in ("en", "ru")]
 
 
@@ -90,3 +90,24 @@ def test_copies():
 def test_one_certain_sentence_is_enough(spark, samples):
     df = spark.createDataFrame([(1, f"{EN} Sous la pluie tout change.", "en")], "doc_id bigint, text string, lang string")
     assert sorted(map(tuple, lg.found(df, samples).collect())) == [(1, "en"), (1, "fr")]
+
+
+def test_no_line_with_letters_is_lost(spark, samples):
+    """Whether a line ends as a sentence does or is a menu decides what is main content, not whether it has a segment."""
+    lines = ["Der lange deutsche Text ohne Punkt in dieser Zeile", "Sous la pluie tout change.", "Ещё строка без точки о старом городе", "12 345", "Home"]
+    df = spark.createDataFrame([(1, "\n".join(lines), "fr"), (2, "Home", None)], "doc_id bigint, text string, lang string")
+    rows = sorted((r for r in lg.segments(df, samples).collect()), key=lambda r: (r.doc_id, r.segment_no))
+    assert " ".join(r.segment_text for r in rows if r.doc_id == 1) == " ".join([*lines[:3], "Home"])
+    assert [(r.lang, r.is_main) for r in rows if r.doc_id == 1][:3] == [("de", False), ("fr", True), ("ru", False)]
+    assert {tuple(r.page_langs) for r in rows if r.doc_id == 1} == {("fr",)} and all(0 <= r.confidence <= 1 for r in rows)
+    assert [r.is_main for r in rows if r.doc_id == 2] == [True]
+    # as many pages as make every line shared: all lines still come out
+    many = spark.createDataFrame([(i, "\n".join(lines), "fr") for i in range(1200)], "doc_id bigint, text string, lang string")
+    got = lg.segments(many, samples).groupBy("doc_id").agg({"segment_text": "count"}).collect()
+    assert len(got) == 1200
+
+
+def test_languages_of_a_page_are_the_same_with_and_without_asides(spark, samples):
+    df = corpus(spark, [f"{MENU}\n{EN}\n{RU}\n{FOOTER}", f"{MENU}\n{DE}"])
+    of = lambda whole: {(r.doc_id, tuple(r.page_langs)) for r in lg.segments(df, samples, whole=whole).collect()}
+    assert of(True) == of(False)
