@@ -42,6 +42,8 @@ def test_within_against_brute_force(spark, monkeypatch):
     got = {(r.key_a, r.key_b) for r in nearby.within(df, df, 3.0).collect()}
     exp = {(a[0], b[0]) for a in rows for b in rows if km(a[1:], b[1:]) <= 3.0}
     assert got == exp
+    one = nearby.within(df, None, 3.0).collect()
+    assert {(r.key_a, r.key_b) for r in one} == exp and len(one) == len(exp)
 
 
 SQUARE = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
@@ -94,6 +96,40 @@ def test_sweep_against_ray_casting():
     assert got == exp
 
 
+def test_clipped_parts_hold_the_same_points():
+    rng = np.random.default_rng(5)
+    pts = rng.random((3000, 2)) * 10
+    nodes = fit_cells(pts, 40)
+    angle = np.sort(rng.random(2000) * 2 * np.pi)
+    radius = 3 + rng.random(2000)
+    ring = lambda r: nearby._closed(5 + r * np.cos(angle), 5 + r * np.sin(angle))
+    rings = [ring(radius), ring(radius / 3)]
+    order = np.argsort(pts[:, 0])
+    pts = pts[order]
+    whole = set(nearby._sweep(pts[:, 0], pts[:, 1], [(np.concatenate([r[0] for r in rings]), np.concatenate([r[1] for r in rings]), np.array([2001, 2001]))])[1].tolist())
+    rows, cells = assign(nodes, pts, pts)
+    got, sent = set(), 0
+    for c, own in nearby._clipped(nodes, rings):
+        here = np.sort(rows[cells == c])
+        shape = (np.concatenate([r[0] for r in own]), np.concatenate([r[1] for r in own]), np.array([len(r[0]) for r in own]))
+        sent += len(shape[0])
+        got |= set(here[nearby._sweep(pts[here, 0], pts[here, 1], [shape])[1]].tolist())
+    assert got == whole and 500 < len(whole) < 2500
+    # a cell gets its part of the edges, not all 4,002 points
+    assert sent < 3 * 4002
+
+
+def test_polygon_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "CELL_ROWS", 10)
+    rng = random.Random(7)
+    pts = [(f"p{i}", rng.choice([rng.uniform(-1, 11), 0.0, 5.0, 4.0, 10.0]), rng.choice([rng.uniform(-1, 11), 0.0, 5.0, 6.0, 10.0])) for i in range(400)]
+    got = {a for a, b in containing(spark, pts, [("holed", [[SQUARE, HOLE]])])}
+    in_hole = lambda y, x: 4 < x < 6 and 4 < y < 6
+    assert got == {k for k, y, x in pts if 0 <= x <= 10 and 0 <= y <= 10 and not in_hole(y, x)}
+    monkeypatch.setattr(nearby, "BLOCK_POINTS", 12)  # polygons are parted by their points, too
+    assert {a for a, b in containing(spark, pts, [(f"s{i}", [[SQUARE, HOLE]]) for i in range(9)]) if b == "s3"} == got
+
+
 def test_empty_tables(spark):
     assert containing(spark, [], [("a", [[SQUARE]])]) == set()
     assert containing(spark, [("a", 1.0, 1.0)], []) == set()
