@@ -4,15 +4,18 @@ Every spelling of a record's name, folded to plain Latin or Han text, becomes a
 vector of ``BITS`` bits, one per hashed q-gram. Close vectors are found exactly by
 multi-index hashing: vectors are cut into chunks; two vectors at most 2 * chunks - 1
 bits apart agree in some chunk but for one bit, and then share that chunk or the chunk
-with one set bit removed, which both sides index. Pairs are verified by popcount, given
-a field-weighted Dice score that place and country adjust, and scores become
-confidences by a logistic curve fitted on this run's own best and second-best pairs.
+with one set bit removed, which both sides index. Pairs are verified by popcount and
+scored by the weighted mean of the Dice scores of three fields (``FIELDS``): the name,
+by its bits and the letters unchanged; the country code; the place, which is 1 at no
+distance and 0 at ``REACH_KM``. Scores become confidences by a logistic curve fitted on
+this run's own best and second-best pairs.
 
 Scale: located records meet in k-d cells with a halo of ``REACH_KM``, one shuffle of
-narrow rows. Records without a place meet all cities of their country (of every country
-where they name none) in blocks of ``BLOCK`` cities, so a country with a third of all
-rows is spread and no task holds it. The driver sees a sample for the splits, counts
-per country and a histogram of scores.
+narrow rows. Records without a place meet all records of their country (of every country
+where they name none) in blocks of both sides, so a country with a third of all rows is
+spread, whichever side it is on, and no task holds it. Distinct pairs of spellings are
+scored once a task, in arrays. The driver sees a sample for the splits, counts of heavy
+cells, the country codes and a histogram of scores.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from cartomill import runtime
 from cartomill.functions.kdtree import assign, fit_cells
 from cartomill.operators import nearby
 
-BITS, REACH_KM, CELL_ROWS, BLOCK = 128, 4.0, 6_000, 20_000
+BITS, REACH_KM = 128, 4.0
 #: Chunks of the index where places agree (15 bits apart at most), and where no place is known (7).
 NEAR_CHUNKS, FAR_CHUNKS = 8, 4
 #: Names of both scripts that readings are learnt from at most; marks of a form that is a
@@ -39,6 +42,13 @@ NEAR_CHUNKS, FAR_CHUNKS = 8, 4
 READ_ROWS, READ, SOUND = 3_000, "~", "="
 #: Least confidence of a match.
 CONFIDENT = 0.5
+#: Weights of the fields' Dice scores; scores of a country and a place that one side lacks.
+FIELDS = {"name": 1.0, "country": 0.25, "place": 0.2}
+NO_COUNTRY, NO_PLACE = 0.92, 0.1
+#: Where the curve's middle and slope are drawn to while pairs are few, and how strongly.
+PRIOR_SLOPE, PRIOR_MIDDLE = 29.0, 0.738
+#: Letters beyond which names are compared by their bits alone.
+LONG = 256
 
 #: Letters of other scripts in Latin.
 LATIN = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяѕіјԁԛԝ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch . y . e iu ia s i j d q w".split()))
@@ -282,22 +292,23 @@ def forms(cities: DataFrame, candidates: DataFrame, areas: DataFrame, countries:
     null = F.lit(None).cast("string")
     one = cities.where("id IS NOT NULL").select(
         F.lit(0).alias("side"), F.col("id").cast("string").alias("key"), F.array("name", "asciiName").alias("own"), F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("zhName")).alias("other"),
-        null.alias("line"), F.upper("countryCode").alias("country"), "lat", "lon",
+        null.alias("line"), F.nullif(F.upper("countryCode"), F.lit("")).alias("country"), "lat", "lon",
     )
     two = candidates.where("id IS NOT NULL").select(
         F.lit(1).alias("side"), F.col("id").alias("key"), F.array("name").alias("own"), F.array().cast("array<string>").alias("other"),
-        F.col("displayName").alias("line"), F.upper("countryCode").alias("country"), mid_y.alias("lat"), mid_x.alias("lon"),
+        F.col("displayName").alias("line"), F.nullif(F.upper("countryCode"), F.lit("")).alias("country"), mid_y.alias("lat"), mid_x.alias("lon"),
     )
     slug = F.regexp_extract(F.coalesce("sourceId", F.lit("")), r"\A([a-z]{4,})-[0-9a-z]{1,6}\z", 1)
     three = areas.where("areaId IS NOT NULL").select(
         F.lit(2).alias("side"), F.col("areaId").alias("key"), F.array("nameLocal").alias("own"),
         F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array(F.col("nameZh"), F.nullif(slug, F.lit("")))).alias("other"),
-        null.alias("line"), F.upper("countryCode").alias("country"),
+        null.alias("line"), F.nullif(F.upper("countryCode"), F.lit("")).alias("country"),
         F.coalesce(F.col("centroid.y"), mid_y).alias("lat"), F.coalesce(F.col("centroid.x"), mid_x).alias("lon"),
     )
     both = cities.where("zhName IS NOT NULL AND asciiName IS NOT NULL").select("asciiName", "zhName")
-    chosen = both.where(F.pmod(F.xxhash64("asciiName", F.lit(11)), F.lit(1 << 20)) < int(min(1.0, READ_ROWS / max(both.count(), 1)) * (1 << 20))).distinct().limit(2 * READ_ROWS)
-    learnt = [(core(fold(a)), fold(z)) for a, z in chosen.orderBy("asciiName", "zhName").collect()]
+    # the names of least hash: a bounded sample that is the same in every run
+    chosen = both.groupBy("asciiName", "zhName").agg(F.first(F.xxhash64("asciiName", "zhName", F.lit(11))).alias("u")).orderBy("u", "asciiName", "zhName").limit(READ_ROWS)
+    learnt = [(core(fold(a)), fold(z)) for a, z in sorted((r["asciiName"], r["zhName"]) for r in chosen.collect())]
     readings = learn_readings([(a, z) for a, z in learnt if _is_han(z) and not _is_han(a)])
     every = one.unionByName(two).unionByName(three)
 
@@ -334,18 +345,36 @@ def forms(cities: DataFrame, candidates: DataFrame, areas: DataFrame, countries:
     )
 
 
-def edits(a: str, b: str) -> int:
-    """Insertions, deletions, changes and swaps of neighbours between two names."""
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        before, last = last, now
-    return last[-1]
+def edits(a: list[str], b: list[str]) -> np.ndarray:
+    """Insertions, deletions, changes and swaps of neighbours between a[i] and b[i], for all i at once."""
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.maximum(la, lb)
+    order = np.argsort(out, kind="stable")
+    order = order[(la[order] > 0) & (lb[order] > 0)]
+    at = 0
+    while at < len(order):
+        stop = min(len(order), at + 16_384)
+        i = order[at:stop]
+        at = stop
+        wide = [max(1, int(x[i].max())) for x in (la, lb)]
+        ca, cb = (np.array([x[k] for k in i], dtype=f"U{w}").view(np.uint32).reshape(len(i), w).T for x, w in zip((a, b), wide))
+        na, nb, cols = la[i], lb[i], np.arange(len(i))
+        before = last = np.repeat(np.arange(wide[1] + 1, dtype=np.int16)[:, None], len(i), axis=1)
+        for row in range(1, wide[0] + 1):
+            now = np.empty_like(last)
+            now[0] = row
+            same = ca[row - 1] == cb
+            # changes and deletions of a row at once, insertions run along it
+            now[1:] = np.minimum(last[1:] + 1, last[:-1] + ~same)
+            if row > 1 and wide[1] > 1:
+                swap = (ca[row - 1] == cb[:-1]) & (ca[row - 2] == cb[1:])
+                now[2:] = np.where(swap, np.minimum(now[2:], before[:-2] + 1), now[2:])
+            for j in range(1, wide[1] + 1):
+                np.minimum(now[j], now[j - 1] + 1, out=now[j])
+            ended = cols[na == row]
+            out[i[ended]] = now[nb[ended], ended]
+            before, last = last, now
+    return out
 
 
 def core(name: str) -> str:
@@ -360,42 +389,62 @@ def sound(name: str) -> str:
     return re.sub(r"(?<=[bcdfghklmnpstvz])(?:u|(?<=[td])o)(?![aeiou])", "", t)
 
 
-def reading_similarity(reading: str, name: str) -> float:
+def _share(a: list[str], b: list[str]) -> np.ndarray:
+    """Share of letters unchanged between a[i] and b[i]."""
+    longest = np.fromiter((max(len(x), len(y), 1) for x, y in zip(a, b)), float, len(a))
+    return 1 - edits(a, b) / longest
+
+
+def _reading_scores(names: list[str], readings: list[str]) -> np.ndarray:
     """How much of the reading of a Han name begins a Latin one; l and r are one sound there."""
     flat = lambda t: t.replace("r", "l")
-    r, n = flat(reading), flat(core(name).replace(" ", ""))
-    if len(r) < 4 or _is_han(n):
-        return 0.0
-    return max(1 - edits(r, n[:k]) / len(r) for k in range(max(1, len(r) - 1), len(r) + 3))
+    out = np.zeros(len(names))
+    rows, starts, wanted = [], [], []
+    for i, (name, reading) in enumerate(zip(names, readings)):
+        r, n = flat(reading), flat(core(name).replace(" ", ""))
+        if len(r) < 4 or _is_han(n):
+            continue
+        for k in range(max(1, len(r) - 1), len(r) + 3):
+            rows.append(i), starts.append(n[:k]), wanted.append(r)
+    if rows:
+        score = 1 - edits(wanted, starts) / np.fromiter(map(len, wanted), float, len(wanted))
+        best = np.full(len(names), -np.inf)
+        np.maximum.at(best, rows, score)
+        out = np.where(np.isfinite(best), best, out)
+    return out
 
 
-def similarity(form_a: str, form_b: str, common: int, size_a: int, size_b: int) -> float:
-    """Dice of the bits, met half way by the share of letters unchanged.
+def similarities(forms_a: np.ndarray, forms_b: np.ndarray, dice: np.ndarray) -> np.ndarray:
+    """Dice of the name field for pairs of spellings: of the bits, met half way by the share of letters unchanged.
 
     Names that differ in a telling word are not alike; one of two that leaves out words
-    such as port or saint is nearly the same.
+    such as port or saint is nearly the same. A reading of Han or kana is compared by
+    sound. Names far apart by their bits, or longer than LONG, have the bits' Dice.
     """
-    if form_b.startswith(READ):
-        return reading_similarity(form_b[1:], form_a)
-    if form_b.startswith(SOUND):
-        a, b = sound(form_a), sound(form_b[1:])
-        return 1 - edits(a, b) / max(len(a), len(b), 1)
-    if form_a == form_b:
-        return 1.0
-    if size_a + size_b == 0:
-        return 0.0
-    dice = 2 * common / (size_a + size_b)
-    if dice < 0.3:
-        return dice
-    same = (dice + 1 - edits(form_a, form_b) / max(len(form_a), len(form_b))) / 2
-    if telling(form_a) != telling(form_b):
-        return same * 0.6
-    a, b = core(form_a), core(form_b)
-    if (a != form_a) != (b != form_b):
-        return max(same, 0.95 * (1 - edits(a, b) / max(len(a), len(b))))
-    if a != form_a and set(form_a.split()) & set(DROPPED) != set(form_b.split()) & set(DROPPED):
-        return same * 0.6
-    return same
+    out = dice.astype(float).copy()
+    lead = np.array([f[:1] for f in forms_b], dtype=object)
+    reading, sounded, equal = lead == READ, lead == SOUND, forms_a == forms_b
+    out[equal] = 1.0
+    at = np.flatnonzero(reading)
+    out[at] = _reading_scores(list(forms_a[at]), [f[1:] for f in forms_b[at]])
+    at = np.flatnonzero(sounded)
+    out[at] = _share([sound(f) for f in forms_a[at]], [sound(f[1:]) for f in forms_b[at]])
+    short = np.fromiter((max(len(x), len(y)) <= LONG for x, y in zip(forms_a, forms_b)), bool, len(forms_a))
+    at = np.flatnonzero(~reading & ~sounded & ~equal & short & (dice >= 0.3))
+    if not len(at):
+        return out
+    a, b = forms_a[at], forms_b[at]
+    known = {f: (telling(f), core(f), frozenset(set(f.split()) & set(DROPPED))) for f in {*a, *b}}
+    flag = lambda make: np.fromiter((make(x, y, known[x], known[y]) for x, y in zip(a, b)), bool, len(at))
+    same = (out[at] + _share(list(a), list(b))) / 2
+    apart = flag(lambda x, y, kx, ky: kx[0] != ky[0])
+    left_out = flag(lambda x, y, kx, ky: (kx[1] != x) != (ky[1] != y)) & ~apart
+    other = flag(lambda x, y, kx, ky: kx[1] != x and kx[2] != ky[2]) & ~apart & ~left_out
+    k = np.flatnonzero(left_out)
+    if len(k):
+        same[k] = np.maximum(same[k], 0.95 * _share([known[x][1] for x in a[k]], [known[x][1] for x in b[k]]))
+    out[at] = np.where(apart | other, same * 0.6, same)
+    return out
 
 
 PAIRS = "side int, city string, other string, dice double, weight double, km double, same_country int"
@@ -411,12 +460,16 @@ def _scored(a: pd.DataFrame, b: pd.DataFrame, ia: np.ndarray, ib: np.ndarray, lo
     common = np.bitwise_count(alo & blo).astype(int) + np.bitwise_count(ahi & bhi)
     na = np.bitwise_count(alo).astype(int) + np.bitwise_count(ahi)
     nb = np.bitwise_count(blo).astype(int) + np.bitwise_count(bhi)
-    fa, fb = a["form"].to_numpy()[ia], b["form"].to_numpy()[ib]
-    dice = np.array([similarity(*x) for x in zip(fa, fb, common, na, nb)])
+    bits = np.where(na + nb > 0, 2 * common / np.maximum(na + nb, 1), 0.0)
+    # of all pairs with the same two spellings, one is compared
+    ka, fa = pd.factorize(a["form"].to_numpy()[ia])
+    kb, fb = pd.factorize(b["form"].to_numpy()[ib])
+    _, one, back = np.unique(ka.astype(np.int64) * len(fb) + kb, return_index=True, return_inverse=True)
+    dice = similarities(fa[ka[one]], fb[kb[one]], bits[one])[back]
     weight = a["weight"].to_numpy()[ia] * b["weight"].to_numpy()[ib]
     if located:
-        va = nearby._vectors(a["lat"].to_numpy(float)[ia], a["lon"].to_numpy(float)[ia])
-        vb = nearby._vectors(b["lat"].to_numpy(float)[ib], b["lon"].to_numpy(float)[ib])
+        va = nearby.vectors(a["lat"].to_numpy(float)[ia], a["lon"].to_numpy(float)[ia])
+        vb = nearby.vectors(b["lat"].to_numpy(float)[ib], b["lon"].to_numpy(float)[ib])
         km = 2 * nearby.RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(((va - vb) ** 2).sum(axis=1)) / 2))
     else:
         km = np.full(len(ia), np.nan)
@@ -437,14 +490,14 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     here = rows.where("located")
     total = here.count()
-    sample = nearby._sample(here, total, "lat", "lon")
-    nodes = fit_cells(nearby._vectors(sample[:, 0], sample[:, 1]) if len(sample) else np.zeros((0, 3)), min(nearby.MOST_CELLS, max(1, -(-total // CELL_ROWS))))
+    sample = nearby.sample_rows(here, total, "lat", "lon")
+    nodes = fit_cells(nearby.vectors(sample[:, 0], sample[:, 1]) if len(sample) else np.zeros((0, 3)), nearby.cells_for(total))
     pad = nearby.chord(REACH_KM) * (1 + 1e-9)
     fields = "side int, key string, form string, weight double, lo bigint, hi bigint, country string, lat double, lon double"
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            xyz = nearby._vectors(b["lat"].to_numpy(float), b["lon"].to_numpy(float))
+            xyz = nearby.vectors(b["lat"].to_numpy(float), b["lon"].to_numpy(float))
             reach = np.where(b["side"].to_numpy() == 0, pad, 0.0)[:, None]
             at, cell = assign(nodes, xyz - reach, xyz + reach)
             out = b.iloc[at].copy()
@@ -454,7 +507,7 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in fields.split(", ")]
     placed = here.select(*names).mapInPandas(place, fields + ", cell int")
     # a crowded cell is joined in blocks of both sides
-    placed = nearby._blocks(placed.withColumnRenamed("side", "_kind").withColumn("side", F.when(F.col("_kind") == 0, 0).otherwise(1))).drop("side").withColumnRenamed("_kind", "side")
+    placed = nearby.spread(runtime.cut(placed.withColumn("asks", F.col("side") == 0).withColumn("answers", F.col("side") != 0)))
     step = REACH_KM / 111.0
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -463,7 +516,7 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
         if not len(a) or not len(b):
             return none
         u = lambda s: s.to_numpy().astype(np.int64).view(np.uint64)
-        cube = lambda d: np.floor(nearby._vectors(d["lat"].to_numpy(float), d["lon"].to_numpy(float)) / (step * np.pi / 180)).astype(np.int64)
+        cube = lambda d: np.floor(nearby.vectors(d["lat"].to_numpy(float), d["lon"].to_numpy(float)) / (step * np.pi / 180)).astype(np.int64)
         tag = lambda c: ((c[:, 0] * 73856093) ^ (c[:, 1] * 19349663) ^ (c[:, 2] * 83492791)) & 0xFFFFFFFF
         cb = cube(b)
         around = [tag(cb + np.array([i, j, k])) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
@@ -471,76 +524,71 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
         return _scored(a, b, ia, ib, True)
 
     pairs_near = placed.groupBy("task").applyInPandas(near, PAIRS)
-    # one side has no place: cities without one against all others, others without one against all cities
-    lost_c, lost_o = rows.where("NOT located AND side = 0"), rows.where("NOT located AND side <> 0")
-    far = None
-    for asking, answering, in ((lost_o, rows.where("side = 0")), (lost_c, rows.where("side <> 0 AND located"))):
-        part = _by_country(asking.select(*names), answering.select(*names))
-        far = part if far is None else far.unionByName(part)
-    return pairs_near.unionByName(far)
+    # one side has no place: others without one ask all cities, cities without one ask the others that have one
+    others = _by_country(rows.where("NOT located AND side <> 0").select(*names), rows.where("side = 0").select(*names))
+    lost = _by_country(rows.where("NOT located AND side = 0").select(*names), rows.where("side <> 0 AND located").select(*names))
+    return pairs_near.unionByName(others).unionByName(lost)
 
 
 def _by_country(asking: DataFrame, answering: DataFrame) -> DataFrame:
-    """Asking rows against all answering rows of their country, in blocks; of no country, against all."""
-    wanted = [r[0] for r in asking.select("country").distinct().collect()]  # countries
-    if not wanted:
-        return asking.sparkSession.createDataFrame([], PAIRS)
-    sizes = {r["country"]: -(-r["count"] // BLOCK) for r in answering.groupBy("country").count().collect()}
-    if None not in wanted and "" not in wanted:
-        answering = answering.where(F.col("country").isin([w for w in wanted if w]) | F.col("country").isNull())
-    tasks = F.create_map(*[F.lit(x) for c, n in sizes.items() if c for x in (c, n)]) if any(sizes) else None
-    split = lambda c: F.coalesce(tasks[c], F.lit(1)) if tasks is not None else F.lit(1)
-    unknown = sizes.get(None, 0)
-    code = F.coalesce(F.col("country"), F.lit(""))
-    filed = answering.withColumn(
-        "task", F.concat_ws("/", code, F.pmod(F.xxhash64("key", F.lit(9)), F.when(code == "", F.lit(max(unknown, 1))).otherwise(split(F.col("country")))).cast("string"))
-    ).withColumn("_ask", F.lit(False))
-    every = F.array(*[F.lit(f"{c or ''}/{i}") for c, n in sorted(sizes.items(), key=lambda x: x[0] or "") for i in range(n)])
-    mine = F.transform(F.sequence(F.lit(0), split(F.col("country")) - 1), lambda i: F.concat_ws("/", code, i.cast("string")))
-    lone = F.array(*[F.lit(f"/{i}") for i in range(max(unknown, 1))])
-    sent = asking.withColumn("task", F.explode(F.when(code == "", every).otherwise(F.array_union(mine, lone)))).withColumn("_ask", F.lit(True))
+    """Asking rows against all answering rows of their country and of none, in blocks of both sides; of no country, against all."""
+    codes = sorted(r[0] for r in answering.where("country IS NOT NULL").select("country").distinct().collect())  # country codes
+    own = F.coalesce("country", F.lit(""))
+    every = F.array(F.lit(""), *[F.lit(c) for c in codes])
+    mine = F.when(own == "", every).otherwise(F.array(F.lit(""), own))
+    sent = asking.withColumn("cell", F.explode(mine)).withColumn("asks", F.lit(True)).withColumn("answers", F.lit(False))
+    wanted = asking.select(own.alias("cell")).distinct()
+    filed = answering.withColumn("cell", own).withColumn("asks", F.lit(False)).withColumn("answers", F.lit(True))
+    if not wanted.where("cell = ''").limit(1).count():
+        # no one asks all countries: those that nobody asks need not be sent
+        filed = filed.join(F.broadcast(wanted.where(F.col("cell").isin(codes))), "cell", "left_semi").unionByName(filed.where("cell = ''")) if codes else filed
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, answer = pdf[pdf["_ask"]], pdf[~pdf["_ask"]]
+        ask, answer = pdf[pdf["asks"]], pdf[pdf["answers"]]
         u = lambda s: s.to_numpy().astype(np.int64).view(np.uint64)
         i, j = close_pairs(u(ask["lo"]), u(ask["hi"]), u(answer["lo"]), u(answer["hi"]), FAR_CHUNKS)
         if len(ask) and ask["side"].iloc[0] == 0:
             return _scored(ask, answer, i, j, False)
         return _scored(answer, ask, j, i, False)
 
-    return filed.unionByName(sent).groupBy("task").applyInPandas(meet, PAIRS)
+    return nearby.spread(sent.unionByName(filed)).groupBy("task").applyInPandas(meet, PAIRS)
 
 
 def score_column():
-    """Field-weighted score: Dice of names, less for aliases, for distance, for another country."""
-    place = F.when(F.col("km").isNull() | F.isnan("km"), -0.18).otherwise(
-        -0.02 * F.col("km") - 0.04 * F.greatest(F.lit(0.0), F.col("km") - 1)
-    )
-    country = F.when(F.col("same_country") == 0, -0.25).when(F.col("same_country") == -1, -0.02).otherwise(0.0)
-    return F.col("dice") * (0.8 + 0.2 * F.col("weight")) + place + country
+    """Weighted mean of the fields' Dice scores, 0 to 1; a spelling that is no own name of its record counts for less."""
+    name = F.col("dice") * (0.8 + 0.2 * F.col("weight"))
+    country = F.when(F.col("same_country") == -1, NO_COUNTRY).otherwise(F.col("same_country").cast("double"))
+    # closeness falls slowly within a kilometre, then faster, to nothing at REACH_KM
+    place = F.when(F.col("km").isNull() | F.isnan("km"), NO_PLACE).otherwise(1 - (0.1 * F.col("km") + 0.2 * F.greatest(F.lit(0.0), F.col("km") - 1)))
+    parts = {"name": name, "country": country, "place": place}
+    return sum((w * parts[f] for f, w in FIELDS.items()), F.lit(0.0)) / sum(FIELDS.values())
 
 
 def calibrate(scored: DataFrame) -> tuple[float, float]:
-    """Slope and middle of the logistic curve from best (1) and second-best (0) pairs, by 100 bins of the score."""
-    bins = scored.where("_rank <= 2").groupBy(F.floor(F.col("score") * 50).alias("b")).agg(
+    """Slope and middle of the logistic curve from best (1) and second-best (0) pairs, by 100 bins of the score.
+
+    The fit is by weighted likelihood with a weak normal prior, so that few pairs leave
+    the prior and many overrule it.
+    """
+    bins = scored.where("_rank <= 2").groupBy(F.floor(F.col("score") * 100).alias("b")).agg(
         F.count_if(F.col("_rank") == 1).alias("best"), F.count_if(F.col("_rank") == 2).alias("second")
     ).collect()
-    x = np.array([(r["b"] + 0.5) / 50 for r in bins])
+    x = np.array([(r["b"] + 0.5) / 100 for r in bins])
     pos, neg = np.array([r["best"] for r in bins], float), np.array([r["second"] for r in bins], float)
     if not len(x) or not neg.sum():
-        return 20.0, 0.62
+        return PRIOR_SLOPE, PRIOR_MIDDLE
     # balanced: second-best pairs stand for all pairs of different places
     neg *= pos.sum() / neg.sum()
-    slope, middle = 15.0, 0.62
+    slope, middle = PRIOR_SLOPE, PRIOR_MIDDLE
+    firm = pos.sum() * np.array([0.02 / 841, 20 / 4.75])
     for _ in range(200):
         p = 1 / (1 + np.exp(-slope * (x - middle)))
-        g = (pos + neg) * p - pos
-        w = (pos + neg) * p * (1 - p) + 1e-9
-        grad = np.array([(g * (x - middle)).sum(), -(g * slope).sum()]) + np.array([0.02 * pos.sum() * (slope - 20) / 400, 20 * pos.sum() * (middle - 0.62) / 10])
-        hess = np.array([(w * (x - middle) ** 2).sum() + 0.02 * pos.sum() / 400, (w * slope**2).sum() + 20 * pos.sum() / 10])
-        step = np.clip(grad / hess, -0.5, 0.5)
-        slope, middle = slope - step[0], middle - np.clip(step[1], -0.01, 0.01)
-    return float(np.clip(slope, 10, 60)), float(np.clip(middle, 0.55, 0.7))
+        g, w = (pos + neg) * p - pos, (pos + neg) * p * (1 - p) + 1e-9
+        grad = np.array([(g * (x - middle)).sum(), -(g * slope).sum()]) + firm * np.array([slope - PRIOR_SLOPE, middle - PRIOR_MIDDLE])
+        hess = np.array([(w * (x - middle) ** 2).sum(), (w * slope**2).sum()]) + firm
+        step = np.clip(grad / hess, [-0.7, -0.007], [0.7, 0.007])
+        slope, middle = slope - step[0], middle - step[1]
+    return float(slope), float(middle)
 
 
 def match(cities: DataFrame, candidates: DataFrame, areas: DataFrame, countries: DataFrame) -> DataFrame:
@@ -566,7 +614,7 @@ def match(cities: DataFrame, candidates: DataFrame, areas: DataFrame, countries:
         F.col("km"),
         # without a place, another city of the same name makes the choice a guess
         F.round(
-            F.when((F.col("km").isNull() | F.isnan("km")) & (F.col("_next") > F.col("score") - 0.05), 0.5)
+            F.when((F.col("km").isNull() | F.isnan("km")) & (F.col("_next") > F.col("score") - 0.05 / sum(FIELDS.values())), 0.5)
             .otherwise(1.0) / (1 + F.exp(-slope * (F.col("score") - middle))), 6
         ).alias("confidence"),
     )

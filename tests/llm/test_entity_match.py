@@ -32,10 +32,45 @@ def test_fold():
     assert em.display_name(" ,; ", known) is None
 
 
+def one_by_one(a, b):
+    """Edits of two names by the plain recurrence."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_edits_against_the_recurrence():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcé東") for _ in range(rng.randrange(9)))
+    pairs = [(word(), word()) for _ in range(400)] + [("", ""), ("", "abc"), ("ab", "ba"), ("a" * 40, "a" * 39 + "b"), ("x", "x")]
+    assert em.edits(*map(list, zip(*pairs))).tolist() == [one_by_one(a, b) for a, b in pairs]
+    assert em.edits([], []).tolist() == []
+
+
+def similar(a, b):
+    x, y = em.vector(a.lstrip(em.READ + em.SOUND)), em.vector(b.lstrip(em.READ + em.SOUND))
+    common, size = sum((p & q).bit_count() for p, q in zip(x, y)), sum(v.bit_count() for v in (*x, *y))
+    return float(em.similarities(np.array([a], object), np.array([b], object), np.array([2 * common / size if size else 0.0]))[0])
+
+
 def test_similarity():
-    s = lambda a, b: em.similarity(a, b, *(lambda x, y: ((x[0] & y[0]).bit_count() + (x[1] & y[1]).bit_count(), sum(v.bit_count() for v in x), sum(v.bit_count() for v in y)))(em.vector(a), em.vector(b)))
-    assert s("keturze", "ketuzre") > 0.6 and s("alto mira", "basso mira") < 0.5 and s("mira", "port mira") > 0.9 and s("mira", "mira") == 1
-    assert em.edits("ab", "ba") == 1 and em.edits("", "abc") == 3
+    assert similar("keturze", "ketuzre") > 0.6 and similar("alto mira", "basso mira") < 0.5 and similar("mira", "port mira") > 0.9 and similar("mira", "mira") == 1
+    assert similar("virakusa", em.SOUND + "vilakusa") == 1 and similar("tikpa", em.READ + "tikpa") == 1 and similar("", "") == 1
+    assert similar("a" * 300, "a" * 299 + "b") < 1  # very long names: by their bits
+
+
+def test_score_is_a_weighted_mean_of_fields(spark):
+    rows = [(1.0, 1.0, 0.0, 1), (1.0, 1.0, 4.0, 1), (1.0, 1.0, 0.0, 0), (0.5, 1.0, 0.0, 1), (1.0, 1.0, None, -1), (0.0, 1.0, 4.0, 0)]
+    df = spark.createDataFrame(rows, "dice double, weight double, km double, same_country int")
+    got = [r.s for r in df.select(em.score_column().alias("s")).collect()]
+    w = em.FIELDS
+    total = sum(w.values())
+    exp = [total, total - w["place"], total - w["country"], total - 0.5 * w["name"], total - w["country"] * (1 - em.NO_COUNTRY) - w["place"] * (1 - em.NO_PLACE), 0.0]
+    assert np.allclose(got, [x / total for x in exp])
 
 
 def square(x, y, s=0.01):
@@ -84,9 +119,51 @@ def test_empty_tables(spark):
 
 
 def test_blocks_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(em, "BLOCK", 3)
-    monkeypatch.setattr(em, "CELL_ROWS", 4)
+    monkeypatch.setattr(em.nearby, "BLOCK", 3)
+    monkeypatch.setattr(em.nearby, "CELL_ROWS", 4)
     cities = [(i, f"Place{chr(97 + i % 26)}{chr(97 + i // 26)}mark", f"Place{chr(97 + i % 26)}{chr(97 + i // 26)}mark", None, None, "AA", 1.0 + i, 2.0) for i in range(60)]
     candidates = [(str(i), c[1], None, "AA" if i % 2 else None, None if i % 3 == 0 else square(2.0, 1.0 + i)) for i, c in enumerate(cities)]
     got = {(r.city_id, r.other_id) for r in em.found(*tables(spark, cities, candidates, [])).collect()}
     assert got == {(i, str(i)) for i in range(60)}
+
+
+def test_hot_country_is_parted_on_both_sides(spark, monkeypatch):
+    """All records of one country, none located: both sides are cut into blocks, and every pair still meets."""
+    monkeypatch.setattr(em.nearby, "BLOCK", 10)
+    name = lambda i: f"Ge{chr(97 + i % 26)}{chr(97 + i // 26)}mork{chr(122 - i % 26)}"
+    cities = [(i, name(i), name(i), None, None, "AA", None, None) for i in range(50)]
+    candidates = [(str(i), name(i), None, "AA" if i % 2 else "", None) for i in range(50)]
+    t = tables(spark, cities, candidates, [])
+    rows = em.forms(*t).dropDuplicates(["side", "key", "form"])
+    pairs = em._by_country(rows.where("side = 1").drop("located"), rows.where("side = 0").drop("located"))
+    assert {(r.city, r.other) for r in pairs.collect()} >= {(str(i), str(i)) for i in range(50)}
+    assert pairs.count() == pairs.dropDuplicates(["side", "city", "other"]).count()
+
+
+def test_confidence_is_calibrated(spark):
+    """Noisy copies of known places: matches of each range of confidence are right at least as often as it says, less a margin."""
+    rng = random.Random(12)
+    part = ["ka", "ri", "mo", "tel", "vas", "nu", "gor", "le", "pi", "dan", "sur", "bo"]
+    cities, candidates, truth = [], [], {}
+    for i in range(400):
+        n = "".join(rng.choice(part) for _ in range(rng.choice([3, 4]))).title()
+        y, x = rng.uniform(-50, 50), rng.uniform(-150, 150)
+        cities.append((i, n, n, None, None, "AA", y, x))
+        m = list(n)
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            m[rng.randrange(len(m))] = rng.choice("aeioukrt")
+        there = i if rng.random() < 0.8 else None
+        where = (x + rng.gauss(0, 0.01), y + rng.gauss(0, 0.01))
+        if there is None:  # another place near by
+            m = list("".join(rng.choice(part) for _ in range(3)).title())
+        candidates.append((str(i), "".join(m), None, rng.choice(["AA", None]), None if rng.random() < 0.1 else square(*where)))
+        truth[str(i)] = there
+    rows = em.match(*tables(spark, cities, candidates, [])).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(min(int(r.confidence * 4), 3), []).append((r.confidence, truth[r.other_id] == r.city_id))
+    for values in bins.values():
+        said, right = np.mean([c for c, _ in values]), np.mean([ok for _, ok in values])
+        assert len(values) < 8 or right >= said - 0.15, (said, right, len(values))
+    sure = [ok for c, ok in bins[3]]
+    assert len(sure) > 80 and np.mean(sure) > 0.95
