@@ -390,12 +390,3 @@ def found(cities: DataFrame, areas: DataFrame, near_km: float = 3.0, centre_km:
     centre = named(within(places, centres, centre_km), "centre").distinct()
     inside = named(containing(places, regions.select("key", "geometry").dropDuplicates(["key"])), "inside")
     return near.unionByName(inside).unionByName(centre)
-
-
-# names the optional subpackage still uses
-_vectors, _sample = vectors, sample_rows
-
-
-def _blocks(placed: DataFrame) -> DataFrame:
-    """spread() for rows of one side each: side 0 asks, side 1 answers."""
-    return spread(placed.withColumn("asks", F.col("side") == 0).withColumn("answers", F.col("side") == 1)).drop("asks", "answers")
