@@ -80,6 +80,18 @@ def bounds(geometry: Column) -> dict[str, Column]:
     return {"min_x": F.array_min(xs), "min_y": F.array_min(ys), "max_x": F.array_max(xs), "max_y": F.array_max(ys)}
 
 
+def orientation(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """1 left of the line from a to b, -1 right of it, 0 on it within the smallest orientation that counts."""
+    cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    return F.when(F.abs(cross) < 1e-12, 0).otherwise(F.signum(cross)).cast("int")
+
+
+def span(ring: Column) -> dict[str, Column]:
+    """Width and height of a ring in degrees, across the antimeridian too."""
+    xs, ys = F.transform(unwrapped(ring), lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return {"x": F.array_max(xs) - F.array_min(xs), "y": F.array_max(ys) - F.array_min(ys)}
+
+
 def vertices(geometry: Column) -> Column:
     """Number of points."""
     return F.size(points(geometry))
@@ -111,12 +123,13 @@ def ring_area(ring: Column) -> Column:
     return F.aggregate(ring, start, step, lambda acc: acc["twice"] / 2)
 
 
-def wound(geometry: Column) -> Column:
-    """Outer rings anticlockwise, holes clockwise."""
-    return F.transform(
+def wound(geometry: Column, reject_flat: bool = False) -> Column:
+    """Outer rings anticlockwise, holes clockwise; with reject_flat null for a geometry with a ring of no area."""
+    turned = F.transform(
         geometry,
         lambda polygon: F.transform(polygon, lambda ring, i: F.when((ring_area(ring) > 0) == (i == 0), ring).otherwise(F.reverse(ring))),
     )
+    return F.when(~F.exists(F.flatten(geometry), lambda r: ring_area(r) == 0), turned) if reject_flat else turned
 
 
 def centroid(geometry: Column) -> tuple[Column, Column]:
@@ -170,37 +183,62 @@ def arc_points(arc: Column, scale: float = 1e-5) -> Column:
     return F.aggregate(arc, start, step, lambda acc: acc["out"])
 
 
-def problem(geometry: Column, most_vertices: int = 50_000, most_polygons: int = 2_000) -> Column:
-    """Code of the first thing wrong with a geometry, null if nothing is."""
-    rings = F.flatten(geometry)
-    p = points(geometry)
-    bad = lambda v, m: v.isNull() | F.isnan(v) | (F.abs(v) > m)
-    return (
-        F.when(geometry.isNull(), "GEOMETRY_INVALID")
-        .when((F.size(geometry) == 0) | F.exists(geometry, lambda q: F.size(q) == 0), "GEOMETRY_EMPTY")
-        .when(F.size(geometry) > most_polygons, "POLYGON_COUNT_OVERFLOW")
-        .when(F.exists(rings, lambda r: F.size(r) < 4), "RING_TOO_SHORT")
-        .when(F.exists(p, lambda q: bad(q["x"], 180.0) | bad(q["y"], 90.0)), "COORDINATE_INVALID")
-        .when(F.exists(rings, lambda r: (F.element_at(r, 1)["x"] != F.element_at(r, -1)["x"]) | (F.element_at(r, 1)["y"] != F.element_at(r, -1)["y"])), "RING_NOT_CLOSED")
-        .when(F.exists(rings, lambda r: F.abs(ring_area(unwrapped(r))) == 0), "RING_ZERO_AREA")
-        .when(F.size(p) > most_vertices, "VERTEX_COUNT_OVERFLOW")
-    )
-
-
-_PA_GEOM = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+def problems(geometry: Column) -> Column:
+    """Codes of everything wrong with a geometry, in order, each once; empty if nothing is.
+
+    A null geometry has no type. A ring of fewer than four points, or with a coordinate
+    that is null, no number or off the globe, is not looked at further.
+    """
+    off = lambda v, m: v.isNull() | F.isnan(v) | (F.abs(v) > m)
+    broken = lambda r: F.exists(r, lambda q: q.isNull() | off(q["x"], 180.0) | off(q["y"], 90.0))
+    ends = lambda r: (F.element_at(r, 1), F.element_at(r, -1))
+    rings = F.flatten(F.filter(geometry, lambda p: p.isNotNull()))
+    short = lambda r: r.isNull() | (F.size(r) < 4)
+    sound = F.filter(rings, lambda r: ~short(r) & ~F.coalesce(broken(r), F.lit(False)))
+    checks = {
+        "COORDINATE_INVALID": F.exists(F.filter(rings, lambda r: ~short(r)), broken),
+        "GEOMETRY_EMPTY": (F.size(geometry) == 0) | F.exists(geometry, lambda p: p.isNull() | (F.size(p) == 0)),
+        "RING_NOT_CLOSED": F.exists(sound, lambda r: (ends(r)[0]["x"] != ends(r)[1]["x"]) | (ends(r)[0]["y"] != ends(r)[1]["y"])),
+        "RING_TOO_SHORT": F.exists(rings, short),
+        "RING_ZERO_AREA": F.exists(sound, lambda r: ring_area(unwrapped(r)) == 0),
+    }
+    found = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in checks.items()]), lambda x: x.isNotNull())
+    return F.when(geometry.isNull(), F.array(F.lit("GEOMETRY_TYPE_INVALID"))).otherwise(found)
+
+
+def _decoded(column: pa.Array) -> list:
+    """Geometries of a column as polygons of rings [points, 2], null ones None; points are views of two flat arrays."""
+    polygons, outer = column.values, column.offsets.to_numpy()
+    rings, middle = polygons.values, polygons.offsets.to_numpy()
+    flat, inner = rings.values, rings.offsets.to_numpy()
+    xy = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in flat.flatten()]) if len(flat) else np.empty((0, 2))
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    ring = lambda r: xy[inner[r] : inner[r + 1]]
+    return [
+        None if null[i] else [[ring(r) for r in range(middle[p], middle[p + 1])] for p in range(outer[i], outer[i + 1])] for i in range(len(column))
+    ]
+
+
+def _encoded(geometries: list) -> pa.Array:
+    """The column of geometries as _decoded gives them."""
+    polygons = [p for g in geometries if g is not None for p in g]
+    rings = [r for p in polygons for r in p]
+    ends = lambda parts: pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32))
+    xy = np.concatenate(rings) + 0.0 if rings else np.empty((0, 2))
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], ["x", "y"])
+    nested = pa.ListArray.from_arrays(ends(polygons), pa.ListArray.from_arrays(ends(rings), points))
+    null = pa.array([g is None for g in geometries], pa.bool_())
+    return pa.ListArray.from_arrays(ends([() if g is None else g for g in geometries]), nested, mask=null)
 
 
 def _each(one, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
-    """A function of values over Arrow columns."""
-    return pa.array([one(*row) for row in zip(*[c.to_pylist() for c in columns])], kind)
-
+    """A function of geometries over their columns; null where one is null."""
+    return pa.array([None if any(g is None for g in row) else one(*row) for row in zip(*map(_decoded, columns))], kind)
 
-def _rings(geometry) -> list[list[np.ndarray]]:
-    return [[np.array([(q["x"], q["y"]) for q in ring], dtype=float).reshape(-1, 2) for ring in polygon] for polygon in geometry]
 
-
-def _plain(polygons) -> list:
-    return [[[{"x": float(x) + 0.0, "y": float(y) + 0.0} for x, y in ring] for ring in polygon] for polygon in polygons]
+def _each_shape(one, column: pa.Array) -> pa.Array:
+    """A function from geometry to geometry over a column; null stays null."""
+    return _encoded([None if g is None else one(g) for g in _decoded(column)])
 
 
 def unwrap(ring: np.ndarray) -> np.ndarray:
@@ -230,10 +268,8 @@ def split_at_antimeridian(s: pa.Array) -> pa.Array:
     """Polygons cut at the antimeridian so that every part lies in -180..180; null stays null."""
 
     def one(geometry):
-        if geometry is None:
-            return None
         out = []
-        for polygon in _rings(geometry):
+        for polygon in geometry:
             rings = [unwrap(r) for r in polygon if len(r) >= 4]
             if not rings:
                 continue
@@ -252,9 +288,9 @@ def split_at_antimeridian(s: pa.Array) -> pa.Array:
                         break
                 if part:
                     out.append(part)
-        return _plain(out)
+        return out
 
-    return _each(one, _PA_GEOM, s)
+    return _each_shape(one, s)
 
 
 @arrow_udf(StringType())
@@ -271,48 +307,109 @@ def canonical(s: pa.Array) -> pa.Array:
         return repr(min(forms))
 
     def one(geometry):
-        if geometry is None:
-            return None
-        return repr(sorted([[ring_text(p[0]), *sorted(ring_text(h) for h in p[1:])] for p in _rings(geometry) if p and all(len(r) for r in p)]))
+        return repr(sorted([[ring_text(p[0]), *sorted(ring_text(h) for h in p[1:])] for p in geometry if p and all(len(r) for r in p)]))
 
     return _each(one, pa.string(), s)
 
 
-def _side(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """[edges, points]: which side of the edges a-b the points c lie on, 0 on the line."""
-    d, v = b - a, c[None, :, :] - a[:, None, :]
-    cross = d[:, 0, None] * v[:, :, 1] - d[:, 1, None] * v[:, :, 0]
-    return np.where(np.abs(cross) < 1e-12, 0.0, np.sign(cross))
+#: Edge and point, or edge and edge, that are looked at at once: bounds the memory of the tests below.
+MEETINGS = 1_000_000
+#: Fixed value: an orientation below this is none.
+FLAT = 1e-12
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which side of the lines a-b the points c lie on, row by row: 1 left, -1 right, 0 on it."""
+    cross = (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+    return np.where(np.abs(cross) < FLAT, 0.0, np.sign(cross))
+
+
+def _meetings(first: np.ndarray, last: np.ndarray):
+    """(row, place) of every place in first..last of each row, in pieces of about MEETINGS."""
+    n = np.maximum(last - first, 0)
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MEETINGS, "right")))
+        rows = np.repeat(np.arange(at, to), n[at:to])
+        yield rows, np.repeat(first[at:to], n[at:to]) + np.arange(len(rows)) - np.repeat(np.cumsum(n[at:to]) - n[at:to], n[at:to])
+        at = to
 
 
 def in_ring(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """G11 for many points: 1 inside, 0 on the ring, -1 outside."""
+    """G11 for many points: 1 inside, 0 on the ring, -1 outside.
+
+    Points are sorted by latitude, so that an edge meets only those of its latitudes.
+    """
+    out = np.full(len(points), -1)
+    if len(ring) < 2 or not len(points):
+        return out
     a, b = ring[:-1], ring[1:]
-    low, high = np.minimum(a, b)[:, None, :] - 1e-12, np.maximum(a, b)[:, None, :] + 1e-12
-    p = points[None, :, :]
-    on = ((_side(a, b, points) == 0) & (low <= p).all(axis=2) & (p <= high).all(axis=2)).any(axis=0)
-    meets = (a[:, 1, None] > p[:, :, 1]) != (b[:, 1, None] > p[:, :, 1])
-    rise = np.where(b[:, 1] == a[:, 1], 1.0, b[:, 1] - a[:, 1])[:, None]
-    x = a[:, 0, None] + (p[:, :, 1] - a[:, 1, None]) * (b[:, 0] - a[:, 0])[:, None] / rise
-    odd = (meets & (p[:, :, 0] < x)).sum(axis=0) % 2 == 1
-    return np.where(on, 0, np.where(odd, 1, -1))
+    order = np.argsort(points[:, 1], kind="stable")
+    p = points[order]
+    low, high = np.minimum(a, b) - FLAT, np.maximum(a, b) + FLAT
+    crossings, on = np.zeros(len(p), np.int64), np.zeros(len(p), bool)
+    for e, i in _meetings(np.searchsorted(p[:, 1], low[:, 1], "left"), np.searchsorted(p[:, 1], high[:, 1], "right")):
+        x, y = p[i, 0], p[i, 1]
+        beside = (x >= low[e, 0]) & (x <= high[e, 0])
+        on[i[beside][_turn(a[e[beside]], b[e[beside]], p[i[beside]]) == 0]] = True
+        meets = (a[e, 1] > y) != (b[e, 1] > y)
+        e, i = e[meets], i[meets]
+        at = a[e, 0] + (p[i, 1] - a[e, 1]) * (b[e, 0] - a[e, 0]) / (b[e, 1] - a[e, 1])
+        crossings += np.bincount(i[p[i, 0] < at], minlength=len(p))
+    out[order] = np.where(on, 0, np.where(crossings % 2 == 1, 1, -1))
+    return out
 
 
 def in_polygon(points: np.ndarray, polygon: list[np.ndarray]) -> np.ndarray:
     """1 within the outer ring and outside all holes, 0 on a ring, else -1."""
     at = in_ring(points, polygon[0])
     for hole in polygon[1:]:
-        h = in_ring(points, hole)
-        at = np.where(at == 1, np.where(h == 0, 0, -h), at)
+        inside = np.flatnonzero(at == 1)
+        at[inside] = -in_ring(points[inside], hole)
     return at
 
 
 def polygons_overlap(one: list[np.ndarray], two: list[np.ndarray]) -> bool:
-    """A proper crossing of edges, or a vertex of one strictly inside the other."""
-    a, b = (np.concatenate([r[:-1] for r in one]), np.concatenate([r[1:] for r in one]))
-    c, d = (np.concatenate([r[:-1] for r in two]), np.concatenate([r[1:] for r in two]))
-    crossing = (_side(a, b, c) * _side(a, b, d) < 0) & ((_side(c, d, a) * _side(c, d, b)).T < 0)
-    return bool(crossing.any() or (in_polygon(one[0][:-1], two) == 1).any() or (in_polygon(two[0][:-1], one) == 1).any())
+    """A proper crossing of edges, or a vertex of one strictly inside the other.
+
+    Only edges and vertices within both boxes are looked at; edges of one side are sorted
+    by their west end, so that an edge meets those it can reach.
+    """
+    low = np.maximum(one[0].min(axis=0), two[0].min(axis=0))
+    high = np.minimum(one[0].max(axis=0), two[0].max(axis=0))
+
+    def edges(polygon):
+        a, b = np.concatenate([r[:-1] for r in polygon]), np.concatenate([r[1:] for r in polygon])
+        near = ((np.minimum(a, b) <= high) & (np.maximum(a, b) >= low)).all(axis=1)
+        return a[near], b[near]
+
+    (a, b), (c, d) = edges(one), edges(two)
+    if len(a) and len(c):
+        order = np.argsort(np.minimum(c[:, 0], d[:, 0]), kind="stable")
+        c, d = c[order], d[order]
+        west, east = np.minimum(c[:, 0], d[:, 0]), np.maximum(c[:, 0], d[:, 0])
+        # the furthest east any edge so far reaches: before it comes to an edge's west end, none meets it
+        reach = np.maximum.accumulate(east)
+        for i, j in _meetings(np.searchsorted(reach, np.minimum(a[:, 0], b[:, 0]), "left"), np.searchsorted(west, np.maximum(a[:, 0], b[:, 0]), "right")):
+            near = (np.minimum(a[i, 1], b[i, 1]) <= np.maximum(c[j, 1], d[j, 1])) & (np.minimum(c[j, 1], d[j, 1]) <= np.maximum(a[i, 1], b[i, 1]))
+            near &= east[j] >= np.minimum(a[i, 0], b[i, 0])
+            i, j = i[near], j[near]
+            if ((_turn(a[i], b[i], c[j]) * _turn(a[i], b[i], d[j]) < 0) & (_turn(c[j], d[j], a[i]) * _turn(c[j], d[j], b[i]) < 0)).any():
+                return True
+    for own, other in ((one, two), (two, one)):
+        v = own[0][:-1]
+        v = v[((v >= low) & (v <= high)).all(axis=1)]
+        if (in_polygon(v, other) == 1).any():
+            return True
+    return False
+
+
+def _together(polygon: list[np.ndarray]) -> list[np.ndarray]:
+    """Rings of at least four points without jumps of longitude, holes in the turn of their outer ring."""
+    rings = [unwrap(r) for r in polygon if len(r) >= 4]
+    middle = lambda r: (r[:, 0].min() + r[:, 0].max()) / 2
+    return rings[:1] + [r - np.array([360.0 * round((middle(r) - middle(rings[0])) / 360), 0.0]) for r in rings[1:]]
 
 
 @arrow_udf(BooleanType())
@@ -320,9 +417,7 @@ def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     """G12 for two geometries, shifted by whole turns where they cross the antimeridian; null if one is null."""
 
     def one(x, y):
-        if x is None or y is None:
-            return None
-        xs, ys = ([[unwrap(r) for r in p if len(r) >= 4] for p in _rings(g)] for g in (x, y))
+        xs, ys = ([_together(p) for p in g] for g in (x, y))
         for p in xs:
             for q in ys:
                 for turn in (-360.0, 0.0, 360.0):
@@ -335,8 +430,8 @@ def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return _each(one, pa.bool_(), a, b)
 
 
-def simplify_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker with a stack; ends stay, a ring keeps four points."""
+def kept_points(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points Douglas-Peucker keeps, with a stack; ends stay, a ring keeps four points."""
     keep = np.zeros(len(ring), dtype=bool)
     far = int(np.argmax(((ring - ring[0]) ** 2).sum(axis=1)))
     keep[[0, far, len(ring) - 1]] = True
@@ -352,15 +447,78 @@ def simplify_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
         if dist[k] > tolerance:
             keep[i + 1 + k] = True
             stack += [(i, i + 1 + k), (i + 1 + k, j)]
-    return ring[keep] if keep.sum() >= 4 else ring
+    return keep if keep.sum() >= 4 else np.ones(len(ring), dtype=bool)
 
 
-def simplified(tolerance: float):
-    """G18 for whole geometries; null stays null."""
+def simplify_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    return ring[kept_points(ring, tolerance)]
+
+
+def _mercator(ring: np.ndarray) -> np.ndarray:
+    """G5 for a ring: unwrapped longitudes and projected latitudes, in turns of the globe."""
+    r = np.radians(np.clip(ring[:, 1], -MERCATOR_LAT, MERCATOR_LAT))
+    return np.column_stack([unwrap(ring)[:, 0] / 360 + 0.5, (1 - np.arcsinh(np.tan(r)) / math.pi) / 2])
+
+
+def simplified(tolerance: float, projected: bool = False):
+    """G18 for whole geometries; null stays null. Distances are degrees, or, projected, turns on the square map."""
+
+    @arrow_udf(GEOM_TYPE)
+    def run(s: pa.Array) -> pa.Array:
+        def ring(r):
+            if len(r) <= 4:
+                return r
+            return r[kept_points(_mercator(r) if projected else r, tolerance)]
+
+        return _each_shape(lambda g: [[ring(r) for r in p] for p in g], s)
+
+    return run
+
+
+def visvalingam(ring: np.ndarray, least: float) -> np.ndarray:
+    """A closed ring without the points whose triangle with their neighbours is below ``least``, smallest first.
+
+    A point's area never falls below that of one taken out before it, so that the order
+    of thresholds is kept; a ring keeps four points.
+    """
+    import heapq
+
+    n = len(ring) - 1
+    if n <= 3:
+        return ring
+    x, y = ring[:n, 0].tolist(), ring[:n, 1].tolist()
+    before, after = [(i - 1) % n for i in range(n)], [(i + 1) % n for i in range(n)]
+
+    def area(i):
+        a, b = before[i], after[i]
+        return abs((x[a] - x[i]) * (y[b] - y[i]) - (x[b] - x[i]) * (y[a] - y[i])) / 2
+
+    now = [area(i) for i in range(n)]
+    heap = [(v, i) for i, v in enumerate(now)]
+    heapq.heapify(heap)
+    left, alive = n, [True] * n
+    while heap and left > 3:
+        v, i = heapq.heappop(heap)
+        if not alive[i] or v != now[i]:
+            continue
+        if v >= least:
+            break
+        alive[i] = False
+        left -= 1
+        a, b = before[i], after[i]
+        after[a], before[b] = b, a
+        for k in (a, b):
+            now[k] = max(area(k), v)
+            heapq.heappush(heap, (now[k], k))
+    kept = np.flatnonzero(alive)
+    return ring[np.append(kept, kept[0])]
+
+
+def presimplified(least: float):
+    """G19 for whole geometries; null stays null."""
 
     @arrow_udf(GEOM_TYPE)
     def run(s: pa.Array) -> pa.Array:
-        ring = lambda r: simplify_ring(r, tolerance) if len(r) > 4 else r
-        return _each(lambda g: None if g is None else _plain([[ring(r) for r in p] for p in _rings(g)]), _PA_GEOM, s)
+        return _each_shape(lambda g: [[visvalingam(r, least) if len(r) > 4 else r for r in p] for p in g], s)
 
     return run

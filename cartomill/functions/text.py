@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,17 @@ def decomposed(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@pandas_udf(StringType())
+def without_latin_marks(s: pd.Series) -> pd.Series:
+    """NFKD without the combining marks U+0300 to U+036F; the vowel signs of other scripts stay. Null stays null."""
+    return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f"))
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space at the ends as JavaScript knows it: Unicode spaces, line ends and U+FEFF."""
+    return F.regexp_replace(c, r"\A[\s\p{Z}\x{feff}]+|[\s\p{Z}\x{feff}]+\z", "")
+
+
 def search_key(c: Column) -> Column:
     """No marks, lower case, runs of punctuation and separators are one space."""
     return F.trim(F.regexp_replace(F.lower(decomposed(c)), r"[\p{P}\p{Z}]+", " "))
@@ -32,8 +44,8 @@ def area_key(c: Column) -> Column:
 
 
 def candidate_key(c: Column) -> Column:
-    """No marks, trimmed, lower case."""
-    return F.lower(F.trim(decomposed(c)))
+    """No marks of U+0300 to U+036F, trimmed, lower case."""
+    return F.lower(trimmed(without_latin_marks(c)))
 
 
 def match_rank(text: Column, query: Column) -> Column:
@@ -43,7 +55,7 @@ def match_rank(text: Column, query: Column) -> Column:
 
 def bounded(c: Column, most: int) -> Column:
     """Text of 1 to most code points without control characters, trimmed as JavaScript does (Unicode spaces, line ends and U+FEFF)."""
-    t = F.regexp_replace(c, r"\A[\s\p{Z}\x{feff}]+|[\s\p{Z}\x{feff}]+\z", "")
+    t = trimmed(c)
     return F.when((F.char_length(t) > 0) & (F.char_length(t) <= most) & ~has_control(t), t)
 
 
@@ -104,3 +116,50 @@ def utc_instant(c: Column) -> Column:
         c.rlike(r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\z"),
         F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")),
     )
+
+
+def html_safe_json(c: Column) -> Column:
+    """JSON text that can stand in a script element: <, >, & and the line separators as escapes."""
+    out = c
+    for raw in ("<", ">", "&", "\u2028", "\u2029"):
+        out = F.replace(out, F.lit(raw), F.lit(f"\\u{ord(raw):04x}"))
+    return out
+
+
+def is_form(c: Column, form: str) -> Column:
+    """X11: whether text has a fixed form; false for null."""
+    return F.coalesce(c.rlike(FORMS[form]), F.lit(False))
+
+
+#: Forms of ids and digests.
+FORMS = {
+    "iso2": r"\A[A-Z]{2}\z", "sha256": r"\A[0-9a-f]{64}\z", "commit": r"\A[0-9a-f]{7,40}\z", "release": r"\A\d{4}-\d{2}-\d{2}\.\d+\z",
+    "uuid": r"\A[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\z",
+}
+
+
+def secret_findings(c: Column) -> Column:
+    """What of a text should not be published: ``absolute-path``, ``secret-key``, ``timestamp``; null text has none."""
+    path = c.rlike(r"(?:\A|[\s\"'(=:,])(?:/(?:Users|home|root|tmp|var|etc|opt|mnt|private)/|[A-Za-z]:\\\\)")
+    secret = c.rlike(r"(?i)(?:api[_-]?key|access[_-]?token|secret|passwo?r?d|authorization|private[_-]?key)\s*[:=]")
+    stamp = c.rlike(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}")
+    flags = [F.when(x, F.lit(n)) for n, x in (("absolute-path", path), ("secret-key", secret), ("timestamp", stamp))]
+    return F.filter(F.array(*flags), lambda x: x.isNotNull())
+
+
+def updated_in_order(created: Column, updated: Column) -> Column:
+    """Whether an update is not before the creation, by instants; null if either is none."""
+    return utc_instant(updated) >= utc_instant(created)
+
+
+def canonical_text(json: Column) -> Column:
+    """JS2, JS3, K5: JSON with the keys of every object in order and without spaces; equal for equal documents, null for text that is none."""
+    return F.to_json(F.try_parse_json(json))
+
+
+def merged_maps(*maps: Column) -> Column:
+    """MP2: one map of all keys; of a key in several the last counts."""
+    def over(m: Column, later: Column) -> Column:
+        return F.map_concat(F.map_filter(m, lambda k, v: ~F.map_contains_key(later, k)), later)
+
+    return reduce(over, maps)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
@@ -64,3 +65,58 @@ def last_writer_wins(current: DataFrame, incoming: DataFrame, keys: list[str], s
         return first_by(incoming, keys, F.col(stamp).desc_nulls_last())
     both = current.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
     return first_by(both, keys, F.col(stamp).desc_nulls_last(), F.col("_side")).drop("_side")
+
+
+def positions(ordered: DataFrame) -> DataFrame:
+    """A sorted table with ``position`` from 1: the order itself as a column.
+
+    Ranges are sorted apart and offset by the rows before them (two passes), so that no
+    task holds all rows.
+    """
+    schema = ordered.schema
+    spark = ordered.sparkSession
+    numbered = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
+    return spark.createDataFrame(numbered, StructType([*schema.fields, StructField("position", LongType(), False)]))
+
+
+def unknown_references(df: DataFrame, known: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, code) of references that the other table lacks, each once; null is no reference."""
+    return df.select(key).where(F.col(key).isNotNull()).distinct().join(known.select(key).distinct(), key, "left_anti").withColumn("code", F.lit(code))
+
+
+def owner_of(df: DataFrame, owner: str, codes: str) -> DataFrame:
+    """(code, owner, contested) of every code of the arrays; one that several owners name has none."""
+    pairs = df.select(F.col(owner).alias("owner"), F.explode(codes).alias("code")).where("code IS NOT NULL").distinct()
+    n = F.count("owner")
+    return pairs.groupBy("code").agg(F.when(n == 1, F.min("owner")).alias("owner"), (n > 1).alias("contested"))
+
+
+def owned(df: DataFrame, key: str, owners: DataFrame, owner: str, excluded: list[str]) -> DataFrame:
+    """(key, owner, code): the owner of each id; EXCLUDED for those named, UNOWNED for the rest without one."""
+    named = F.coalesce(F.col(key).isin(excluded), F.lit(False)) if excluded else F.lit(False)
+    joined = df.select(key).distinct().join(owners.select(F.col(owner).alias("owner")).distinct(), (F.col(key) == F.col("owner")) & ~named, "left")
+    return joined.select(key, "owner", F.when(named, "EXCLUDED").when(F.col("owner").isNull(), "UNOWNED").alias("code"))
+
+
+def equal_sets(left: DataFrame, right: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, same): whether a group has the same set of keys on both sides; groups and keys that are null are left out.
+
+    Keys are joined, not collected, so that a group may be of any size.
+    """
+    side = lambda df, name: df.where(F.col(group).isNotNull() & F.col(key).isNotNull()).select(group, key).distinct().withColumn(name, F.lit(True))
+    both = side(left, "_a").join(side(right, "_b"), [group, key], "full")
+    return both.groupBy(group).agg(F.every(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("same"))
+
+
+def cache_status(wanted: DataFrame, kept: DataFrame, key: str, columns: list[str], loads: Column) -> DataFrame:
+    """(key, status) of entries against the kept copies.
+
+    ``cached`` where all columns are equal (null equals null), else ``fresh`` if the entry
+    ``loads``, ``stale-cache`` if it does not and a copy is kept, ``unavailable`` otherwise.
+    """
+    old = kept.select(key, F.struct(*columns).alias("_kept"))
+    status = (
+        F.when(F.col("_kept").isNotNull() & F.struct(*columns).eqNullSafe(F.col("_kept")), "cached").when(loads, "fresh")
+        .when(F.col("_kept").isNotNull(), "stale-cache").otherwise("unavailable")
+    )
+    return wanted.join(old, key, "left").select(key, status.alias("status"))

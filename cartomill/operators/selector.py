@@ -48,3 +48,13 @@ def predicate(s: Selector) -> Column:
 def select(df: DataFrame, s: Selector) -> DataFrame:
     """Selected rows; a repeated id fails the query, even one that would be left out."""
     return assert_unique(df, s.columns["id"]).where(predicate(s))
+
+
+def counts(s: Selector) -> list[Column]:
+    """Source, selected, excluded, allowlisted (selected by being allowed) and denylisted rows."""
+    picked = F.coalesce(predicate(s), F.lit(False))
+    listed = lambda ids: _in(F.col(s.columns["id"]), ids) if ids else F.lit(False)
+    return [
+        F.count("*").alias("source"), F.count_if(picked).alias("selected"), F.count_if(~picked).alias("excluded"),
+        F.count_if(picked & listed(s.allow)).alias("allowlisted"), F.count_if(listed(s.deny)).alias("denylisted"),
+    ]

@@ -31,6 +31,14 @@ def stats(visits: DataFrame) -> DataFrame:
     )
 
 
+def totals(cities: DataFrame, areas: DataFrame) -> DataFrame:
+    """One row: distinct cities and areas visited, and the distinct countries of either; nulls count for nothing."""
+    side = lambda df, k, kind: df.select(F.lit(kind).alias("kind"), F.col(k).cast("string").alias("k"), "countryCode")
+    both = side(cities, "cityId", "city").unionByName(side(areas, "areaId", "area"))
+    of = lambda kind: F.countDistinct(F.when(F.col("kind") == kind, F.col("k")))
+    return both.agg(of("city").alias("cities"), of("area").alias("areas"), F.countDistinct("countryCode").alias("countries"))
+
+
 def history(df: DataFrame, stamp: str, *ties: str) -> DataFrame:
     """Newest first, with position and page number of pages of six.
 
@@ -49,46 +57,96 @@ def history(df: DataFrame, stamp: str, *ties: str) -> DataFrame:
     )
 
 
-def consolidate(visits: DataFrame) -> DataFrame:
-    """One visit per area, with the visits that did not fit.
-
-    visits: (areaId, cityId, label, createdAt, updatedAt, visitedOn, note), texts. Notes
-    join in order of (cityId, updatedAt) as ``label：note`` lines while they stay within
-    500 code points; one that does not fit is skipped and its city goes to ``overflow``,
-    a later shorter one may still fit; empty notes take no room. A single visit keeps its
-    note as it is; so does the first if none fits. Over accepted visits: the newest
-    gives ``newest_city``, createdAt is the least, updatedAt the greatest and visitedOn
-    the least as text.
+def page(ordered: DataFrame, wanted: int) -> DataFrame:
+    """One page of history(); a page beyond the last is the last, one below the first the first."""
+    last = ordered.agg(F.greatest(F.lit(1), F.least(F.lit(max(wanted, 1)), F.coalesce(F.max("page"), F.lit(1)))).cast("bigint").alias("page"))
+    return ordered.join(F.broadcast(last), "page")  # one row
+
+
+#: Columns of a visit that consolidate() reads; those in the second list may be missing.
+VISIT, MAY_LACK = ["areaId", "cityId", "label", "createdAt", "updatedAt", "note"], ["visitedOn", "datePrecision", "areaSnapshot"]
+
+
+def _accepted(visits: DataFrame) -> DataFrame:
+    """(areaId, note, taken) of the notes that fit, in order of city and update.
+
+    Of notes of one length those that fit are the first ones, at most as many as the
+    limit holds, as the room never grows: no others are collected, so that an area of any
+    size has a group of at most some thousand lines.
     """
-    row = F.struct("cityId", "updatedAt", "label", "createdAt", "visitedOn", F.coalesce("note", F.lit("")).alias("note"))
-    grouped = visits.where("areaId IS NOT NULL").groupBy("areaId").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    line = F.concat(F.coalesce("label", F.lit("")), F.lit("："), F.col("note"))
+    lines = visits.where("note <> ''").withColumn("line", line).withColumn("n", F.char_length("line"))
+    order = ["cityId", "updatedAt", "createdAt", "line"]
+    w = Window.partitionBy("areaId", "n").orderBy(*order)
+    few = lines.where(F.col("n") <= NOTE_LIMIT).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.floor(F.lit(NOTE_LIMIT + 1) / (F.col("n") + 1)))
+    row = F.struct(*order, *[c for c in visits.columns if c not in ("areaId", *order)])
     start = F.struct(F.lit("").alias("note"), F.array().cast("array<int>").alias("taken"))
 
     def step(acc, x):
-        line = F.concat(x["r"]["label"], F.lit("："), x["r"]["note"])
-        joined = F.when(acc["note"] == "", line).otherwise(F.concat(acc["note"], F.lit("\n"), line))
-        empty = x["r"]["note"] == ""
-        fits = empty | (F.char_length(joined) <= NOTE_LIMIT)
-        return F.struct(
-            F.when(empty | ~fits, acc["note"]).otherwise(joined).alias("note"),
-            F.when(fits, F.array_append(acc["taken"], x["i"])).otherwise(acc["taken"]).alias("taken"),
-        )
+        joined = F.when(acc["note"] == "", x["r"]["line"]).otherwise(F.concat(acc["note"], F.lit("\n"), x["r"]["line"]))
+        fits = F.char_length(joined) <= NOTE_LIMIT
+        return F.struct(F.when(fits, joined).otherwise(acc["note"]).alias("note"), F.when(fits, F.array_append(acc["taken"], x["i"])).otherwise(acc["taken"]).alias("taken"))
 
     numbered = F.transform("rows", lambda r, i: F.struct(r.alias("r"), i.alias("i")))
-    folded = grouped.withColumn("_f", F.aggregate(numbered, start, step))
-    alone = F.size("rows") == 1
-    none = F.size("_f.taken") == 0
-    taken = F.when(alone | none, F.array(F.lit(0))).otherwise(F.col("_f.taken"))
-    out = folded.withColumn("_t", taken).withColumn("_kept", F.transform("_t", lambda i: F.get("rows", i)))
-    newest = F.array_max(F.transform("_kept", lambda r: F.struct(r["updatedAt"].alias("u"), r["cityId"].alias("c"))))
-    return out.select(
-        "areaId",
-        F.when(alone | none, F.get("_kept", F.lit(0))["note"]).otherwise(F.col("_f.note")).alias("note"),
-        newest["c"].alias("newest_city"),
-        F.array_min(F.transform("_kept", lambda r: r["createdAt"])).alias("createdAt"),
-        newest["u"].alias("updatedAt"),
-        F.array_min(F.transform("_kept", lambda r: r["visitedOn"])).alias("visitedOn"),
-        F.transform(F.filter(F.transform("rows", lambda r, i: F.struct(r.alias("r"), i.alias("i"))), lambda x: ~F.array_contains("_t", x["i"])), lambda x: x["r"]["cityId"]).alias("overflow"),
+    folded = few.groupBy("areaId").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("f", F.aggregate(numbered, start, step))
+    return folded.select("areaId", F.col("f.note").alias("joined"), F.transform("f.taken", lambda i: F.get("rows", i)).alias("taken"))
+
+
+def _visits(visits: DataFrame) -> DataFrame:
+    known = visits.columns
+    columns = [F.col(c) for c in VISIT if c != "note"] + [F.col(c) if c in known else F.lit(None).cast("string").alias(c) for c in MAY_LACK]
+    return visits.where("areaId IS NOT NULL").select(*columns, F.coalesce("note", F.lit("")).alias("note"))
+
+
+def kept_visits(visits: DataFrame) -> DataFrame:
+    """The visits that consolidate() takes into their area's one: the rest are overflow().
+
+    All without a note, those whose note fits, the only one of an area, and the first of
+    an area where none else is kept.
+    """
+    v = _visits(visits)
+    columns = v.columns
+    taken = _accepted(v).select("areaId", F.explode("taken").alias("r")).select(*[F.col(c) if c == "areaId" else F.col(f"r.{c}").alias(c) for c in columns])
+    usual = v.where("note = ''").unionByName(taken)
+    first = v.groupBy("areaId").agg(F.min(F.struct("cityId", "updatedAt", *[c for c in columns if c not in ("areaId", "cityId", "updatedAt")])).alias("r"))
+    lone = first.join(usual.select("areaId").distinct(), "areaId", "left_anti").select(*[F.col(c) if c == "areaId" else F.col(f"r.{c}").alias(c) for c in columns])
+    return usual.unionByName(lone)
+
+
+def overflow(visits: DataFrame) -> DataFrame:
+    """The visits that stay apart, as their notes did not fit; repeated rows count by number."""
+    v = _visits(visits)
+    return v.exceptAll(kept_visits(visits).select(*v.columns))
+
+
+def consolidate(visits: DataFrame) -> DataFrame:
+    """One visit per area from (areaId, cityId, label, createdAt, updatedAt, note) and,
+    if there are such columns, visitedOn, datePrecision and areaSnapshot; see overflow() for the rest.
+
+    Notes join in order of (cityId, updatedAt) as ``label：note`` lines while they stay
+    within 500 code points; one that does not fit is left out, a later shorter one may
+    still fit; empty notes take no room. A single visit stays as it is; so does the first
+    if none fits. Over the kept visits: the newest, by updatedAt and cityId, gives
+    ``newest_city`` and areaSnapshot, createdAt is the least, updatedAt the greatest, and
+    the earliest visitedOn of those that have a datePrecision too gives both. Rows
+    without an area are left out; an empty table gives none.
+    """
+    v = _visits(visits)
+    counts = v.groupBy("areaId").agg(F.count("*").alias("n"))
+    dated = F.when(F.col("visitedOn").isNotNull() & F.col("datePrecision").isNotNull(), F.struct("visitedOn", "cityId", "updatedAt", "datePrecision"))
+    one = kept_visits(visits).groupBy("areaId").agg(
+        F.max(F.struct("updatedAt", "cityId", "areaSnapshot")).alias("newest"), F.min("createdAt").alias("createdAt"), F.min(dated).alias("dated"),
+        F.first("note").alias("own"), F.first("visitedOn").alias("own_day"), F.first("datePrecision").alias("own_precision"),
+    )
+    joined = counts.join(one, "areaId").join(_accepted(v).select("areaId", "joined"), "areaId", "left")
+    # a visit that is the only one of its area keeps a date without precision, too
+    alone = F.col("n") == 1
+    return joined.select(
+        "areaId", F.col("newest.areaSnapshot").alias("areaSnapshot"),
+        F.when(alone, F.col("own")).otherwise(F.coalesce(F.nullif("joined", F.lit("")), F.col("own"))).alias("note"),
+        F.col("newest.cityId").alias("newest_city"), "createdAt", F.col("newest.updatedAt").alias("updatedAt"),
+        F.when(alone, F.col("own_day")).otherwise(F.col("dated.visitedOn")).alias("visitedOn"),
+        F.when(alone, F.col("own_precision")).otherwise(F.col("dated.datePrecision")).alias("datePrecision"),
     )
 
 

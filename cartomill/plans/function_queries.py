@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cartomill.functions import geo, text
 from cartomill.operators import nearby, regions
-from cartomill.plans.base import AREA, CAND, CITY, USABLE, areas, candidates, cities, query
+from cartomill.plans.base import AREA, CAND, CITY, LATEST, USABLE, areas, candidates, cities, query, release
 from cartomill.runtime import table
+from cartomill.sources import readers
 
 
 @query("x1_x3_keys", f"SELECT id, trim(regexp_replace(lower(strip_accents(name)), '[\\p{{P}}\\p{{Z}}]+', ' ', 'g')) AS city_key, regexp_replace(trim(lower(strip_accents(name))), '\\s+', ' ', 'g') AS area_key, lower(trim(strip_accents(name))) AS candidate_key FROM {CITY}")
@@ -21,16 +22,8 @@ def x4(spark, d):
     return cities(spark, d).select("id", text.match_rank(F.lower("asciiName"), F.lit("san")).alias("match_rank"))
 
 
-@query("x5_x7_bounded", "SELECT doc_id, CASE WHEN length(t) BETWEEN 1 AND 500 AND NOT regexp_matches(t, '[\\x00-\\x1f\\x7f]') THEN t END AS kept FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '^[\\s]+|[\\s]+$', '', 'g')) t FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\x00-\\x{2000}]|[\\x{80}-\\x{a0}\\x{1680}]'))")
-def x5_x7(spark, d):
-    t = F.coalesce("text", F.lit(""))
-    docs = table(spark, d, "documents").where(~t.rlike(r"[^\x00-\x{2000}]|[\x{80}-\x{a0}\x{1680}]"))
-    return docs.select("doc_id", text.bounded(t, 500).alias("kept"))
-
-
-@query("x5_x7_bounded_all", "SELECT doc_id, CASE WHEN length(t) BETWEEN 1 AND 500 AND NOT regexp_matches(t, '[\\x00-\\x1f\\x7f]') THEN t END AS kept FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\A[\\t-\\r\\p{Z}\\x{feff}]+|[\\t-\\r\\p{Z}\\x{feff}]+\\z', '', 'g') t FROM documents)")
+@query("x5_x7_bounded", "SELECT doc_id, CASE WHEN length(t) BETWEEN 1 AND 500 AND NOT regexp_matches(t, '[\\x00-\\x1f\\x7f]') THEN t END AS kept FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\A[\\t-\\r\\p{Z}\\x{feff}]+|[\\t-\\r\\p{Z}\\x{feff}]+\\z', '', 'g') t FROM documents)")
 def x5_x7_all(spark, d):
-    """Of every document; x5_x7_bounded leaves out those whose spaces its SQL does not know."""
     return table(spark, d, "documents").select("doc_id", text.bounded(F.coalesce("text", F.lit("")), 500).alias("kept"))
 
 
@@ -44,10 +37,33 @@ def x8(spark, d):
     return cities(spark, d).select("id", text.truncated(F.col("name"), 8).alias("short"))
 
 
-@query("x9_xml", "SELECT doc_id, replace(replace(replace(replace(replace(headers, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM documents WHERE headers IS NOT NULL AND NOT regexp_matches(headers, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')")
+_ESCAPED = "replace(replace(replace(replace(replace(regexp_replace({c}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{fffe}}\\x{{ffff}}]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@query("x9_xml", f"SELECT doc_id, {_ESCAPED.format(c='headers')} AS headers, sha256({_ESCAPED.format(c='text')}) AS text FROM documents")
 def x9(spark, d):
-    docs = table(spark, d, "documents").where("headers IS NOT NULL").where(~F.col("headers").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"))
-    return docs.select("doc_id", text.xml_escaped(F.col("headers")).alias("escaped"))
+    """Of every header block and text, those with forbidden code points too."""
+    return table(spark, d, "documents").select("doc_id", text.xml_escaped(F.col("headers")).alias("headers"), F.sha2(text.xml_escaped(F.col("text")), 256).alias("text"))
+
+
+@query("x9_html_json", "SELECT doc_id, sha256(replace(replace(replace(replace(replace(headers, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026'), chr(8232), '\\u2028'), chr(8233), '\\u2029')) AS safe FROM documents")
+def x9_html(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.html_safe_json(F.col("headers")), 256).alias("safe"))
+
+
+@query("x11_forms", "SELECT boundaryRelease, packageId, loadedAt, coalesce(regexp_full_match(checksum, '[0-9a-f]{64}'), false) AS sha256, coalesce(regexp_full_match(checksum, '[0-9a-f]{7,40}'), false) AS commit_id, coalesce(regexp_full_match(countryCode, '[A-Z]{2}'), false) AS iso2, coalesce(regexp_full_match(boundaryVersion, '[0-9]{4}-[0-9]{2}-[0-9]{2}\\.[0-9]+'), false) AS release FROM country_manifest")
+def x11(spark, d):
+    form = lambda c, name, out: text.is_form(F.col(c), name).alias(out)
+    return table(spark, d, "country_manifest").select(
+        "boundaryRelease", "packageId", "loadedAt", form("checksum", "sha256", "sha256"), form("checksum", "commit", "commit_id"), form("countryCode", "iso2", "iso2"), form("boundaryVersion", "release", "release")
+    )
+
+
+@query("x15_secrets", "SELECT doc_id, regexp_matches(x, '(^|[\\s\"''(=:,])(/(Users|home|root|tmp|var|etc|opt|mnt|private)/|[A-Za-z]:\\\\\\\\)') AS path, regexp_matches(x, '(?i)(api[_-]?key|access[_-]?token|secret|passwo?r?d|authorization|private[_-]?key)\\s*[:=]') AS secret, regexp_matches(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}') AS stamp FROM (SELECT doc_id, coalesce(headers, '') || chr(10) || coalesce(text, '') AS x FROM documents)")
+def x15(spark, d):
+    f = text.secret_findings(F.concat_ws("\n", F.coalesce("headers", F.lit("")), F.coalesce("text", F.lit(""))))
+    has = lambda n, out: F.array_contains("f", n).alias(out)
+    return table(spark, d, "documents").select("doc_id", f.alias("f")).select("doc_id", has("absolute-path", "path"), has("secret-key", "secret"), has("timestamp", "stamp"))
 
 
 @query("x10_x13_area_id", f"SELECT areaId, split_part(areaId, ':', 1) AS country, split_part(areaId, ':', 2) AS source_part, split_part(areaId, ':', 3) AS id_part, areaId = countryCode || ':' || source || ':' || sourceId AS consistent FROM {AREA}")
@@ -62,11 +78,14 @@ def x14(spark, d):
     return candidates(spark, d).select("id", text.country_code(F.col("countryCode")).alias("code"))
 
 
-@query("d1_precision", "SELECT updatedAt AS d, CASE WHEN try_strptime(updatedAt, '%Y-%m-%d') IS NOT NULL THEN 'day' END AS precision FROM (SELECT DISTINCT updatedAt FROM country_manifest WHERE updatedAt IS NOT NULL) UNION ALL SELECT DISTINCT updatedAt[1:7], 'month' FROM country_manifest WHERE updatedAt IS NOT NULL UNION ALL SELECT DISTINCT updatedAt[1:4], 'year' FROM country_manifest WHERE updatedAt IS NOT NULL")
+@query("d1_precision", "SELECT d, CASE WHEN regexp_full_match(d, '[0-9]{4}') THEN 'year' WHEN regexp_full_match(d, '[0-9]{4}-(0[1-9]|1[0-2])') THEN 'month' WHEN regexp_full_match(d, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_strptime(d, '%Y-%m-%d') IS NOT NULL THEN 'day' END AS precision FROM (SELECT DISTINCT unnest([u, u[1:7], u[1:4], u[1:8] || '31', u[1:5] || '13', u || 'T00:00:00Z', ' ' || u[1:4], '']) AS d FROM (SELECT DISTINCT updatedAt[1:10] AS u FROM country_manifest WHERE updatedAt IS NOT NULL))")
 def d1(spark, d):
-    u = table(spark, d, "country_manifest").where("updatedAt IS NOT NULL").select("updatedAt").distinct()
-    all_forms = F.array("updatedAt", F.substring("updatedAt", 1, 7), F.substring("updatedAt", 1, 4))
-    return u.select(F.explode(all_forms).alias("d")).distinct().select("d", text.date_precision(F.col("d")).alias("precision"))
+    """Dates, and forms that are none."""
+    u = F.substring("updatedAt", 1, 10)
+    sub = lambda n: F.substring("u", 1, n)
+    forms = F.array(F.col("u"), sub(7), sub(4), F.concat(sub(8), F.lit("31")), F.concat(sub(5), F.lit("13")), F.concat("u", F.lit("T00:00:00Z")), F.concat(F.lit(" "), sub(4)), F.lit(""))
+    rows = table(spark, d, "country_manifest").where("updatedAt IS NOT NULL").select(u.alias("u")).distinct()
+    return rows.select(F.explode(forms).alias("d")).distinct().select("d", text.date_precision(F.col("d")).alias("precision"))
 
 
 @query("d2_release_ids", "SELECT DISTINCT boundaryVersion, CASE WHEN regexp_full_match(boundaryVersion, '[0-9]{4}-[0-9]{2}-[0-9]{2}\\.[0-9]+') AND try_strptime(boundaryVersion[1:10], '%Y-%m-%d') IS NOT NULL THEN boundaryVersion END AS release FROM country_manifest")
@@ -74,10 +93,21 @@ def d2(spark, d):
     return table(spark, d, "country_manifest").select("boundaryVersion").distinct().select("boundaryVersion", text.release_id(F.col("boundaryVersion")).alias("release"))
 
 
-@query("d3_d5_instants", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((date_part('millisecond', ts)::INT % 1000)::VARCHAR, 3, '0') || 'Z' AS said, date_trunc('millisecond', ts) AS instant FROM events")
+_SAID = "(strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((date_part('millisecond', ts)::INT % 1000)::VARCHAR, 3, '0'))"
+
+
+@query("d3_d5_instants", f"SELECT event_id, said, CASE WHEN event_id % 4 = 0 THEN date_trunc('millisecond', ts) END AS instant, CASE WHEN event_id % 4 = 0 THEN hour(ts) < 12 END AS in_order FROM (SELECT event_id, ts, CASE event_id % 4 WHEN 0 THEN {_SAID} || 'Z' WHEN 1 THEN {_SAID} WHEN 2 THEN {_SAID}[1:5] || '13' || {_SAID}[8:] || 'Z' ELSE {_SAID}[1:19] || 'Z' END AS said FROM events)")
 def d3_d5(spark, d):
-    said = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
-    return table(spark, d, "events").withColumn("said", said).select("event_id", "said", F.to_timestamp_ntz(F.substring("said", 1, 23)).alias("instant"), ).where(text.utc_instant(F.col("said")).isNotNull())
+    """Instants of the one canonical form, null for others; and whether noon of the day, an update, is not before them."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    kind = F.col("event_id") % 4
+    said = (
+        F.when(kind == 0, F.concat(stamp, F.lit("Z"))).when(kind == 1, stamp).when(kind == 2, F.concat(F.substring(stamp, 1, 5), F.lit("13"), F.substring(stamp, 8, 99), F.lit("Z")))
+        .otherwise(F.concat(F.substring(stamp, 1, 19), F.lit("Z")))
+    )
+    noon = F.concat(F.substring("said", 1, 10), F.lit("T11:59:59.999Z"))
+    rows = table(spark, d, "events").withColumn("said", said)
+    return rows.select("event_id", "said", text.utc_instant(F.col("said")).cast("timestamp_ntz").alias("instant"), text.updated_in_order(F.col("said"), noon).alias("in_order"))
 
 
 @query("n1_n9_numbers", f"SELECT id, least(85.0, greatest(-85.0, lat)) AS clamped, round((((lon + 180) % 360) + 360) % 360 - 180, 6) AS wrapped, round(lat, 3) AS rounded, isfinite(lat) AS finite, sign(lat)::DOUBLE AS sgn, round(sqrt(lat * lat + lon * lon), 6) AS dist, greatest(0, floor(lat))::BIGINT AS shown FROM {CITY} WHERE {USABLE}")
@@ -105,14 +135,6 @@ def r1_r11(spark, d):
     )
 
 
-@query("r8_rotated_rings", f"SELECT areaId, list_position(xs, list_min(xs)) AS at, array_to_string(list_transform(list_concat(xs[list_position(xs, list_min(xs)):], xs[:list_position(xs, list_min(xs)) - 1]), lambda x: printf('%.6f', x)), ' ') AS rotated FROM (SELECT areaId, list_transform(geometry[1][1][:-2], lambda p: p.x) xs FROM {AREA} WHERE geometry IS NOT NULL)")
-def r8(spark, d):
-    xs = F.transform(F.slice(F.col("geometry")[0][0], 1, F.size(F.col("geometry")[0][0]) - 1), lambda p: p["x"])
-    a = areas(spark, d).where("geometry IS NOT NULL").select("areaId", xs.alias("xs")).withColumn("at", F.array_position("xs", F.array_min("xs")))
-    turned = F.concat(F.slice("xs", F.col("at"), F.size("xs")), F.slice("xs", F.lit(1), F.col("at") - 1))
-    return a.select("areaId", "at", F.array_join(F.transform(turned, lambda x: F.format_string("%.6f", x)), " ").alias("rotated"))
-
-
 @query("mp1_mp3_maps", "SELECT countryCode, string_agg(adminLevel || '=' || n, ';' ORDER BY adminLevel) AS levels, coalesce(max(n) FILTER (adminLevel = 'county'), 0) AS county FROM (SELECT countryCode, adminLevel, count(*) n FROM city_area WHERE adminLevel IS NOT NULL GROUP BY ALL) GROUP BY countryCode")
 def mp1_mp3(spark, d):
     n = table(spark, d, "city_area").where("adminLevel IS NOT NULL").groupBy("countryCode", "adminLevel").agg(F.count("*").alias("n"))
@@ -121,10 +143,30 @@ def mp1_mp3(spark, d):
     return m.select("countryCode", text_of.alias("levels"), F.coalesce(F.try_element_at("m", F.lit("county")), F.lit(0)).alias("county"))
 
 
-@query("js1_js3_json", "SELECT event_id, (props->>'$.k')::INT AS k, '{\"event_id\":' || event_id || ',\"k\":' || (props->>'$.k') || '}' AS canonical FROM events")
+@query("js1_js3_json", "SELECT event_id, (props->>'$.k')::INT AS k, '{\"event_id\":' || event_id || ',\"k\":' || (props->>'$.k') || '}' AS canonical, true AS same, false AS other_same FROM events")
 def js1_js3(spark, d):
+    """Text of the keys in order, and equality of documents by it: keys turned round are equal, another value is not."""
     k = F.from_json("props", "k int")["k"]
-    return table(spark, d, "events").select("event_id", k.alias("k"), F.to_json(F.struct("event_id", k.alias("k"))).alias("canonical"))
+    told = lambda *cols: text.canonical_text(F.to_json(F.struct(*cols)))
+    here, turned = told("event_id", k.alias("k")), told(k.alias("k"), "event_id")
+    return table(spark, d, "events").select("event_id", k.alias("k"), here.alias("canonical"), (here == turned).alias("same"), (here == told("event_id", (k + 1).alias("k"))).alias("other_same"))
+
+
+@query("mp2_map_merge", "SELECT areaId, countryCode || '/' || coalesce(adminLevel, 'none') || '/' || source AS merged FROM " + AREA)
+def mp2(spark, d):
+    """Later maps win: defaults, then what a row gives."""
+    defaults = F.create_map(*[F.lit(x) for x in ("country", "none", "level", "none", "source", "none")])
+    own = F.map_from_arrays(F.array(F.lit("country"), F.lit("level"), F.lit("source")), F.array("countryCode", "adminLevel", "source"))
+    m = text.merged_maps(defaults, F.map_filter(own, lambda k, v: v.isNotNull()))
+    return areas(spark, d).select("areaId", F.concat_ws("/", *[F.element_at(m, k) for k in ("country", "level", "source")]).alias("merged"))
+
+
+@query("n8_orientation", f"SELECT id, CASE WHEN abs(cross_) < 1e-12 THEN 0 ELSE sign(cross_) END::INT AS side FROM (SELECT id, (10.0 - 0.0) * (lat - 0.0) - (10.0 - 0.0) * (lon - 0.0) AS cross_ FROM {CITY} WHERE {USABLE})")
+def n8(spark, d):
+    """Which side of the line from 0, 0 to 10, 10 a place lies on."""
+    lit = lambda v: F.lit(float(v))
+    c = cities(spark, d).where(nearby.usable(F.col("lat"), F.col("lon")))
+    return c.select("id", geo.orientation(lit(0), lit(0), lit(10), lit(10), F.col("lon"), F.col("lat")).alias("side"))
 
 
 @query("h1_sha256", f"SELECT areaId, sha256(areaId || coalesce(nameLocal, '')) AS digest FROM {AREA}")
@@ -140,6 +182,14 @@ def c2_c3(spark, d):
     return rows.where(F.when(F.col("_k").isNull(), F.raise_error(F.concat(F.lit("unknown country: "), F.col("countryCode")))).otherwise(True)).agg(F.count("*").alias("checked"))
 
 
+@query("c3_scalar_subquery", "SELECT (SELECT count(*) FROM city_area WHERE countryCode IS NOT NULL) = (SELECT count(*) FROM city_area) AS complete, (SELECT count(DISTINCT countryCode) FROM city_area) > 1 AS several")
+def c3(spark, d):
+    return spark.sql(
+        "SELECT (SELECT count(*) FROM {a} WHERE countryCode IS NOT NULL) = (SELECT count(*) FROM {a}) AS complete, (SELECT count(DISTINCT countryCode) FROM {a}) > 1 AS several",
+        a=table(spark, d, "city_area"),
+    )
+
+
 @query("g1_g4_grid", f"SELECT id, least(35, greatest(0, floor((lat + 90) / 5)))::INT AS grid_row, least(71, greatest(0, floor(((((lon + 180) % 360) + 360) % 360) / 5)))::INT AS grid_column, round(greatest(0, 0 - lat, lat - 5) * pi() / 180 * 6371.0088, 6) AS to_row_18 FROM {CITY} WHERE {USABLE}")
 def g1_g4(spark, d):
     lat, lon = F.col("lat"), F.col("lon")
@@ -178,13 +228,6 @@ def a13(spark, d):
     return areas(spark, d).where("geometry IS NOT NULL").select("areaId", x.alias("x"), y.alias("y"))
 
 
-@query("a20_ring_area", "SELECT id, round(sum(x * y2 - x2 * y) / 2, 9) AS area FROM (SELECT id, p.x x, p.y y, lead(p.x) OVER w x2, lead(p.y) OVER w y2 FROM (SELECT id, unnest(geometry[1][1]) p, unnest(range(1, len(geometry[1][1]) + 1)) i FROM (SELECT DISTINCT ON (id) * FROM boundary_candidate) WHERE geometry IS NOT NULL) WINDOW w AS (PARTITION BY id ORDER BY i)) GROUP BY id HAVING max(abs(x)) < 179")
-def a20(spark, d):
-    ring = F.col("geometry")[0][0]
-    c = candidates(spark, d).where("geometry IS NOT NULL").where(~F.exists(ring, lambda p: F.abs(p["x"]) >= 179))
-    return c.select("id", F.round(geo.ring_area(ring), 9).alias("area"))
-
-
 #: Points of rings (keys, no, p) as rings of (keys, no, p, x): each x within half a turn of the one before.
 _UNWRAPPED = "(SELECT *, p.x + 360 * coalesce(sum(turn) OVER (PARTITION BY {keys} ORDER BY no), 0) AS x FROM (SELECT *, CASE WHEN p.x - lag(p.x) OVER w > 180 THEN -1 WHEN p.x - lag(p.x) OVER w < -180 THEN 1 ELSE 0 END AS turn FROM {points} WINDOW w AS (PARTITION BY {keys} ORDER BY no)))"
 _AREAS = "(SELECT {keys}, coalesce(sum(x * y2 - x2 * y), 0) / 2 AS area FROM (SELECT {keys}, x, p.y AS y, lead(x) OVER w AS x2, lead(p.y) OVER w AS y2 FROM " + _UNWRAPPED + " WINDOW w AS (PARTITION BY {keys} ORDER BY no)) GROUP BY ALL)"
@@ -193,22 +236,39 @@ _AREA_RINGS = f"(SELECT areaId, polygon, unnest(rings) AS ring, unnest(range(1,
 _AREA_POINTS = f"(SELECT areaId, polygon, ring_no, unnest(ring) AS p, unnest(range(1, len(ring) + 1)) AS no FROM {_AREA_RINGS})"
 
 
-@query("a20_ring_area_all", "SELECT id, round(area, 6) + 0.0 AS area FROM " + _AREAS.format(keys="id", points=_CAND_POINTS))
+@query("a20_ring_area", "SELECT id, round(area, 6) + 0.0 AS area FROM " + _AREAS.format(keys="id", points=_CAND_POINTS))
 def a20_all(spark, d):
-    """Of every candidate; a20_ring_area leaves out those near the antimeridian, whose longitudes its SQL does not unwrap."""
     c = candidates(spark, d).where("geometry IS NOT NULL")
     return c.select("id", (F.round(geo.ring_area(F.col("geometry")[0][0]), 6) + F.lit(0.0)).alias("area"))
 
 
-@query("g6_problems", f"SELECT areaId, CASE WHEN geometry IS NULL THEN 'GEOMETRY_INVALID' WHEN len(list_filter(flatten(geometry), lambda r: len(r) < 4)) > 0 THEN 'RING_TOO_SHORT' WHEN len(list_filter(flatten(geometry), lambda r: r[1].x <> r[-1].x OR r[1].y <> r[-1].y)) > 0 THEN 'RING_NOT_CLOSED' END AS code FROM {AREA}")
+_BROKEN = "len(list_filter(r, lambda q: q.x IS NULL OR q.y IS NULL OR isnan(q.x) OR isnan(q.y) OR abs(q.x) > 180 OR abs(q.y) > 90)) > 0"
+
+
+@query("g6_problems", "SELECT s.areaId, CASE WHEN s.geometry IS NULL THEN 'GEOMETRY_TYPE_INVALID' ELSE coalesce((SELECT string_agg(code, '|' ORDER BY code) FROM (SELECT DISTINCT unnest(codes) AS code FROM (SELECT CASE WHEN len(ring) < 4 THEN ['RING_TOO_SHORT'] WHEN broken THEN ['COORDINATE_INVALID'] ELSE list_filter([CASE WHEN ring[1].x <> ring[-1].x OR ring[1].y <> ring[-1].y THEN 'RING_NOT_CLOSED' END, CASE WHEN area = 0 THEN 'RING_ZERO_AREA' END], lambda c: c IS NOT NULL) END AS codes FROM (SELECT r.ring, " + _BROKEN.replace("list_filter(r,", "list_filter(r.ring,") + " AS broken, t.area FROM " + _AREA_RINGS + " r JOIN " + _AREAS.format(keys="areaId, polygon, ring_no", points=_AREA_POINTS) + f" t USING (areaId, polygon, ring_no) WHERE r.areaId = s.areaId)))), CASE WHEN len(s.geometry) = 0 THEN 'GEOMETRY_EMPTY' ELSE '' END) END AS codes FROM {AREA} s")
 def g6(spark, d):
-    return areas(spark, d).select("areaId", geo.problem(F.col("geometry")).alias("code"))
+    return areas(spark, d).select("areaId", F.array_join(geo.problems(F.col("geometry")), "|").alias("codes"))
 
 
-@query("g7_unwrapped", "SELECT id, round(max(x) - min(x), 6) AS width FROM (SELECT id, p.x + CASE WHEN p.x - first_value(p.x) OVER w > 180 THEN -360 WHEN p.x - first_value(p.x) OVER w < -180 THEN 360 ELSE 0 END x FROM (SELECT id, unnest(geometry[1][1]) p, unnest(range(1, len(geometry[1][1]) + 1)) i FROM (SELECT DISTINCT ON (id) * FROM boundary_candidate) WHERE geometry IS NOT NULL) WINDOW w AS (PARTITION BY id ORDER BY i)) GROUP BY id")
+@query("g7_unwrapped", "SELECT areaId, polygon, ring_no, round(max(x) - min(x), 6) AS width FROM " + _UNWRAPPED.format(keys="areaId, polygon, ring_no", points=_AREA_POINTS) + " GROUP BY ALL")
 def g7(spark, d):
-    xs = F.transform(geo.unwrapped(F.col("geometry")[0][0]), lambda p: p["x"])
-    return candidates(spark, d).where("geometry IS NOT NULL").select("id", F.round(F.array_max(xs) - F.array_min(xs), 6).alias("width"))
+    """Of every ring of every area."""
+    xs = F.transform(geo.unwrapped(F.col("ring")), lambda p: p["x"])
+    return _rings(areas(spark, d)).select("areaId", "polygon", "ring_no", F.round(F.array_max(xs) - F.array_min(xs), 6).alias("width"))
+
+
+def _rings(a):
+    """(areaId, polygon, ring_no, ring), numbers from 1."""
+    g = a.where("geometry IS NOT NULL").select("areaId", F.posexplode("geometry").alias("polygon", "rings"))
+    return g.select("areaId", (F.col("polygon") + 1).alias("polygon"), F.posexplode("rings").alias("ring_no", "ring")).withColumn("ring_no", F.col("ring_no") + 1)
+
+
+@query("g17_span", "SELECT areaId, round(max(x) - min(x), 6) AS span_x, round(max(y) - min(y), 6) AS span_y, max(x) - min(x) < 0.05 AND max(y) - min(y) < 0.05 AS tiny FROM (SELECT areaId, x, p.y AS y FROM " + _UNWRAPPED.format(keys="areaId, polygon, ring_no", points="(SELECT * FROM " + _AREA_POINTS + " WHERE polygon = 1 AND ring_no = 1)") + ") GROUP BY areaId")
+def g17(spark, d):
+    """Width and height of an area's first ring, and whether it is too small to be drawn as a shape."""
+    b = geo.span(F.col("ring"))
+    tiny = (b["x"] < 0.05) & (b["y"] < 0.05)
+    return _rings(areas(spark, d)).where("polygon = 1 AND ring_no = 1").select("areaId", F.round(b["x"], 6).alias("span_x"), F.round(b["y"], 6).alias("span_y"), tiny.alias("tiny"))
 
 
 @query("g8_antimeridian")
@@ -218,18 +278,14 @@ def g8(spark, d):
     return s.select("areaId", F.size("g").alias("polygons"), b["min_x"].alias("min_x"), b["max_x"].alias("max_x"))
 
 
-@query("g13_canonical")
+@query("g13_canonical", f"SELECT areaId, true AS same, false AS moved_same FROM {_SHAPES}")
 def g13(spark, d):
-    return areas(spark, d).where("geometry IS NOT NULL").select("areaId", F.sha2(geo.canonical("geometry"), 256).alias("shape"))
-
-
-@query("g14_svg_path", "SELECT id, 'M' || array_to_string(list_transform(geometry[1][1], lambda p: printf('%.3f', p.x) || ' ' || printf('%.3f', p.y)), 'L') || 'Z' AS path FROM (SELECT DISTINCT ON (id) * FROM boundary_candidate) WHERE geometry IS NOT NULL AND len(geometry) = 1 AND len(geometry[1]) = 1 AND len(list_filter(geometry[1][1], lambda p: round(p.x * 1e6)::BIGINT % 1000 IN (500, -500) OR round(p.y * 1e6)::BIGINT % 1000 IN (500, -500) OR abs(p.x) < 0.001 OR abs(p.y) < 0.001)) = 0")
-def g14(spark, d):
-    """Rings without a coordinate half way between two outputs, which engines round either way."""
-    half = lambda v: F.abs(F.round(v * 1e6).cast("bigint") % 1000) == 500
-    c = candidates(spark, d).where("geometry IS NOT NULL AND size(geometry) = 1 AND size(geometry[0]) = 1")
-    c = c.where(~F.exists(F.col("geometry")[0][0], lambda p: half(p["x"]) | half(p["y"]) | (F.abs(p["x"]) < 0.001) | (F.abs(p["y"]) < 0.001)))
-    return c.select("id", geo.svg_path(F.col("geometry")).alias("path"))
+    """The text of a geometry is that of its rings turned round and begun elsewhere, polygons the other way; not that of one moved."""
+    turn = lambda r: F.concat(F.slice(F.reverse(r), 2, 1 << 30), F.slice(F.reverse(r), 2, 1))
+    turned = F.reverse(F.transform("geometry", lambda p: F.transform(p, turn)))
+    moved = F.transform("geometry", lambda p: F.transform(p, lambda r: F.transform(r, lambda q: F.struct(q["x"].alias("x"), (q["y"] / 2).alias("y")))))
+    a = areas(spark, d).where("geometry IS NOT NULL").select("areaId", geo.canonical("geometry").alias("c"), geo.canonical(turned).alias("t"), geo.canonical(moved).alias("m"))
+    return a.select("areaId", (F.col("c") == F.col("t")).alias("same"), (F.col("c") == F.col("m")).alias("moved_same"))
 
 
 #: printf rounds by the exact value; only sixteenths lie half way between two outputs, and go away from zero.
@@ -237,25 +293,16 @@ _FIXED = "printf('%.3f', CASE WHEN {v} * 16 = floor({v} * 16) AND ({v} * 16)::BI
 _PATH = f"array_to_string(list_transform(flatten(geometry), lambda r: 'M' || array_to_string(list_transform(r, lambda p: {_FIXED.format(v='p.x')} || ' ' || {_FIXED.format(v='p.y')}), 'L') || 'Z'), '')"
 
 
-@query("g14_svg_path_all", f"SELECT 'candidate' AS kind, id AS key, {_PATH} AS path FROM {CAND} WHERE geometry IS NOT NULL UNION ALL SELECT 'area', areaId, {_PATH} FROM {_SHAPES}")
+@query("k17_g14_svg_path", f"SELECT 'candidate' AS kind, id AS key, {_PATH} AS path FROM {CAND} WHERE geometry IS NOT NULL UNION ALL SELECT 'area', areaId, {_PATH} FROM {_SHAPES}")
 def g14_all(spark, d):
-    """Of every candidate and area, with all polygons, holes and half-way values; g14_svg_path leaves those out."""
     path = geo.svg_path(F.col("geometry")).alias("path")
     c, a = candidates(spark, d).where("geometry IS NOT NULL"), areas(spark, d).where("geometry IS NOT NULL")
     return c.select(F.lit("candidate").alias("kind"), F.col("id").alias("key"), path).unionByName(a.select(F.lit("area").alias("kind"), F.col("areaId").alias("key"), path))
 
 
-@query("g15_winding", f"SELECT areaId, len(flatten(flatten(geometry)))::INT AS vertices, len(flatten(geometry))::INT AS rings FROM {_SHAPES}")
-def g15(spark, d):
-    w = geo.wound(F.col("geometry"))
-    return areas(spark, d).where("geometry IS NOT NULL").select("areaId", w.alias("w")).select(
-        "areaId", geo.vertices(F.col("w")).alias("vertices"), F.size(F.flatten("w")).alias("rings")
-    )
-
-
 @query("g15_wound_rings", "SELECT areaId, polygon, ring_no, round(CASE WHEN ring_no = 1 THEN abs(area) ELSE -abs(area) END, 6) + 0.0 AS area, ring[1].x AS first_x, ring[1].y AS first_y, CASE WHEN kept THEN ring[2].x ELSE ring[-2].x END AS second_x, CASE WHEN kept THEN ring[2].y ELSE ring[-2].y END AS second_y FROM (SELECT *, (area > 0) = (ring_no = 1) AS kept FROM " + _AREA_RINGS + " JOIN " + _AREAS.format(keys="areaId, polygon, ring_no", points=_AREA_POINTS) + " USING (areaId, polygon, ring_no))")
 def g15_rings(spark, d):
-    """Signed area and first two points of every ring as wound; g15_winding counts only."""
+    """Signed area and first two points of every ring as wound."""
     w = areas(spark, d).where("geometry IS NOT NULL").select("areaId", F.posexplode(geo.wound(F.col("geometry"))).alias("polygon", "rings"))
     r = w.select("areaId", (F.col("polygon") + 1).alias("polygon"), F.posexplode("rings").alias("ring_no", "ring"))
     at = lambda i, axis: F.col("ring")[i][axis]
@@ -265,9 +312,8 @@ def g15_rings(spark, d):
     )
 
 
-@query("r8_rotated_rings_all", f"SELECT areaId, polygon, ring_no, list_position(xs, list_min(xs)) AS at, array_to_string(list_transform(list_concat(xs[list_position(xs, list_min(xs)):], xs[:list_position(xs, list_min(xs)) - 1]), lambda x: printf('%.6f', x)), ' ') AS rotated FROM (SELECT areaId, polygon, ring_no, list_transform(ring[:-2], lambda p: p.x) xs FROM {_AREA_RINGS})")
+@query("r8_rotated_rings", f"SELECT areaId, polygon, ring_no, list_position(xs, list_min(xs)) AS at, array_to_string(list_transform(list_concat(xs[list_position(xs, list_min(xs)):], xs[:list_position(xs, list_min(xs)) - 1]), lambda x: printf('%.6f', x)), ' ') AS rotated FROM (SELECT areaId, polygon, ring_no, list_transform(ring[:-2], lambda p: p.x) xs FROM {_AREA_RINGS})")
 def r8_all(spark, d):
-    """Of every ring of every polygon; r8_rotated_rings takes the first."""
     a = areas(spark, d).where("geometry IS NOT NULL").select("areaId", F.posexplode("geometry").alias("polygon", "rings"))
     r = a.select("areaId", (F.col("polygon") + 1).alias("polygon"), F.posexplode("rings").alias("ring_no", "ring"))
     xs = F.transform(F.slice("ring", F.lit(1), F.size("ring") - 1), lambda p: p["x"])
@@ -283,12 +329,21 @@ def g18(spark, d):
     return a.select("areaId", "before", geo.vertices(F.col("g")).alias("after"))
 
 
-@query("g20_s10_arcs", "SELECT id, round(sum(p.x), 4) AS sum_x, round(sum(p.y), 4) AS sum_y FROM (SELECT id, unnest(geometry[1][1]) p FROM (SELECT DISTINCT ON (id) * FROM boundary_candidate) WHERE geometry IS NOT NULL) GROUP BY id")
+@query("g20_s10_arcs", "SELECT areaId AS id, row_number() OVER (PARTITION BY areaId ORDER BY polygon, ring_no)::INT AS ring_no, len(ring)::INT AS points, round(list_sum(list_transform(ring, lambda p, i: p.x * i)), 2) AS sum_x, round(list_sum(list_transform(ring, lambda p, i: p.y * i)), 2) AS sum_y FROM " + _AREA_RINGS)
 def g20(spark, d):
-    """Rings quantised to differences and decoded again."""
-    back = geo.arc_points(geo.quantised(F.col("geometry")[0][0], 1e6), 1e-6)
-    total = lambda axis: F.round(F.aggregate("r", F.lit(0.0), lambda s, p: s + p[axis]), 4)
-    return candidates(spark, d).where("geometry IS NOT NULL").select("id", back.alias("r")).select("id", total("x").alias("sum_x"), total("y").alias("sum_y"))
+    """Areas as packages of delta arcs on a grid, every other arc stored backwards, decoded by topology()."""
+    rings = F.flatten("geometry")
+    arcs = F.transform(rings, lambda r, i: F.transform(geo.quantised(F.when(i % 2 == 1, F.reverse(r)).otherwise(r), 1e6), lambda p: F.array(p["x"], p["y"])))
+    refs = F.array(F.transform(rings, lambda r, i: F.array(F.when(i % 2 == 1, -i - 1).otherwise(i))))
+    feature = F.struct(F.col("areaId").alias("id"), F.lit("Polygon").alias("type"), refs.alias("arcs"))
+    package = F.struct(
+        F.struct(F.array(F.lit(1e-6), F.lit(1e-6)).alias("scale"), F.array(F.lit(0.0), F.lit(0.0)).alias("translate")).alias("transform"), arcs.alias("arcs"),
+        F.create_map(F.lit("areas"), F.struct(F.array(feature).alias("geometries"))).alias("objects"),
+    )
+    packed = areas(spark, d).where("geometry IS NOT NULL").select(F.to_json(package).alias("package"))
+    r = readers.topology(packed).select("id", F.posexplode("rings").alias("ring_no", "ring"))
+    total = lambda axis: F.round(F.aggregate(F.transform("ring", lambda p, i: p[axis] * (i + 1)), F.lit(0.0), lambda s, v: s + v), 2)
+    return r.select("id", (F.col("ring_no") + 1).alias("ring_no"), F.size("ring").alias("points"), total("x").alias("sum_x"), total("y").alias("sum_y"))
 
 
 @query("j13_g12_overlaps")
@@ -302,14 +357,49 @@ def j18(spark, d):
     return regions.unexplained(pairs, pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0).select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _features(spark, d):
+    a = table(spark, d, "city_area")
+    return a.select(F.col("sourceId").alias("divisionId"), "sourceId", "areaId", "countryCode", F.col("countryCode").alias("owner"), "nameLocal", "geometry")
+
+
 @query("v1_check")
 def v1(spark, d):
-    return regions.check(areas(spark, d).select("areaId", "nameLocal", "geometry"))
+    """All codes of all countries: repeated rows of the table are duplicate divisions, the last release is the index."""
+    f = _features(spark, d)
+    expected = table(spark, d, "country_info").select("countryCode", F.lit("range").alias("kind"), F.lit(None).cast("int").alias("value"), F.lit(1).alias("minimum"), F.lit(500).alias("maximum"))
+    exceptions = spark.createDataFrame([("e1", "overlap", "x", "y")], "id string, kind string, a string, b string")
+    sizes = table(spark, d, "country_manifest").where(F.col("boundaryRelease") == LATEST).groupBy("countryCode").agg(F.max("byteSize").alias("bytes"))
+    return regions.audit(f, expected, release(spark, d, LATEST).select("countryCode", "areaId"), exceptions, sizes)
+
+
+_NAMELESS = "coalesce(regexp_replace(nameLocal, '\\A[\\s\\p{Z}]+|[\\s\\p{Z}]+\\z', '', 'g'), '') = ''"
+
 
+@query("v1_feature_codes", f"SELECT countryCode, code, sourceId AS subject, count(*) AS n FROM (SELECT countryCode, sourceId, unnest(list_filter([CASE WHEN areaId <> countryCode || ':overture:' || sourceId THEN 'IDENTITY_MISMATCH' END, CASE WHEN {_NAMELESS} THEN 'LOCAL_NAME_MISSING' END, CASE WHEN geometry IS NULL THEN 'GEOMETRY_TYPE_INVALID' END], lambda c: c IS NOT NULL)) AS code FROM city_area UNION ALL SELECT countryCode, sourceId, 'DIVISION_ID_DUPLICATE' FROM city_area GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL")
+def v1_features(spark, d):
+    return regions.feature_codes(_features(spark, d)).groupBy("countryCode", "code", "subject").agg(F.count("*").alias("n"))
 
-@query("v2_count_expectation", "SELECT countryCode, count(*) BETWEEN 5 AND 40 AS met FROM city_area GROUP BY countryCode")
+
+@query("v1_index_codes", f"SELECT DISTINCT countryCode, 'INDEX_ID_MISMATCH' AS code FROM (SELECT coalesce(a.countryCode, b.countryCode) AS countryCode FROM (SELECT countryCode, areaId, count(*) n FROM city_area GROUP BY ALL) a FULL JOIN (SELECT countryCode, areaId FROM area_snapshot WHERE boundaryRelease = '{LATEST}' QUALIFY row_number() OVER (PARTITION BY areaId ORDER BY loadedAt DESC) = 1) b ON a.areaId = b.areaId AND a.countryCode = b.countryCode WHERE a.areaId IS NULL OR b.areaId IS NULL OR a.n > 1)")
+def v1_index(spark, d):
+    return regions.index_codes(_features(spark, d), release(spark, d, LATEST).select("countryCode", "areaId")).drop("subject")
+
+
+@query("v1_metrics", "SELECT countryCode, count(*) AS features, coalesce(sum(n), 0)::BIGINT AS vertices, coalesce(max(n), 0)::INT AS most, coalesce(list_sort(list(n))[ceil(count(n) * 0.5)::INT], 0)::INT AS p50, coalesce(list_sort(list(n))[ceil(count(n) * 0.95)::INT], 0)::INT AS p95 FROM (SELECT countryCode, len(flatten(flatten(geometry))) AS n FROM city_area) GROUP BY countryCode")
+def v1_metrics(spark, d):
+    sizes = table(spark, d, "country_manifest").where(F.col("boundaryRelease") == LATEST).groupBy("countryCode").agg(F.max("byteSize").alias("bytes"))
+    return regions.metrics(_features(spark, d), sizes).select("countryCode", "features", "vertices", F.col("most").cast("int"), F.col("p50").cast("int"), F.col("p95").cast("int"))
+
+
+@query("v2_count_expectation", "SELECT countryCode, CASE ascii(countryCode[2]) % 4 WHEN 0 THEN CASE WHEN n NOT BETWEEN 5 AND 40 THEN 'COUNT_MISMATCH' END WHEN 1 THEN CASE WHEN n <> 12 THEN 'COUNT_MISMATCH' END WHEN 2 THEN 'COUNT_MISMATCH' ELSE 'COUNT_REFERENCE_INVALID' END AS code FROM (SELECT countryCode, count(*) AS n FROM city_area GROUP BY countryCode) WHERE code IS NOT NULL")
 def v2(spark, d):
-    return table(spark, d, "city_area").groupBy("countryCode").agg(F.count("*").between(5, 40).alias("met"))
+    """Expectations of all kinds by country: a range, an exact count, bounds the wrong way round, none."""
+    kind = F.ascii(F.substring("countryCode", 2, 1)) % 4
+    counts = table(spark, d, "city_area").groupBy("countryCode").agg(F.count("*").alias("n")).select(
+        "countryCode", "n", F.when(kind == 0, "range").when(kind == 1, "exact").alias("kind"), F.lit(12).alias("value"),
+        F.when(kind == 0, 5).when(kind == 2, 40).alias("minimum"), F.when(kind == 0, 40).when(kind == 2, 5).alias("maximum"),
+    )
+    return regions.count_codes(counts)
 
 
 @query("v15_budgets", f"SELECT packageId, count(*) AS features, coalesce(sum(len(flatten(flatten(geometry)))), 0)::BIGINT AS vertices, coalesce(sum(len(flatten(flatten(geometry)))), 0) <= 1000000 AND max(len(aliases)) <= 20 AS within FROM {AREA} GROUP BY packageId")

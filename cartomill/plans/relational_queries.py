@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartomill.functions import text
-from cartomill.operators import gazetteer, nearby, relational, selector, visits
+from cartomill.functions import geo, text
+from cartomill.operators import changes_of_releases, gazetteer, nearby, relational, selector, visits
 from cartomill.plans.base import AREA, BEFORE, CAND, CITY, LATEST, USABLE, areas, candidates, cities, query, release, release_sql
 from cartomill.runtime import table
 
@@ -61,10 +61,14 @@ def proj8(spark, d):
     )
 
 
-@query("proj10_first_valid_code", f"SELECT areaId, CASE WHEN regexp_full_match(packageId[1:2], '[A-Z]{{2}}') THEN packageId[1:2] WHEN regexp_full_match(countryCode, '[A-Z]{{2}}') THEN countryCode END AS code FROM {AREA}")
+_CODES = ["packageId[1:2]", "CASE WHEN nameZh IS NULL THEN '-99' ELSE countryCode END", "adminLevel", "countryCode"]
+
+
+@query("proj10_first_valid_code", "SELECT areaId, coalesce(" + ", ".join(f"CASE WHEN regexp_full_match({c}, '[A-Z]{{2}}') THEN {c} END" for c in _CODES) + f") AS code FROM {AREA}")
 def proj10(spark, d):
-    valid = lambda c: F.when(c.rlike(r"\A[A-Z]{2}\z"), c)
-    return areas(spark, d).select("areaId", F.coalesce(valid(F.substring("packageId", 1, 2)), valid(F.col("countryCode"))).alias("code"))
+    """First valid of four code fields; -99 stands for none."""
+    fields = [F.substring("packageId", 1, 2), F.when(F.col("nameZh").isNull(), "-99").otherwise(F.col("countryCode")), F.col("adminLevel"), F.col("countryCode")]
+    return areas(spark, d).select("areaId", F.coalesce(*[F.when(text.is_form(c, "iso2"), c) for c in fields]).alias("code"))
 
 
 @query("f2_membership", "SELECT areaId FROM city_area WHERE list_contains(['XK', 'XA'], countryCode)")
@@ -78,22 +82,30 @@ def f3_f4(spark, d):
     return table(spark, d, "boundary_candidate").groupBy(good.alias("resolved")).agg(F.count("*").alias("n"))
 
 
-SELECTOR = selector.Selector(
-    owners=("XK", "xa", "XB"), subtypes=("overture", "geo-registry"), levels=("municipality", "county", "7"), deny=(),
-    columns={"id": "areaId", "owner": "countryCode", "subtype": "source", "level": "adminLevel", "local": "adminLevel", "land": "isLand"},
+_SELECTED = "(upper(countryCode) IN ('XK', 'XA', 'XB') AND geometry IS NOT NULL AND (source IN ('overture', 'geo-registry') AND adminLevel IN ('municipality', 'county', '7') AND adminLevel IN ('county', '7') OR sourceId[-1] = '1') AND NOT sourceId[-1] = '2')"
+
+
+def _selector_rows(spark, d):
+    """Areas with the rule's local type, and the ids that are allowed and denied by their last letter."""
+    last = F.right("sourceId", F.lit(1))
+    return areas(spark, d).select("*", F.col("geometry").isNotNull().alias("isLand"), F.when(last == "1", "allowed").when(last == "2", "denied").otherwise("other").alias("listed"))
+
+
+_RULES = selector.Selector(
+    owners=("XK", "xa", "XB"), subtypes=("overture", "geo-registry"), levels=("municipality", "county", "7"), local_types=(("county", "7"),), allow=("allowed",), deny=("denied",),
+    columns={"id": "listed", "owner": "countryCode", "subtype": "source", "level": "adminLevel", "local": "adminLevel", "land": "isLand"},
 )
 
 
-@query("f5_selector", f"SELECT areaId, countryCode, 'ZZ' AS sovereignCode FROM {AREA} WHERE upper(countryCode) IN ('XK', 'XA', 'XB') AND geometry IS NOT NULL AND source IN ('overture', 'geo-registry') AND adminLevel IN ('municipality', 'county', '7')")
+@query("f5_selector", f"SELECT areaId, countryCode, 'ZZ' AS sovereignCode FROM {AREA} WHERE coalesce({_SELECTED}, false)")
 def f5(spark, d):
-    rows = areas(spark, d).withColumn("isLand", F.col("geometry").isNotNull())
-    return selector.select(rows, SELECTOR).select("areaId", "countryCode", F.lit("ZZ").alias("sovereignCode"))
+    """Owners, subtypes, levels, local types, allowed and denied ids."""
+    return _selector_rows(spark, d).where(selector.predicate(_RULES)).select("areaId", "countryCode", F.lit("ZZ").alias("sovereignCode"))
 
 
-@query("a22_selection_counts", f"SELECT count(*) AS source, count(*) FILTER (upper(countryCode) IN ('XK', 'XA', 'XB') AND geometry IS NOT NULL AND source IN ('overture', 'geo-registry') AND adminLevel IN ('municipality', 'county', '7')) AS selected FROM {AREA}")
+@query("a22_selection_counts", f"SELECT count(*) AS source, count(*) FILTER (s) AS selected, count(*) FILTER (NOT s) AS excluded, count(*) FILTER (s AND sourceId[-1] = '1') AS allowlisted, count(*) FILTER (sourceId[-1] = '2') AS denylisted FROM (SELECT *, coalesce({_SELECTED}, false) AS s FROM {AREA})")
 def a22(spark, d):
-    rows = areas(spark, d).withColumn("isLand", F.col("geometry").isNotNull())
-    return rows.agg(F.count("*").alias("source"), F.count_if(selector.predicate(SELECTOR)).alias("selected"))
+    return _selector_rows(spark, d).agg(*selector.counts(_RULES))
 
 
 @query("f7_named", "SELECT count(*) AS n, count(*) FILTER (zhName IS NOT NULL AND length(trim(zhName)) > 0) AS named FROM city_summary")
@@ -101,25 +113,58 @@ def f7(spark, d):
     return table(spark, d, "city_summary").agg(F.count("*").alias("n"), F.count_if(F.length(F.trim("zhName")) > 0).alias("named"))
 
 
-@query("f10_kept_aliases", f"SELECT id, array_to_string(list_distinct_ordered, '|') AS aliases FROM (SELECT id, list_filter(k, lambda x, i: list_position(k, x) = i) AS list_distinct_ordered FROM (SELECT id, list_concat(list_filter(list_transform(coalesce(aliases, []), lambda a: trim(a)), lambda a: a <> '' AND a <> name AND a <> asciiName)[1:3], CASE WHEN zhName IS NULL THEN [] ELSE [zhName] END) AS k FROM {CITY}))")
+def _plain(e):
+    """SQL: full-width letters as plain ones, accents gone, as the normaliser does for the letters of these tables."""
+    wide = f"array_to_string(list_transform(string_split({e}, ''), lambda ch: CASE WHEN unicode(ch) BETWEEN 65281 AND 65374 THEN chr(unicode(ch) - 65248) WHEN unicode(ch) = 12288 THEN ' ' ELSE ch END), '')"
+    return f"lower(trim(strip_accents({wide})))"
+
+
+_KEPT = "SELECT id, name, asciiName, k, zhName, z, list_filter(k, lambda x: x <> name AND x <> asciiName AND NOT list_contains(z, x)) AS own FROM (SELECT *, list_filter(k, lambda x: length(x) % 4 = 0) AS z FROM (SELECT id, name, asciiName, zhName, list_filter(u, lambda x, i: list_position(u, x) = i) AS k FROM (SELECT *, list_filter(list_transform(coalesce(aliases, []), lambda a: regexp_replace(a, '\\A[\\s\\p{Z}\\x{feff}]+|[\\s\\p{Z}\\x{feff}]+\\z', '', 'g')), lambda a: a <> '') AS u FROM " + CITY + ")))"
+
+
+def _aliases(spark, d):
+    """Cities whose aliases of a length divisible by four stand for Chinese ones too."""
+    names = gazetteer.unique_strings(F.col("aliases"))
+    return cities(spark, d).withColumn("zh", F.filter(names, lambda a: F.length(a) % 4 == 0))
+
+
+@query("f10_kept_aliases", f"SELECT id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') AS aliases FROM (SELECT id, list_concat(own[1:3], list_filter(z, lambda x: x IS DISTINCT FROM zhName AND x <> name AND x <> asciiName)) AS a FROM ({_KEPT}))")
 def f10(spark, d):
-    zh = F.filter(F.array("zhName"), lambda z: z.isNotNull())
-    return cities(spark, d).select("id", F.array_join(gazetteer.kept_aliases(F.col("aliases"), [F.col("name"), F.col("asciiName")], zh), "|").alias("aliases"))
+    kept = gazetteer.kept_aliases(F.col("aliases"), F.col("name"), F.col("asciiName"), F.col("zhName"), F.col("zh"))
+    return _aliases(spark, d).select("id", F.array_join(kept, "|").alias("aliases"))
 
 
-@query("a23_truncated_aliases", f"SELECT count(*) FILTER (len(aliases) > 3) AS truncated FROM {CITY}")
+@query("a23_truncated_aliases", f"SELECT count(*) FILTER (len(own) > 3) AS truncated FROM ({_KEPT})")
 def a23(spark, d):
-    return cities(spark, d).agg(F.count_if(F.size("aliases") > 3).alias("truncated"))
+    own = gazetteer.source_aliases(F.col("aliases"), F.col("name"), F.col("asciiName"), F.col("zh"))
+    return _aliases(spark, d).agg(F.count_if(F.size(own) > gazetteer.ALIASES).alias("truncated"))
 
 
-@query("f14_cache_decision", f"SELECT n.packageId, CASE WHEN o.packageId IS NULL THEN 'unavailable' WHEN n.checksum = o.checksum AND n.byteSize = o.byteSize THEN 'cached' ELSE 'fresh' END AS status FROM (SELECT * FROM country_manifest WHERE boundaryRelease = '{LATEST}' QUALIFY row_number() OVER (PARTITION BY packageId ORDER BY loadedAt DESC) = 1) n LEFT JOIN (SELECT * FROM country_manifest WHERE boundaryRelease = '{BEFORE}' QUALIFY row_number() OVER (PARTITION BY packageId ORDER BY loadedAt DESC) = 1) o USING (packageId)")
+@query("f12_j4_city_build", f"SELECT c.id, c.name, i.continentCode, c.zhName, nullif(c.admin1, '') AS admin1, c.population FROM {CITY} c JOIN (SELECT DISTINCT countryCode, continentCode FROM country_info) i USING (countryCode) WHERE {USABLE} AND name <> '' AND asciiName <> ''")
+def f12(spark, d):
+    """Cities built from rows, countries and Chinese names; what the build would refuse is left to f12_refused."""
+    c = cities(spark, d)
+    right = nearby.usable(F.col("lat"), F.col("lon")) & (F.col("name") != "") & (F.col("asciiName") != "")
+    i = table(spark, d, "country_info")
+    known = c.where(right).join(i.select("countryCode").distinct(), "countryCode", "left_semi")
+    zh = c.where("zhName IS NOT NULL").select(F.col("id").alias("cityId"), F.col("zhName").alias("preferred"), F.array().cast("array<string>").alias("aliases"))
+    return gazetteer.build_cities(known, i, zh).select("id", "name", "continentCode", "zhName", "admin1", "population")
+
+
+@query("f12_refused", f"SELECT id, CASE WHEN NOT coalesce({USABLE} AND name <> '' AND asciiName <> '' AND countryCode <> '', false) THEN 'INVALID_REQUIRED_VALUE' WHEN countryCode NOT IN (SELECT countryCode FROM country_info) THEN 'UNKNOWN_COUNTRY' END AS code FROM {CITY} WHERE code IS NOT NULL")
+def f12_refused(spark, d):
+    return gazetteer.refused_cities(cities(spark, d), table(spark, d, "country_info")).select("id", "code")
+
+
+_SAME = ["schemaVersion", "countryCode", "boundaryVersion", "administrativeScheme", "featureCount", "byteSize", "checksum", "source", "attribution"]
+
+
+@query("f14_cache_decision", f"SELECT n.packageId, CASE WHEN o.packageId IS NULL THEN CASE WHEN n.featureCount IS NULL THEN 'unavailable' ELSE 'fresh' END WHEN {' AND '.join(f'n.{c} IS NOT DISTINCT FROM o.{c}' for c in _SAME)} THEN 'cached' WHEN n.featureCount IS NULL THEN 'stale-cache' ELSE 'fresh' END AS status FROM (SELECT * FROM country_manifest WHERE boundaryRelease = '{LATEST}' QUALIFY row_number() OVER (PARTITION BY packageId ORDER BY loadedAt DESC) = 1) n LEFT JOIN (SELECT * FROM country_manifest WHERE boundaryRelease = '{BEFORE}' QUALIFY row_number() OVER (PARTITION BY packageId ORDER BY loadedAt DESC) = 1) o USING (packageId)")
 def f14(spark, d):
+    """A package is cached where all its entry equals the kept one; one that can not be loaded (no count here) is served stale, if it is kept."""
     m = table(spark, d, "country_manifest")
-    pick = lambda r: m.where(F.col("boundaryRelease") == r).groupBy("packageId").agg(F.max_by(F.struct("checksum", "byteSize"), "loadedAt").alias("e"))
-    new, old = pick(LATEST), pick(BEFORE).withColumnRenamed("e", "o")
-    return new.join(old, "packageId", "left").select(
-        "packageId", F.when(F.col("o").isNull(), "unavailable").when(F.col("e") == F.col("o"), "cached").otherwise("fresh").alias("status")
-    )
+    pick = lambda r: m.where(F.col("boundaryRelease") == r).groupBy("packageId").agg(F.max_by(F.struct(*_SAME), "loadedAt").alias("e")).select("packageId", "e.*")
+    return relational.cache_status(pick(LATEST), pick(BEFORE), "packageId", _SAME, F.col("featureCount").isNotNull())
 
 
 @query("f15_safe_urls", "SELECT doc_id FROM documents WHERE regexp_matches(url, '^https://[^/@?#]+') AND NOT regexp_matches(url, '^https://[^/]*@') AND NOT regexp_matches(lower(url), '[?&](token|key|secret|password)=')")
@@ -188,9 +233,10 @@ def j9(spark, d):
     return release(spark, d, LATEST).join(o, "areaId").where("geometryHash <> _h").select("areaId")
 
 
-@query("j10_exact_set", f"SELECT packageId, 'missing' AS code FROM (SELECT DISTINCT packageId FROM country_manifest WHERE packageId NOT IN (SELECT packageId FROM city_area WHERE packageId IS NOT NULL)) UNION ALL SELECT packageId, 'extra' FROM (SELECT DISTINCT packageId FROM city_area WHERE packageId NOT IN (SELECT packageId FROM country_manifest))")
+@query("j10_exact_set", f"SELECT areaId, 'missing' AS code FROM {PRE} WHERE areaId NOT IN (SELECT areaId FROM city_area) UNION ALL SELECT DISTINCT areaId, 'extra' FROM city_area WHERE areaId NOT IN (SELECT areaId FROM {PRE})")
 def j10(spark, d):
-    return relational.set_difference(table(spark, d, "country_manifest"), table(spark, d, "city_area"), "packageId")
+    """Areas of the release before against those of the last."""
+    return relational.set_difference(release(spark, d, BEFORE), table(spark, d, "city_area"), "areaId")
 
 
 _FIELDS = ["countryCode", "packageId", "nameZh", "nameLocal", "adminLevel"]
@@ -255,12 +301,12 @@ def j15(spark, d):
 
 
 @query("j16_rank_candidates", f"""
-WITH n AS (SELECT id, countryCode, term, max(points) points FROM (
-  SELECT id, countryCode, lower(trim(zhName)) term, 50 points FROM {CITY} UNION ALL SELECT id, countryCode, lower(trim(name)), 40 FROM {CITY}
-  UNION ALL SELECT id, countryCode, lower(trim(asciiName)), 30 FROM {CITY} UNION ALL SELECT id, countryCode, lower(trim(unnest(aliases))), 20 FROM {CITY}) WHERE term <> '' GROUP BY ALL),
-p AS (SELECT id candidate_id, upper(countryCode) countryCode, type, importance, lower(trim(name)) term, 1000 base FROM {CAND}
-  UNION ALL SELECT id, upper(countryCode), type, importance, lower(trim(unnest(string_split(coalesce(displayName, ''), ',')))), 500 FROM {CAND}),
-s AS (SELECT n.id city_id, candidate_id, round(max(base + points + CASE WHEN type IN ('city', 'town', 'administrative') THEN 10 ELSE 0 END + greatest(0.0, least(1.0, coalesce(importance, 0.0)))), 6) score
+WITH n AS (SELECT id, upper(countryCode) countryCode, term, max(points) points FROM (
+  SELECT id, countryCode, {_plain('zhName')} term, 50 points FROM {CITY} UNION ALL SELECT id, countryCode, {_plain('name')}, 40 FROM {CITY}
+  UNION ALL SELECT id, countryCode, {_plain('asciiName')}, 30 FROM {CITY} UNION ALL SELECT id, countryCode, {_plain('a')}, 20 FROM (SELECT id, countryCode, unnest(aliases) a FROM {CITY})) WHERE term <> '' GROUP BY ALL),
+p AS (SELECT id candidate_id, upper(countryCode) countryCode, type, importance, {_plain('name')} term, 1000 base FROM {CAND}
+  UNION ALL SELECT id, upper(countryCode), type, importance, trim(unnest(string_split({_plain("coalesce(displayName, '')")}, ','))), 500 FROM {CAND}),
+s AS (SELECT n.id city_id, candidate_id, round(max(base + points + CASE WHEN type IN ('city', 'town', 'administrative', 'municipality') THEN 10 ELSE 0 END + greatest(0.0, least(1.0, coalesce(importance, 0.0)))), 6) score
   FROM p JOIN n USING (countryCode, term) WHERE term <> '' GROUP BY ALL)
 SELECT city_id, candidate_id, score, row_number() OVER (PARTITION BY city_id ORDER BY score DESC, candidate_id) AS position FROM s
 """)
@@ -268,22 +314,86 @@ def j16(spark, d):
     return gazetteer.rank_candidates(cities(spark, d), candidates(spark, d)).withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("j17_own_country", f"SELECT a.areaId, i.countryCode IS NOT NULL AS known, starts_with(a.areaId, a.countryCode || ':') AS own_prefix FROM {AREA} a LEFT JOIN (SELECT DISTINCT countryCode FROM country_info) i USING (countryCode)")
+@query("j17_own_country", f"SELECT a.areaId, i.countryCode IS NOT NULL AS known, starts_with(a.areaId, a.countryCode || ':') AS own_prefix, coalesce(m.featureCount IS NOT NULL, false) AS counted FROM {AREA} a LEFT JOIN (SELECT DISTINCT countryCode FROM country_info) i USING (countryCode) LEFT JOIN (SELECT packageId, max_by(featureCount, loadedAt) featureCount FROM country_manifest WHERE boundaryRelease = '{LATEST}' GROUP BY 1) m ON m.packageId = a.packageId")
 def j17(spark, d):
     i = table(spark, d, "country_info").select("countryCode").distinct().withColumn("_i", F.lit(True))
-    return areas(spark, d).join(i, "countryCode", "left").select(
-        "areaId", F.col("_i").isNotNull().alias("known"), F.col("areaId").startswith(F.concat("countryCode", F.lit(":"))).alias("own_prefix")
+    m = table(spark, d, "country_manifest").where(F.col("boundaryRelease") == LATEST).groupBy("packageId").agg(F.max_by("featureCount", "loadedAt").alias("_n"))
+    return areas(spark, d).join(i, "countryCode", "left").join(m, "packageId", "left").select(
+        "areaId", F.col("_i").isNotNull().alias("known"), F.col("areaId").startswith(F.concat("countryCode", F.lit(":"))).alias("own_prefix"), F.col("_n").isNotNull().alias("counted")
     )
 
 
-@query("j19_owner_map", "SELECT source, count(DISTINCT countryCode) AS owners, min(countryCode) AS owner FROM city_area GROUP BY source HAVING count(DISTINCT countryCode) = 1")
+@query("j19_owner_map", "WITH r AS (SELECT countryCode AS owner, unnest(list_distinct([countryCode, countryCode[1] || 'Z'])) AS code FROM (SELECT DISTINCT countryCode FROM country_info)) SELECT code, CASE WHEN count(*) = 1 THEN min(owner) END AS owner, count(*) > 1 AS contested FROM r GROUP BY code")
 def j19(spark, d):
-    return table(spark, d, "city_area").groupBy("source").agg(F.countDistinct("countryCode").alias("owners"), F.min("countryCode").alias("owner")).where("owners = 1")
+    """Source codes of each country, its own and one that all with its first letter name: the owner of each, or that it is contested."""
+    r = table(spark, d, "country_info").select(F.col("countryCode").alias("owner"), F.array_distinct(F.array("countryCode", F.concat(F.substring("countryCode", 1, 1), F.lit("Z")))).alias("codes")).distinct()
+    return relational.owner_of(r, "owner", "codes")
 
 
-@query("j20_j21_unknown_references", f"SELECT DISTINCT s.areaId FROM area_snapshot s WHERE NOT EXISTS (SELECT 1 FROM city_area a WHERE a.areaId = s.areaId)")
+@query("j20_j21_unknown_references", f"SELECT DISTINCT s.areaId, 'UNKNOWN_CURRENT' AS code FROM area_snapshot s WHERE NOT EXISTS (SELECT 1 FROM city_area a WHERE a.areaId = s.areaId) UNION ALL SELECT DISTINCT a.areaId, 'UNKNOWN_SNAPSHOT' FROM city_area a WHERE NOT EXISTS (SELECT 1 FROM {PRE} s WHERE a.areaId = s.areaId)")
 def j20(spark, d):
-    return table(spark, d, "area_snapshot").select("areaId").distinct().join(table(spark, d, "city_area").select("areaId").distinct(), "areaId", "left_anti")
+    """References of the snapshots that no current area has, and current areas that the release before lacks."""
+    now, old = table(spark, d, "city_area"), release(spark, d, BEFORE)
+    all_old = table(spark, d, "area_snapshot")
+    return relational.unknown_references(all_old, now, "areaId", "UNKNOWN_CURRENT").unionByName(relational.unknown_references(now, old, "areaId", "UNKNOWN_SNAPSHOT"))
+
+
+_MIG = f"(SELECT o.areaId AS old_id, n.areaId AS new_id FROM {PRE} o JOIN {REL} n ON o.nameLocal = n.nameLocal AND o.countryCode = n.countryCode AND o.areaId <> n.areaId)"
+
+
+def _migrations(spark, d):
+    """(old_id, new_id) of areas of two releases with one name and country and different ids."""
+    o, n = (release(spark, d, r).select(F.col("areaId").alias(k), "nameLocal", "countryCode") for r, k in ((BEFORE, "old_id"), (LATEST, "new_id")))
+    return o.join(n, ["nameLocal", "countryCode"]).where("old_id <> new_id").select("old_id", "new_id")
+
+
+@query("a18_v8_migrations", f"WITH m AS {_MIG}, k AS (SELECT old_id, new_id, count(*) OVER (PARTITION BY old_id) a, count(*) OVER (PARTITION BY new_id) b FROM m) SELECT CASE WHEN a = 1 AND b = 1 THEN '1-1' WHEN b = 1 THEN '1-n' WHEN a = 1 THEN 'n-1' ELSE 'n-n' END AS type, count(*) AS n FROM k GROUP BY 1")
+def a18(spark, d):
+    return changes_of_releases.migration_types(_migrations(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("m2_v7_release_report", f"""
+WITH o AS (SELECT *, coalesce(countryCode, '?') c FROM {PRE}), n AS (SELECT *, coalesce(countryCode, '?') c FROM {REL}),
+co AS (SELECT c, count(*) a FROM o GROUP BY 1), cn AS (SELECT c, count(*) b FROM n GROUP BY 1),
+m AS (SELECT coalesce(co.c, cn.c) c, coalesce(a, 0) a, coalesce(b, 0) b FROM co FULL JOIN cn USING (c)),
+del AS (SELECT c, count(*) k FROM o WHERE areaId NOT IN (SELECT areaId FROM n) GROUP BY 1), ad AS (SELECT c, count(*) k FROM n WHERE areaId NOT IN (SELECT areaId FROM o) GROUP BY 1),
+ch AS (SELECT n.c, count(*) k FROM n JOIN o USING (areaId) WHERE n.geometryHash IS DISTINCT FROM o.geometryHash GROUP BY 1)
+SELECT m.c AS countryCode, coalesce(ad.k, 0) AS added, coalesce(del.k, 0) AS deleted, coalesce(ch.k, 0) AS changed, round(CASE WHEN a = 0 THEN CASE WHEN b = 0 THEN 0 ELSE 100 END ELSE abs(b - a) * 100.0 / a END, 6)::DOUBLE AS delta,
+  CASE WHEN coalesce(del.k, 0) > 0 AND b > 0 AND (abs(b - a) * 100.0 / a) > 5 THEN 'blocked' WHEN coalesce(del.k, 0) + coalesce(ad.k, 0) + coalesce(ch.k, 0) > 0 THEN 'manual-review-required' ELSE 'no-review-required' END AS state
+FROM m LEFT JOIN del USING (c) LEFT JOIN ad USING (c) LEFT JOIN ch USING (c) WHERE a > 0
+""")
+def m2(spark, d):
+    """Counts of what changed in each country of the release before; one that lost areas and changed by over 5 % is blocked."""
+    old, new = (release(spark, d, r).withColumn("countryCode", F.coalesce("countryCode", F.lit("?"))) for r in (BEFORE, LATEST))
+    r = changes_of_releases.report(old, new, "areaId", "countryCode", "geometryHash", most=5.0)
+    return r.where("before > 0").select("countryCode", "added", "deleted", "changed", "delta", "state")
+
+
+@query("j22_bindings", f"""
+WITH r AS (SELECT DISTINCT countryCode FROM country_info), m AS (SELECT countryCode, sum(featureCount) n FROM (SELECT * FROM country_manifest WHERE boundaryRelease = '{LATEST}' QUALIFY row_number() OVER (PARTITION BY packageId ORDER BY loadedAt DESC) = 1) GROUP BY 1),
+p AS (SELECT countryCode, count(DISTINCT areaId) n FROM city_area GROUP BY 1), s AS (SELECT countryCode, count(*) n FROM {REL} GROUP BY 1),
+k AS (SELECT countryCode FROM r UNION SELECT countryCode FROM m UNION SELECT countryCode FROM p UNION SELECT countryCode FROM s)
+SELECT k.countryCode, concat_ws('|', CASE WHEN r.countryCode IS NULL THEN 'registry:MISSING' END, CASE WHEN m.countryCode IS NULL THEN 'manifest:MISSING' END, CASE WHEN p.countryCode IS NULL THEN 'package:MISSING' END, CASE WHEN s.countryCode IS NULL THEN 'snapshot:MISSING' END,
+  CASE WHEN m.n <> p.n THEN 'manifest-package:DIFFERENT' END, CASE WHEN p.n <> s.n THEN 'package-snapshot:DIFFERENT' END) AS codes
+FROM k LEFT JOIN r USING (countryCode) LEFT JOIN m USING (countryCode) LEFT JOIN p USING (countryCode) LEFT JOIN s USING (countryCode)
+""")
+def j22(spark, d):
+    """Registry, manifest, packages and snapshot of each country: present, and of one count."""
+    m = table(spark, d, "country_manifest").where(F.col("boundaryRelease") == LATEST).groupBy("packageId").agg(F.max_by(F.struct("countryCode", "featureCount"), "loadedAt").alias("e"))
+    sides = {
+        "registry": table(spark, d, "country_info").select("countryCode").distinct().withColumn("n", F.lit(None).cast("bigint")),
+        "manifest": m.groupBy(F.col("e.countryCode").alias("countryCode")).agg(F.sum("e.featureCount").alias("n")),
+        "package": table(spark, d, "city_area").groupBy("countryCode").agg(F.countDistinct("areaId").alias("n")),
+        "snapshot": release(spark, d, LATEST).groupBy("countryCode").agg(F.count("*").alias("n")),
+    }
+    return changes_of_releases.bindings(sides, "countryCode", "n", [("manifest", "package"), ("package", "snapshot")]).select("countryCode", F.array_join("codes", "|").alias("codes"))
+
+
+@query("j25_v9_world_owners", "WITH w AS (SELECT DISTINCT countryCode AS world_id FROM city_area UNION SELECT DISTINCT countryCode FROM city_summary WHERE countryCode IS NOT NULL), r AS (SELECT DISTINCT countryCode FROM country_info) SELECT world_id, r.countryCode AS owner, CASE WHEN world_id = 'XK' THEN 'EXCLUDED' WHEN r.countryCode IS NULL THEN 'UNOWNED' END AS code FROM w LEFT JOIN r ON r.countryCode = world_id AND world_id <> 'XK'")
+def j25(spark, d):
+    """Every code that has a shape or a city, its owner in the registry, those excluded by name apart."""
+    world = table(spark, d, "city_area").select(F.col("countryCode").alias("world_id")).union(table(spark, d, "city_summary").where("countryCode IS NOT NULL").select("countryCode")).distinct()
+    return relational.owned(world, "world_id", table(spark, d, "country_info").select("countryCode").distinct(), "countryCode", ["XK"])
 
 
 @query("a1_counts", "SELECT countryCode, count(*) AS n FROM city_area GROUP BY countryCode")
@@ -338,10 +448,12 @@ def a8(spark, d):
     return visits.stats(v).select("city_count", "country_count", F.explode("continent_counts").alias("continent", "n"))
 
 
-@query("a9_union_totals", f"SELECT count(DISTINCT k) AS places, count(DISTINCT countryCode) AS countries FROM (SELECT id::VARCHAR k, countryCode FROM city_summary UNION ALL SELECT areaId, countryCode FROM city_area)")
+@query("a9_union_totals", f"SELECT (SELECT count(*) FROM {CITY} WHERE id % 3 = 0) AS cities, (SELECT count(*) FROM {AREA} WHERE length(areaId) % 2 = 0) AS areas, (SELECT count(DISTINCT c) FROM (SELECT countryCode c FROM {CITY} WHERE id % 3 = 0 UNION ALL SELECT countryCode FROM {AREA} WHERE length(areaId) % 2 = 0)) AS countries")
 def a9(spark, d):
-    both = table(spark, d, "city_summary").select(F.col("id").cast("string").alias("k"), "countryCode").unionByName(table(spark, d, "city_area").select(F.col("areaId").alias("k"), "countryCode"))
-    return both.agg(F.countDistinct("k").alias("places"), F.countDistinct("countryCode").alias("countries"))
+    """City visits and area visits: how many of each, and the countries of either."""
+    v1 = cities(spark, d).where("id % 3 = 0").select(F.col("id").alias("cityId"), "countryCode")
+    v2 = areas(spark, d).where("length(areaId) % 2 = 0").select("areaId", "countryCode")
+    return visits.totals(v1, v2)
 
 
 @query("a10_by_country", f"SELECT countryCode, count(*) AS n, coalesce(sum(population), 0)::BIGINT AS population FROM {CITY} GROUP BY countryCode")
@@ -359,16 +471,39 @@ def a11(spark, d):
     return gazetteer.preferred_names(alt).select("cityId", "preferred", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("a14_consolidate")
+_NOTED = f"(SELECT coalesce(countryCode, '') || '-' || coalesce(admin1, '0') AS areaId, id AS cityId, name AS label, '2024-01-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') AS createdAt, '2025-01-' || lpad((id % 27 + 1)::VARCHAR, 2, '0') AS updatedAt, CASE WHEN id % 5 > 0 THEN '20' || (id % 20 + 10)::VARCHAR END AS visitedOn, CASE WHEN id % 7 > 0 THEN 'year' END AS datePrecision, asciiName || '!' AS areaSnapshot, CASE WHEN id % 4 = 0 THEN '' ELSE repeat(asciiName, (id % 9 + 1)::INT) END AS note FROM {CITY})"
+_FOLD = f"""
+WITH RECURSIVE v AS {_NOTED}, l AS (SELECT *, coalesce(label, '') || '：' || note AS line, row_number() OVER (PARTITION BY areaId ORDER BY cityId, updatedAt) AS i FROM v WHERE note <> ''),
+f AS (SELECT DISTINCT areaId, 0::BIGINT AS i, '' AS note, false AS taken FROM l UNION ALL SELECT f.areaId, l.i, CASE WHEN fits THEN joined ELSE f.note END, fits FROM f JOIN (SELECT * FROM l) l ON l.areaId = f.areaId AND l.i = f.i + 1, LATERAL (SELECT CASE WHEN f.note = '' THEN l.line ELSE f.note || chr(10) || l.line END AS joined) j, LATERAL (SELECT length(j.joined) <= 500 AS fits) t),
+usual AS (SELECT v.* FROM v WHERE note = '' UNION ALL SELECT l.* EXCLUDE (line, i) FROM l JOIN f ON f.areaId = l.areaId AND f.i = l.i AND f.taken),
+kept AS (SELECT * FROM usual UNION ALL (SELECT * FROM v WHERE areaId NOT IN (SELECT areaId FROM usual) QUALIFY row_number() OVER (PARTITION BY areaId ORDER BY cityId, updatedAt) = 1))
+"""
+
+
+@query("a14_consolidate", _FOLD + """, n AS (SELECT areaId, count(*) n FROM v GROUP BY 1), t AS (SELECT areaId, arg_max(note, i) AS joined FROM f GROUP BY 1)
+SELECT areaId, CASE WHEN n = 1 THEN any_value(k.note) ELSE coalesce(nullif(any_value(t.joined), ''), any_value(k.note)) END AS note, arg_max(cityId, updatedAt || lpad(cityId::VARCHAR, 20, '0')) AS newest_city, arg_max(areaSnapshot, updatedAt || lpad(cityId::VARCHAR, 20, '0')) AS areaSnapshot, min(createdAt) AS createdAt, max(updatedAt) AS updatedAt,
+  CASE WHEN n = 1 THEN any_value(visitedOn) ELSE arg_min(visitedOn, visitedOn || lpad(cityId::VARCHAR, 20, '0')) FILTER (visitedOn IS NOT NULL AND datePrecision IS NOT NULL) END AS visitedOn,
+  CASE WHEN n = 1 THEN any_value(datePrecision) ELSE arg_min(datePrecision, visitedOn || lpad(cityId::VARCHAR, 20, '0')) FILTER (visitedOn IS NOT NULL AND datePrecision IS NOT NULL) END AS datePrecision
+FROM kept k JOIN n USING (areaId) LEFT JOIN t USING (areaId) GROUP BY areaId, n
+""")
 def a14(spark, d):
-    """Visits made of cities, their package as area, texts of their names as notes."""
-    v = cities(spark, d).select(
-        F.concat_ws("-", "countryCode", F.coalesce("admin1", F.lit("0"))).alias("areaId"), F.col("id").alias("cityId"), F.col("name").alias("label"),
-        F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")).alias("createdAt"),
-        F.concat(F.lit("2025-01-"), F.lpad((F.col("id") % 27 + 1).cast("string"), 2, "0")).alias("updatedAt"),
-        F.concat(F.lit("20"), (F.col("id") % 20 + 10).cast("string")).alias("visitedOn"), F.repeat("asciiName", 3).alias("note"),
+    """Visits made of cities, country and region as area, their names in several lengths as notes."""
+    return visits.consolidate(_noted(spark, d))
+
+
+@query("a14_overflow", _FOLD + "SELECT areaId, cityId FROM v WHERE cityId NOT IN (SELECT cityId FROM kept)")
+def a14_overflow(spark, d):
+    return visits.overflow(_noted(spark, d)).select("areaId", "cityId")
+
+
+def _noted(spark, d):
+    day = lambda head, n: F.concat(F.lit(head), F.lpad((F.col("id") % n + 1).cast("string"), 2, "0"))
+    return cities(spark, d).select(
+        F.concat(F.coalesce("countryCode", F.lit("")), F.lit("-"), F.coalesce("admin1", F.lit("0"))).alias("areaId"), F.col("id").alias("cityId"), F.col("name").alias("label"),
+        day("2024-01-", 28).alias("createdAt"), day("2025-01-", 27).alias("updatedAt"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("20"), (F.col("id") % 20 + 10).cast("string"))).alias("visitedOn"),
+        F.when(F.col("id") % 7 > 0, "year").alias("datePrecision"), F.concat("asciiName", F.lit("!")).alias("areaSnapshot"),
+        F.when(F.col("id") % 4 == 0, "").otherwise(F.expr("repeat(asciiName, cast(id % 9 + 1 AS int))")).alias("note"),
     )
-    return visits.consolidate(v).withColumn("overflow", F.size("overflow"))
 
 
 @query("a17_reasons", "SELECT countryCode, string_agg(DISTINCT code, '|' ORDER BY code) AS reasons FROM (SELECT countryCode, 'CENTRE' code FROM city_area WHERE centroid IS NULL UNION ALL SELECT countryCode, 'NAME' FROM city_area WHERE nameZh IS NULL UNION ALL SELECT countryCode, 'SHAPE' FROM city_area WHERE geometry IS NULL) GROUP BY countryCode")
@@ -395,15 +530,27 @@ def w2(spark, d):
     return relational.first_by(table(spark, d, "events"), ["user_id"], F.col("event_id")).select("user_id", "event_id", "event_type")
 
 
-@query("w4_history", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS position, ceil(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) / 6)::BIGINT AS page FROM orders")
+@query("w4_history", f"SELECT key, row_number() OVER (ORDER BY stamp DESC, key) AS position, ceil(row_number() OVER (ORDER BY stamp DESC, key) / 6)::BIGINT AS page FROM (SELECT 'o' || o_orderkey AS key, o_orderdate AS stamp FROM orders UNION ALL SELECT 'e' || event_id, ts FROM events)")
 def w4(spark, d):
-    return visits.history(table(spark, d, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", "position", "page")
+    """Two sources in one order."""
+    return visits.history(_entries(spark, d), "stamp", "key").select("key", "position", "page")
+
+
+@query("w4_last_page", f"SELECT key, position FROM (SELECT key, row_number() OVER (ORDER BY stamp DESC, key) AS position, count(*) OVER () AS n FROM (SELECT 'o' || o_orderkey AS key, o_orderdate AS stamp FROM orders UNION ALL SELECT 'e' || event_id, ts FROM events)) WHERE ceil(position / 6) = ceil(n / 6)")
+def w4_page(spark, d):
+    """A page beyond the last is the last."""
+    return visits.page(visits.history(_entries(spark, d), "stamp", "key"), 1 << 40).select("key", "position")
+
 
+def _entries(spark, d):
+    o = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderdate").cast("timestamp_ntz").alias("stamp"))
+    return o.unionByName(table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("key"), F.col("ts").cast("timestamp_ntz").alias("stamp")))
 
-@query("o1_o2_ordered", "SELECT countryCode, source, adminLevel, count(*) AS n FROM city_area GROUP BY ALL ORDER BY countryCode NULLS FIRST, source NULLS FIRST, adminLevel NULLS FIRST")
+
+@query("o1_o2_ordered", "SELECT *, row_number() OVER (ORDER BY countryCode NULLS FIRST, source NULLS FIRST, adminLevel NULLS FIRST) AS position FROM (SELECT countryCode, source, adminLevel, count(*) AS n FROM city_area GROUP BY ALL)")
 def o1_o2(spark, d):
     t = table(spark, d, "city_area").groupBy("countryCode", "source", "adminLevel").agg(F.count("*").alias("n"))
-    return t.orderBy(*[F.asc_nulls_first(c) for c in ("countryCode", "source", "adminLevel")])
+    return relational.positions(t.orderBy(*[F.asc_nulls_first(c) for c in ("countryCode", "source", "adminLevel")]))
 
 
 def _term_rank(q):
@@ -419,14 +566,35 @@ def o3(spark, d):
     return gazetteer.search_cities(cities(spark, d), " SAN ", 12).select("id", "match_rank")
 
 
-@query("o4_search_areas")
+@query("o4_search_areas", f"""
+WITH a AS (SELECT areaId, coalesce(nameZh, nameLocal) AS shown, list_filter(u, lambda x, i: list_position(u, x) = i) AS names FROM (SELECT areaId, nameZh, nameLocal, list_filter(list_concat([nameZh, nameLocal], coalesce(aliases, [])), lambda x: x IS NOT NULL) AS u FROM {AREA})),
+k AS (SELECT areaId, shown, unnest(names) AS matched_name, unnest(range(0, len(names)))::INT AS field_rank FROM a),
+r AS (SELECT *, CASE WHEN t = 'ber' THEN 0 WHEN starts_with(t, 'ber') THEN 1 WHEN contains(t, 'ber') THEN 2 END AS match_rank FROM (SELECT *, {_plain('matched_name')} AS t FROM k)),
+b AS (SELECT areaId, shown, match_rank, field_rank, matched_name FROM r WHERE match_rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY areaId ORDER BY match_rank, field_rank) = 1)
+SELECT areaId, match_rank, field_rank, matched_name, row_number() OVER (ORDER BY match_rank, field_rank, shown COLLATE zh, areaId COLLATE en) AS position FROM b ORDER BY position LIMIT 50
+""")
 def o4(spark, d):
-    return gazetteer.search_areas(areas(spark, d), "ber", 50).select("areaId", "match_rank", "field_rank", "matched_name")
+    return relational.positions(gazetteer.search_areas(areas(spark, d), "ber", 50).select("areaId", "match_rank", "field_rank", "matched_name"))
 
 
-@query("o6_locale_order", "SELECT DISTINCT adminLevel FROM city_area WHERE adminLevel IS NOT NULL")
+@query("o6_locale_order", "SELECT v, row_number() OVER (ORDER BY v COLLATE en, v) AS position FROM (SELECT DISTINCT unnest([areaId, adminLevel, countryCode]) AS v FROM city_area) WHERE v IS NOT NULL")
 def o6(spark, d):
-    return table(spark, d, "city_area").where("adminLevel IS NOT NULL").select("adminLevel").distinct().orderBy(F.collate("adminLevel", "en"))
+    v = table(spark, d, "city_area").select(F.explode(F.array("areaId", "adminLevel", "countryCode")).alias("v")).where("v IS NOT NULL").distinct()
+    return relational.positions(v.orderBy(F.collate("v", "en"), "v"))
+
+
+@query("o8_drawing_order", f"SELECT areaId, row_number() OVER (ORDER BY round(w * h, 9) DESC, areaId) AS position FROM (SELECT areaId, list_max(xs) - list_min(xs) AS w, list_max(ys) - list_min(ys) AS h FROM (SELECT areaId, list_transform(flatten(flatten(geometry)), lambda p: p.x) xs, list_transform(flatten(flatten(geometry)), lambda p: p.y) ys FROM {AREA} WHERE geometry IS NOT NULL))")
+def o8(spark, d):
+    """Large areas first, so that small ones are drawn over them."""
+    b = geo.bounds(F.col("geometry"))
+    size = F.round((b["max_x"] - b["min_x"]) * (b["max_y"] - b["min_y"]), 9)
+    return relational.positions(areas(spark, d).where("geometry IS NOT NULL").select("areaId", size.alias("size")).orderBy(F.desc("size"), "areaId")).drop("size")
+
+
+@query("o10_by_city_and_status", f"SELECT id, status, row_number() OVER (ORDER BY id, status) AS position FROM (SELECT id, unnest(['outside', 'ambiguous']) AS status FROM {CITY})")
+def o10(spark, d):
+    s = cities(spark, d).select("id", F.explode(F.array(F.lit("outside"), F.lit("ambiguous"))).alias("status"))
+    return relational.positions(s.orderBy("id", "status"))
 
 
 @query("u2_union", "SELECT countryCode FROM city_area UNION SELECT countryCode FROM city_summary")
@@ -440,11 +608,10 @@ def u3_u4(spark, d):
     return m.subtract(a).select(F.lit("except").alias("kind"), "packageId").union(m.intersect(a).select(F.lit("intersect").alias("kind"), "packageId"))
 
 
-@query("u5_set_equality", "SELECT r.boundaryRelease, bool_and(r.n = r.m) AS same FROM (SELECT boundaryRelease, countryCode, count(DISTINCT areaId) n, (SELECT count(DISTINCT areaId) FROM city_area c WHERE c.countryCode = s.countryCode) m FROM area_snapshot s WHERE countryCode IS NOT NULL GROUP BY ALL) r GROUP BY 1")
+@query("u5_set_equality", f"SELECT coalesce(a.countryCode, b.countryCode) AS countryCode, coalesce(a.s = b.s, false) AS same FROM (SELECT countryCode, list_sort(list(DISTINCT areaId)) s FROM {REL} WHERE countryCode IS NOT NULL GROUP BY 1) a FULL JOIN (SELECT countryCode, list_sort(list(DISTINCT areaId)) s FROM {PRE} WHERE countryCode IS NOT NULL GROUP BY 1) b USING (countryCode)")
 def u5(spark, d):
-    s = table(spark, d, "area_snapshot").where("countryCode IS NOT NULL").groupBy("boundaryRelease", "countryCode").agg(F.countDistinct("areaId").alias("n"))
-    c = table(spark, d, "city_area").groupBy("countryCode").agg(F.countDistinct("areaId").alias("m"))
-    return s.join(c, "countryCode", "left").groupBy("boundaryRelease").agg(F.every(F.col("n") == F.coalesce("m", F.lit(0))).alias("same"))
+    """Countries whose areas are the same set in both releases."""
+    return relational.equal_sets(release(spark, d, LATEST), release(spark, d, BEFORE), "countryCode", "areaId")
 
 
 @query("u6_distinct_names", f"SELECT areaId, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), '|') AS names FROM (SELECT areaId, list_filter(list_transform(list_concat([nameZh, nameLocal], coalesce(aliases, [])), lambda x: trim(x)), lambda x: x <> '') k FROM {AREA})")

@@ -83,6 +83,12 @@ def test_area_search(spark):
     a = spark.createDataFrame(rows, "areaId string, nameZh string, nameLocal string, aliases array<string>")
     ids = lambda q, k=9: [r.areaId for r in gazetteer.search_areas(a, q, k).collect()]
     assert ids("Beijing") == ids("peking") == ids("北京") == ["a"] and ids("QUEBEC EX") == ids("bec ex") == ["q"]
+    first = gazetteer.search_areas(a, "quebec ex", 9).collect()[0]
+    assert (first.match_rank, first.field_rank) == (0, 0)  # without a Chinese name the local one is the first field
+    both = a.withColumn("kind", F.when(F.col("areaId") == "f2", "country").otherwise("area"))
+    assert [r.areaId for r in gazetteer.search_areas(both, "Fairfax", 9).collect()] == ["f2", "f1"]
+    zh = spark.createDataFrame([("1", "上海区"), ("2", "北京区"), ("3", "阿区")], "areaId string, nameZh string").withColumn("nameLocal", F.lit("x")).withColumn("aliases", F.array().cast("array<string>"))
+    assert [r.areaId for r in gazetteer.search_areas(zh, "区", 9).collect()] == ["3", "2", "1"]
     assert ids("Fairfax") == ["f1", "f2"] and ids("") == ids("x" * 161) == ids("Fairfax", 0) == []
 
 
@@ -94,6 +100,36 @@ def test_candidate_ranking(spark):
     )
     got = [(r.candidate_id, r.score) for r in gazetteer.rank_candidates(c, k).orderBy("position").collect()]
     assert got == [("2", 1060.1), ("4", 540.0)]
+    m = spark.createDataFrame([("5", "munchen", " x ,  MÜNCHEN ", "de", "municipality", 0.5)], k.schema)
+    assert [(r.candidate_id, r.score) for r in gazetteer.rank_candidates(c, m).collect()] == [("5", 1050.5)]
+    tied = k.where("id = '2'").select(F.lit("9").alias("id"), *k.columns[1:]).unionByName(k.where("id = '2'")).withColumn("n", F.when(F.col("id") == "9", 1).otherwise(2))
+    assert [r.candidate_id for r in gazetteer.rank_candidates(c, tied, order="n").orderBy("position").collect()] == ["9", "2"]
+
+
+def test_kept_aliases(spark):
+    r = spark.createDataFrame([(["a", " a ", "b", "", "n", "z", "c", "d", None], "n", "m", "p", ["z", "p", "n", "y", "y"])], "al array<string>, name string, ascii string, zh string, zhs array<string>")
+    kept = gazetteer.kept_aliases(*[F.col(c) for c in ("al", "name", "ascii", "zh", "zhs")])
+    own = gazetteer.source_aliases(*[F.col(c) for c in ("al", "name", "ascii", "zhs")])
+    assert r.select(kept.alias("k"), own.alias("o")).collect()[0] == (["a", "b", "c", "z", "y"], ["a", "b", "c", "d"])
+
+
+def test_build_of_cities_refuses(spark):
+    rows = spark.createDataFrame([(1, "n", "n", ["x"], 1.0, 2.0, "AA", "", 5)], "id bigint, name string, asciiName string, aliases array<string>, lat double, lon double, countryCode string, admin1 string, population bigint")
+    info = spark.createDataFrame([("AA", "EU")], "countryCode string, continentCode string")
+    names = spark.createDataFrame([(1, "恩", ["恩二"])], "cityId bigint, preferred string, aliases array<string>")
+    got = gazetteer.build_cities(rows, info, names).collect()[0]
+    assert (got.zhName, got.aliases, got.admin1, got.truncated) == ("恩", ["x", "恩二"], None, False)
+    for change, says in (({"lat": 91.0}, "invalid required value"), ({"countryCode": "ZZ"}, "unknown country"), ({"name": ""}, "invalid required value")):
+        bad = rows.withColumns({k: F.lit(v) for k, v in change.items()})
+        with pytest.raises(Exception, match=says):
+            gazetteer.build_cities(bad, info, names).collect()
+        assert gazetteer.refused_cities(bad, info).count() == 1
+    with pytest.raises(Exception, match="duplicate id"):
+        gazetteer.build_cities(rows.unionByName(rows), info, names).collect()
+
+
+def test_candidate_keys_keep_vowel_signs(spark):
+    assert one(spark, text.candidate_key(F.lit(" दिल्ली\u3000")).alias("a"), text.candidate_key(F.lit("MÜNCHEN")).alias("b")) == ("दिल्ली", "munchen")
 
 
 def test_names_of_a_city(spark):
@@ -125,22 +161,42 @@ def test_statistics(spark):
 
 
 def test_consolidation(spark):
-    s = "areaId string, cityId bigint, label string, createdAt string, updatedAt string, visitedOn string, note string"
+    s = "areaId string, cityId bigint, label string, createdAt string, updatedAt string, visitedOn string, datePrecision string, areaSnapshot string, note string"
+    row = lambda area, k, label, created, updated, day, note, how="year": (area, k, label, created, updated, day, how, f"{area}{k}", note)
     v = spark.createDataFrame(
         [
-            ("one", 1, "A", "2020", "2021", "2021", "n" * 600),
-            ("two", 1, "A", "2020", "2021", "2021", "first"), ("two", 2, "B", "2019", "2024", "2020-08-03", "second"),
-            ("long", 1, "A", "2020", "2021", "2021", "n" * 300), ("long", 2, "B", "2019", "2024", "2020", "m" * 300), ("long", 3, "C", "2018", "2023", "2019", "s"),
-            ("none", 1, "A", "2020", "2021", "2021", "n" * 500), ("none", 2, "B", "2019", "2024", "2020", "m" * 500), ("void", 1, "A", "1", "1", "1", None), ("void", 2, "B", "2", "2", "2", ""),
+            row("one", 1, "A", "2020", "2021", "2021", "n" * 600, None),
+            row("two", 1, "A", "2020", "2021", "2021", "first"), row("two", 2, "B", "2019", "2024", "2020-08-03", "second", "day"), row("two", 3, "C", "2019", "2022", "1999", "", None),
+            row("long", 1, "A", "2020", "2021", "2021", "n" * 300), row("long", 2, "B", "2019", "2024", "2020", "m" * 300), row("long", 3, "C", "2018", "2023", "2019", "s"),
+            row("none", 1, "A", "2020", "2021", "2021", "n" * 500), row("none", 2, "B", "2019", "2024", "2020", "m" * 500), row("void", 1, "A", "1", "1", "1", None), row("void", 2, "B", "2", "2", "2", ""),
         ],
         s,
     )
     got = {r.areaId: r for r in visits.consolidate(v).collect()}
-    assert got["one"].note == "n" * 600 and got["one"].overflow == []
-    assert got["two"].note == "A：first\nB：second" and (got["two"].createdAt, got["two"].updatedAt, got["two"].visitedOn, got["two"].newest_city) == ("2019", "2024", "2020-08-03", 2)
-    assert got["long"].note == "A：" + "n" * 300 + "\nC：s" and got["long"].overflow == [2] and got["long"].updatedAt == "2023"
-    assert got["none"].note == "n" * 500 and got["none"].overflow == [2]
-    assert got["void"].note == "" and got["void"].overflow == []
+    left = sorted((r.areaId, r.cityId) for r in visits.overflow(v).collect())
+    assert left == [("long", 2), ("none", 2)]
+    assert got["one"].note == "n" * 600 and (got["one"].visitedOn, got["one"].datePrecision) == ("2021", None)
+    two = got["two"]
+    assert two.note == "A：first\nB：second" and (two.createdAt, two.updatedAt, two.visitedOn, two.datePrecision, two.newest_city, two.areaSnapshot) == ("2019", "2024", "2020-08-03", "day", 2, "two2")
+    assert got["long"].note == "A：" + "n" * 300 + "\nC：s" and (got["long"].updatedAt, got["long"].areaSnapshot, got["long"].visitedOn) == ("2023", "long3", "2019")
+    assert got["none"].note == "n" * 500 and got["none"].newest_city == 1 and got["void"].note == ""
+    plain = v.drop("visitedOn", "datePrecision", "areaSnapshot").withColumn("line", F.lit("clash")).withColumn("n", F.lit(1))
+    assert {r.areaId: r.note for r in visits.consolidate(plain).collect()} == {k: r.note for k, r in got.items()}
+    assert visits.consolidate(v.limit(0)).collect() == [] and visits.overflow(v.limit(0)).collect() == []
+
+
+def test_consolidation_of_a_large_area_collects_few_lines(spark):
+    """A thousand notes of one area: the greedy fold over all of them is matched from the few lines that can fit."""
+    rng = random.Random(3)
+    rows = [("a", k, "L", "2020", f"2021-{k:05}", rng.choice(["x", "yy", "z" * rng.randrange(1, 90)])) for k in range(1000)]
+    note, kept = "", []
+    for _, k, label, _, _, text_ in rows:
+        joined = f"{note}\n{label}：{text_}" if note else f"{label}：{text_}"
+        if len(joined) <= 500:
+            note, kept = joined, [*kept, k]
+    v = spark.createDataFrame(rows, "areaId string, cityId bigint, label string, createdAt string, updatedAt string, note string")
+    assert visits.consolidate(v).collect()[0].note == note
+    assert sorted(r.cityId for r in visits.kept_visits(v).collect()) == kept and visits.overflow(v).count() == 1000 - len(kept)
 
 
 def test_geometry_columns(spark):
@@ -165,13 +221,108 @@ def test_checks_of_areas(spark):
     rows = [
         ("a", SQ(0.0, 0.0, 2.0)), ("b", SQ(1.0, 1.0, 2.0)), ("c", SQ(20.0, 0.0)), ("d", turned), ("open", [[SQ(40.0, 0.0)[0][0][:-1]]]),
         ("flat", [[[{"x": x, "y": 0.0} for x in (50.0, 51.0, 52.0, 50.0)]]]), ("nan", [[[{"x": math.nan, "y": 0.0}, *SQ(60.0, 0.0)[0][0]]]]), ("e", None), ("touch", SQ(21.0, 0.0)),
+        ("many", [[SQ(70.0, 0.0)[0][0][:-1], SQ(70.0, 0.0)[0][0][:3]], []]), (None, SQ(80.0, 0.0)), ("a", SQ(0.0, 0.0, 2.0)), ("odd", SQ(90.0, 0.0)), ("mute", SQ(91.0, 5.0)),
+    ]
+    features = spark.createDataFrame(
+        [(k, k, f"AA:overture:{k}" if k != "odd" else "AA:other:odd", "AA", "AA", None if k == "mute" else "n", g) for k, g in rows],
+        f"divisionId string, sourceId string, areaId string, countryCode string, owner string, nameLocal string, geometry {geo.GEOM}",
+    )
+    expected = spark.createDataFrame([("AA", "exact", 3, None, None)], "countryCode string, kind string, value int, minimum int, maximum int")
+    index = spark.createDataFrame([("AA", "AA:overture:a")], "countryCode string, areaId string")
+    exceptions = spark.createDataFrame([("e1", "overlap", "b", "a"), ("e2", "other", "x", "y"), ("e3", "overlap", "x", "x")], "id string, kind string, a string, b string")
+    sizes = spark.createDataFrame([("AA", 21 * 1024 * 1024)], "countryCode string, bytes bigint")
+    wanted = [
+        ("DUPLICATE_GEOMETRY", "c|d"), ("RING_NOT_CLOSED", "open"), ("RING_ZERO_AREA", "flat"), ("COORDINATE_INVALID", "nan"), ("GEOMETRY_TYPE_INVALID", "e"),
+        ("RING_NOT_CLOSED", "many"), ("RING_TOO_SHORT", "many"), ("GEOMETRY_EMPTY", "many"), ("DIVISION_ID_DUPLICATE", "a"), ("IDENTITY_MISMATCH", "odd"), ("LOCAL_NAME_MISSING", "mute"),
+        ("COUNT_MISMATCH", None), ("PACKAGE_TOO_LARGE", None),
     ]
-    got = sorted(tuple(r) for r in regions.check(shapes(spark, rows)).collect())
-    assert got == sorted([
-        ("a", "OVERLAP"), ("b", "OVERLAP"), ("c", "DUPLICATE_GEOMETRY"), ("d", "DUPLICATE_GEOMETRY"), ("open", "RING_NOT_CLOSED"),
-        ("flat", "RING_ZERO_AREA"), ("nan", "COORDINATE_INVALID"), ("e", "GEOMETRY_INVALID"),
-    ])
-    assert regions.check(shapes(spark, rows).limit(0)).collect() == []
+    key = lambda rows: sorted(rows, key=str)
+    audited = regions.audit(features, expected, index, exceptions, sizes).collect()
+    codes = [(r.code, r.subject) for r in audited]
+    assert ("INDEX_ID_MISMATCH", None) in codes
+    assert key(c for c in codes if c[0] != "INDEX_ID_MISMATCH") == key([*wanted, ("DIVISION_ID_MISSING", None), ("EXCEPTION_INVALID", "e2"), ("EXCEPTION_INVALID", "e3")])
+    left = regions.geometry_codes(features, exceptions.where("id = 'none'")).where("code = 'OVERLAP_UNEXPLAINED'").collect()
+    assert [r.subject for r in left] == ["a|b"]
+    m = regions.metrics(features, sizes).collect()[0]
+    assert (m.features, m.warning, m.failure) == (14, "PACKAGE_SIZE_P95_EXCEEDED", "PACKAGE_TOO_LARGE") and m.most == 5
+    none = features.limit(0)
+    assert regions.audit(none, expected, index.limit(0), exceptions.limit(0), sizes).collect() == []
+
+
+def test_large_rings_are_compared_in_bounded_memory():
+    """Two rings of 50,000 points: dense matrices of their edges would take tens of gigabytes."""
+    import tracemalloc
+
+    t = np.linspace(0, 2 * np.pi, 50_000)
+    ring = lambda x, y, r: np.vstack([(c := np.column_stack([x + r * np.cos(t), y + r * np.sin(t)]))[:-1], c[:1]])
+    tracemalloc.start()
+    assert geo.polygons_overlap([ring(0, 0, 2.0)], [ring(3, 0, 2.0)])
+    assert not geo.polygons_overlap([ring(0, 0, 2.0), ring(0, 0, 1.5)], [ring(0, 0, 1.0)])
+    assert not geo.polygons_overlap([ring(0, 0, 1.0)], [ring(1.5, 1.5, 1.0)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000_000
+
+
+def test_polygon_tests_against_brute_force():
+    rng = np.random.default_rng(9)
+
+    def blob(n):
+        a = np.sort(rng.random(n) * 2 * np.pi)
+        r = rng.random(n) + 0.3
+        p = np.column_stack([rng.random() * 3 + r * np.cos(a), rng.random() * 3 + r * np.sin(a)])
+        return np.vstack([p, p[:1]])
+
+    def turn(a, b, c):
+        v = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        return 0 if abs(v) < 1e-12 else math.copysign(1, v)
+
+    def inside(p, ring):
+        odd = False
+        for a, b in zip(ring[:-1], ring[1:]):
+            if turn(a, b, p) == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1]):
+                return 0
+            if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < a[0] + (p[1] - a[1]) * (b[0] - a[0]) / (b[1] - a[1]):
+                odd = not odd
+        return 1 if odd else -1
+
+    def overlap(one, two):
+        for a, b in zip(one[:-1], one[1:]):
+            for c, d in zip(two[:-1], two[1:]):
+                if turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0:
+                    return True
+        return any(inside(p, two) == 1 for p in one[:-1]) or any(inside(p, one) == 1 for p in two[:-1])
+
+    for _ in range(60):
+        one, two = blob(rng.integers(3, 12)), blob(rng.integers(3, 12))
+        assert geo.polygons_overlap([one], [two]) == overlap(one, two)
+        pts = np.vstack([rng.random((20, 2)) * 4, one[:3], (one[0] + one[1])[None] / 2])
+        assert geo.in_ring(pts, one).tolist() == [inside(p, one) for p in pts]
+
+
+def test_simplifying_keeps_what_it_promises(spark):
+    t = np.linspace(0, 2 * np.pi, 300)
+    ring = np.column_stack([10 + np.cos(t) + 0.01 * np.sin(40 * t), 60 + np.sin(t)])
+    ring[-1] = ring[0]
+    for tolerance in (0.002, 0.02):
+        kept = np.flatnonzero(geo.kept_points(ring, tolerance))
+        for i, j in zip(kept[:-1], kept[1:]):  # every point left out is within the tolerance of the line that replaces it
+            d, m = ring[j] - ring[i], ring[i + 1 : j] - ring[i]
+            assert not len(m) or (np.abs(d[0] * m[:, 1] - d[1] * m[:, 0]) / np.hypot(*d) <= tolerance + 1e-12).all()
+    few, fewer = geo.visvalingam(ring, 1e-5), geo.visvalingam(ring, 1e-2)
+    assert 4 <= len(fewer) < len(few) < 300 and (few[0] == few[-1]).all()
+    assert len(geo.visvalingam(ring, 1e9)) == 4 and len(geo.visvalingam(ring, 0.0)) == 300
+    point = lambda p: {"x": float(p[0]), "y": float(p[1])}
+    df = shapes(spark, [("a", [[list(map(point, ring))], [list(map(point, ring + 5))]]), ("null", None), ("empty", [])])
+    rows = {r.areaId: r for r in df.select("areaId", geo.simplified(1e-4, projected=True)("geometry").alias("p"), geo.presimplified(1e-4)("geometry").alias("v")).collect()}
+    assert rows["null"].p is None and rows["empty"].v == [] and len(rows["a"].p) == 2 and 4 <= len(rows["a"].v[1][0]) < 300
+
+
+def test_small_boxes_under_a_world_wide_one_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(regions.nearby, "BLOCK", 20)
+    rows = [("world", SQ(-170.0, -80.0, 150.0))] + [(f"k{i:03}", SQ(-100.0 + i * 0.3, -20.0, 0.1)) for i in range(120)]
+    got = {tuple(r) for r in regions.overlaps(shapes(spark, rows)).collect()}
+    assert got == {(f"k{i:03}", "world") for i in range(120)}
 
 
 def test_overlaps_across_the_antimeridian_and_sizes(spark):
