@@ -401,6 +401,14 @@ def test_stream_merge(spark, tmp_path):
     schema = spark.createDataFrame([], s).schema
     assert sorted(map(tuple, merge.latest(spark, at, schema).collect())) == [("a", 2, "y"), ("b", 2, "x"), ("c", 0, "y")]
     assert os.path.isdir(at)
+    # a batch of one key writes one bucket, and versions of a bucket before the last two are removed
+    before = merge._versions(spark, at)
+    for t in (5, 6, 7):
+        spark.createDataFrame([("a", t, f"v{t}")], s).coalesce(1).write.mode("append").parquet(source)
+        merge.upsert_stream(spark.readStream.schema(s).parquet(source), at, ["k"], "t", offsets)
+    after = merge._versions(spark, at)
+    changed = [b for b in after if after[b] != before.get(b)]
+    assert len(changed) == 1 and len(after[changed[0]]) == 2 and sorted(map(tuple, merge.latest(spark, at, schema).collect()))[0] == ("a", 7, "v7")
     assert merge.latest(spark, str(tmp_path / "none"), schema).collect() == []
 
 
@@ -493,3 +501,19 @@ def test_readers_get_all_valid_ids_and_alternate_names(spark, tmp_path):
     assert sorted(r.id for r in io_queries.s4_all(spark, str(tmp_path)).collect()) == [1, 5, 8, 999999999999999, 9007199254740991]
     city(spark, CITIES[:2]).write.parquet(str(tmp_path / "city_summary.parquet"))
     assert [tuple(r) for r in io_queries.s5(spark, str(tmp_path)).collect()] == [(1, "zh", "慕尼黑", True)]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from cartomill import runtime
+
+    class Context:
+        master = "spark://there:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+        getConf = staticmethod(lambda: {})  # noqa: N815
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.ensure_checkpoint_dir(Session())
