@@ -231,8 +231,15 @@ def close_pairs(a_lo, a_hi, b_lo, b_hi, chunks: int, a_tag=None, b_tag=None) ->
     br, bk = br[order], bk[order]
     ar0, ak0 = chunk_keys(a_hi, a_lo, chunks)
     found = []
+    filed = None if b_tag is None else np.unique(b_tag)
     for tag in a_tag if a_tag is not None else [None]:
-        ak = ak0 if tag is None else mix(ak0, tag[ar0])
+        ar, ak = ar0, ak0
+        if tag is not None:
+            # rows that look where nothing is filed are left out before their keys are made
+            at = np.minimum(np.searchsorted(filed, tag), len(filed) - 1)
+            own = (filed[at] == tag)[ar0]
+            ar = ar0[own]
+            ak = mix(ak0[own], tag[ar])
         first, last = np.searchsorted(bk, ak, "left"), np.searchsorted(bk, ak, "right")
         n = last - first
         hit = np.nonzero(n)[0]
@@ -243,7 +250,7 @@ def close_pairs(a_lo, a_hi, b_lo, b_hi, chunks: int, a_tag=None, b_tag=None) ->
             h = hit[at:stop]
             reps = n[h]
             off = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            a, b = np.repeat(ar0[h], reps), br[np.repeat(first[h], reps) + off]
+            a, b = np.repeat(ar[h], reps), br[np.repeat(first[h], reps) + off]
             pair = np.unique(a.astype(np.int64) * len(b_lo) + b)
             a, b = pair // len(b_lo), pair % len(b_lo)
             apart = np.bitwise_count(a_lo[a] ^ b_lo[b]).astype(int) + np.bitwise_count(a_hi[a] ^ b_hi[b])

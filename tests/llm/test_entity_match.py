@@ -19,6 +19,10 @@ def test_close_pairs_against_brute_force():
         got = set(zip(a.tolist(), b.tolist()))
         exp = {(i, j) for i in range(len(v)) for j in range(len(v)) if (bits[i] ^ bits[j]).bit_count() <= 2 * chunks - 1}
         assert got == exp
+        # under tags: those of a row's own tag, or of one it also looks under
+        filed, looked = np.array([i % 5 for i in range(len(v))]), np.array([i % 7 for i in range(len(v))])
+        a, b = em.close_pairs(lo, hi, lo, hi, chunks, [looked, looked + 1], filed)
+        assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in exp if filed[j] in (looked[i], looked[i] + 1)}
 
 
 def test_fold():
