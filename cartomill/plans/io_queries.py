@@ -38,28 +38,21 @@ def k4_s7(spark, d):
     )
 
 
-@query("k5_canonical_json", f"SELECT areaId, '{{\"areaId\":\"' || areaId || '\",\"countryCode\":\"' || countryCode || '\",\"level\":' || CASE WHEN adminLevel IS NULL THEN 'null' ELSE '\"' || adminLevel || '\"' END || '}}' AS line FROM {AREA}")
+@query("k5_canonical_json", f"SELECT areaId, '{{\"areaId\":\"' || areaId || '\",\"nested\":{{\"country\":\"' || countryCode || '\",\"level\":' || CASE WHEN adminLevel IS NULL THEN 'null' ELSE '\"' || adminLevel || '\"' END || '}}}}' AS line FROM {AREA}")
 def k5(spark, d):
-    a = areas(spark, d).select("areaId", "countryCode", F.col("adminLevel").alias("level"))
+    """Keys of the row and of the object in it come in order, whatever order they have."""
+    a = areas(spark, d).select(F.struct(F.col("adminLevel").alias("level"), F.col("countryCode").alias("country")).alias("nested"), "areaId")
     return a.select("areaId", writers.canonical_json(a).alias("line"))
 
 
-@query("s4_s5_cities_tsv", "SELECT try_cast(f[1] AS bigint) AS id, f[2] AS name, f[9] AS countryCode, try_cast(nullif(f[15], '') AS bigint) AS population FROM (SELECT string_split(record, chr(9)) f FROM city_raw WHERE feed = 'cities500') WHERE len(f) = 19 AND regexp_full_match(f[1], '[0-9]{1,15}') AND regexp_full_match(f[15], '[0-9]{0,15}')")
-def s4_s5(spark, d):
-    at = writers.scratch(spark)
-    f = F.split("record", "\t", -1)
-    good = table(spark, d, "city_raw").where("feed = 'cities500'").where((F.size(f) == 19) & f[0].rlike(r"\A[0-9]{1,15}\z") & f[14].rlike(r"\A[0-9]{0,15}\z"))
-    good.select(F.regexp_replace("record", "[\r\n]", "").alias("value")).write.mode("overwrite").text(at)
-    return readers.cities_tsv(spark, at).select("id", "name", "countryCode", "population")
-
-
-@query("s4_cities_tsv_all", "SELECT try_cast(f[1] AS bigint) AS id, f[2] AS name, f[9] AS countryCode, try_cast(nullif(f[15], '') AS bigint) AS population FROM (SELECT string_split(record, chr(9)) f FROM city_raw WHERE feed = 'cities500') WHERE len(f) = 19 AND regexp_full_match(f[1], '[0-9]{1,38}') AND try_cast(f[1] AS hugeint) <= 9007199254740991 AND (f[15] = '' OR regexp_full_match(f[15], '[0-9]{1,38}') AND try_cast(f[15] AS hugeint) <= 9007199254740991)")
+@query("s4_cities_tsv", "SELECT try_cast(f[1] AS bigint) AS id, f[2] AS name, f[9] AS countryCode, try_cast(nullif(f[15], '') AS bigint) AS population FROM (SELECT string_split(record, chr(9)) f FROM city_raw WHERE feed = 'cities500') WHERE len(f) = 19 AND regexp_full_match(f[1], '[0-9]{1,38}') AND try_cast(f[1] AS hugeint) <= 9007199254740991 AND (f[15] = '' OR regexp_full_match(f[15], '[0-9]{1,38}') AND try_cast(f[15] AS hugeint) <= 9007199254740991) AND f[2] <> '' AND f[3] <> '' AND f[9] <> '' AND coalesce(try_cast(f[5] AS double) BETWEEN -90 AND 90 AND try_cast(f[6] AS double) BETWEEN -180 AND 180, false)")
 def s4_all(spark, d):
-    """With every id and population that is a whole number a double holds; s4_s5_cities_tsv takes 15 digits."""
+    """All rows the reader takes: it fails on any other."""
     at = writers.scratch(spark)
     f = F.split("record", "\t", -1)
     field = lambda i: F.get(f, F.lit(i))
-    good = table(spark, d, "city_raw").where("feed = 'cities500'").where((F.size(f) == 19) & text.is_whole(field(0)) & ((field(14) == "") | text.is_whole(field(14))))
+    good = table(spark, d, "city_raw").where("feed = 'cities500'").where((F.size(f) == 19) & text.is_whole(field(0)) & ((field(14) == "") | text.is_whole(field(14))) & (field(1) != "") & (field(2) != "") & (field(8) != "")
+        & F.coalesce(field(4).try_cast("double").between(-90, 90) & field(5).try_cast("double").between(-180, 180), F.lit(False)))
     good.select(F.regexp_replace("record", "[\r\n]", "").alias("value")).write.mode("overwrite").text(at)
     return readers.cities_tsv(spark, at).select("id", "name", "countryCode", "population")
 
@@ -101,22 +94,91 @@ def s11(spark, d):
     return readers.manifest(text).select("key", "countryCode", "boundaryVersion", "featureCount", "byteSize")
 
 
-@query("s14_s15_files", "SELECT doc_id, octet_length(raw)::BIGINT AS byteSize, sha256(raw) AS sha256 FROM documents WHERE raw IS NOT NULL")
+@query("s14_s15_files", f"SELECT countryCode AS folder, sum(octet_length(encode(areaId)) + 1)::BIGINT AS byteSize, sha256(string_agg(areaId, chr(10) ORDER BY areaId) || chr(10)) AS sha256 FROM {AREA} GROUP BY countryCode")
 def s14_s15(spark, d):
-    """Size and digest of stored bodies, as for files; files() reads the same from a folder."""
-    return table(spark, d, "documents").where("raw IS NOT NULL").select("doc_id", F.octet_length("raw").cast("bigint").alias("byteSize"), F.sha2("raw", 256).alias("sha256"))
+    """One file a country, listed with size and digest; the codes come from the folders' names."""
+    at = writers.scratch(spark)
+    areas(spark, d).select("areaId", "countryCode").repartition("countryCode").sortWithinPartitions("countryCode", "areaId").write.mode("overwrite").partitionBy("countryCode").text(at)
+    return readers.files(spark, at, "part-*", content=True).select("folder", "byteSize", "sha256")
+
+
+@query("s3_listed_files", f"SELECT areaId, countryCode FROM {AREA}")
+def s3(spark, d):
+    at = writers.scratch(spark)
+    areas(spark, d).select("areaId", "countryCode").write.mode("overwrite").parquet(at)
+    paths = [f"{at}/{r.name}" for r in readers.files(spark, at, "part-*").select("name").collect()]  # files of one write
+    return readers.listed(spark, paths, "areaId string, countryCode string", 1 << 40)
+
+
+@query("s9_feature_collection", f"SELECT countryCode AS code, areaId, nameLocal, len(geometry)::INT AS polygons FROM {AREA} WHERE geometry IS NOT NULL")
+def s9(spark, d):
+    """A collection a country, one document each, read again as features."""
+    at = writers.scratch(spark)
+    c = F.transform("geometry", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"]))))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("areaId", "nameLocal", F.col("countryCode").alias("code")).alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), c.alias("coordinates")).alias("geometry"))
+    a = areas(spark, d).where("geometry IS NOT NULL").groupBy("countryCode", F.pmod(F.xxhash64("areaId"), F.lit(64)).alias("part")).agg(F.collect_list(feature).alias("features"))
+    # documents in parts of a country, so that none grows with it
+    a.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"), "countryCode", "part").repartition("countryCode", "part").write.mode("overwrite").partitionBy("countryCode", "part").text(at)
+    f = readers.feature_collection(spark, at)
+    g = readers.geometry_of(F.col("kind"), F.col("coordinates"))
+    return f.select(F.col("properties")["code"].alias("code"), F.col("properties")["areaId"].alias("areaId"), F.col("properties")["nameLocal"].alias("nameLocal"), F.size(g).alias("polygons"))
+
+
+@query("s12_v20_area_index", f"WITH r AS (SELECT 'area' AS kind, areaId, countryCode, CASE WHEN nameZh IS NULL THEN 'old' ELSE 'new' END AS v FROM city_area), c AS (SELECT DISTINCT countryCode FROM country_info WHERE countryCode < 'XM') SELECT areaId, CASE WHEN count(*) OVER (PARTITION BY areaId) > 1 THEN 'DUPLICATE_IDENTITY' WHEN c.countryCode IS NULL THEN 'COUNTRY_MISSING' WHEN v <> 'new' THEN 'VERSION_MISMATCH' WHEN NOT starts_with(areaId, countryCode || ':') THEN 'ID_COUNTRY_MISMATCH' END AS code FROM r LEFT JOIN c USING (countryCode)")
+def s12(spark, d):
+    """An index of some countries and all areas, written as JSON and read as records of two kinds."""
+    at = writers.scratch(spark)
+    none = F.lit(None).cast("string")
+    a = table(spark, d, "city_area").select(F.lit("area").alias("kind"), "countryCode", F.when(F.col("nameZh").isNull(), "old").otherwise("new").alias("boundaryVersion"), "areaId", "adminLevel", "nameZh", "nameLocal", "aliases")
+    c = table(spark, d, "country_info").select("countryCode").distinct().where("countryCode < 'XM'").select(F.lit("country").alias("kind"), "countryCode", F.lit("new").alias("boundaryVersion"), *[none.alias(k) for k in ("areaId", "adminLevel", "nameZh")], F.col("countryCode").alias("nameLocal"), F.array().cast("array<string>").alias("aliases"))
+    writers.json_lines(c.unionByName(a), at)
+    schema = "kind string, countryCode string, boundaryVersion string, areaId string, adminLevel string, nameZh string, nameLocal string, aliases array<string>"
+    return readers.index_codes(readers.json_lines(spark, at, schema, strict=True)).where("kind = 'area'").select("areaId", "code")
 
 
-@query("s19_k16_backup", f"SELECT id AS cityId, '2026-01-01T00:00:00.000Z' AS updatedAt, name AS note FROM (SELECT DISTINCT ON (id) * FROM city_summary)")
+@query("s13_bounded_json", "SELECT countryCode, countryName, continentCode FROM country_info")
+def s13(spark, d):
+    at = writers.scratch(spark)
+    table(spark, d, "country_info").select(F.to_json(F.struct("countryName", "continentCode", "countryCode")).alias("value"), F.col("countryCode").alias("c")).repartition("c").write.mode("overwrite").partitionBy("c").text(at)
+    return readers.bounded_json(spark, at, "countryCode string, countryName string, continentCode string", 1 << 20).drop("name")
+
+
+@query("k2_k8_snapshot_metadata", "SELECT countryCode AS code, count(*) AS n, (SELECT count(*) FROM boundary_candidate WHERE regexp_full_match(countryCode, '[A-Z]{2}')) AS total, (SELECT count(*) FROM boundary_candidate WHERE NOT coalesce(regexp_full_match(countryCode, '[A-Z]{2}'), false)) AS unresolved FROM boundary_candidate WHERE regexp_full_match(countryCode, '[A-Z]{2}') GROUP BY 1")
+def k8(spark, d):
+    m = writers.snapshot_metadata(table(spark, d, "boundary_candidate"))
+    return m.select(F.explode("rowCounts").alias("code", "n"), "total", "unresolved")
+
+
+@query("k3_json_array", "SELECT countryCode, countryName FROM country_info")
+def k3(spark, d):
+    at = writers.scratch(spark)
+    writers.json_array(table(spark, d, "country_info").select("countryName", "countryCode"), at, "countryCode")
+    return readers.records(spark, at, "countryCode string, countryName string")
+
+
+@query("k10_manifest_parity", f"SELECT countryCode, 'COUNT_MISMATCH' AS code FROM (SELECT countryCode, count(*) n, count(*) FILTER (geometry IS NOT NULL) m FROM {AREA} GROUP BY 1) WHERE n <> m UNION ALL SELECT DISTINCT countryCode, 'ID_MISMATCH' FROM {AREA} WHERE geometry IS NULL")
+def k10(spark, d):
+    """Index and manifest of all areas against packages of those that have a geometry."""
+    a = areas(spark, d)
+    manifest, index = writers.manifest_and_index(a.select("countryCode", "areaId", "nameZh", "nameLocal", "aliases", "adminLevel", "geometry"), "v")
+    return writers.parity(index, manifest, a.where("geometry IS NOT NULL").select("countryCode", "areaId"))
+
+
+@query("s8_duplicate_lines", "SELECT areaId AS divisionId, CASE WHEN row_number() OVER (PARTITION BY areaId) > 1 THEN 'DIVISION_ID_DUPLICATE' END AS code FROM city_area")
+def s8_twice(spark, d):
+    at = writers.scratch(spark)
+    table(spark, d, "city_area").select(F.to_json(F.struct(F.col("areaId").alias("divisionId"), F.col("sourceId").alias("geometryHash"))).alias("value")).write.mode("overwrite").text(at)
+    return readers.identities(spark, at).select("divisionId", "code")
+
+
+@query("s19_k16_backup", "SELECT countryCode AS code, countryName AS note, '2026-01-01T00:00:00.000Z' AS updatedAt FROM country_info")
 def s19_k16(spark, d):
-    """A backup a country, parsed again."""
-    v = table(spark, d, "city_summary").dropDuplicates(["id"])
-    visit = F.struct(F.col("id").alias("cityId"), F.lit("2026-01-01T00:00:00.000Z").alias("updatedAt"), F.col("name").alias("note"))
-    group = F.pmod(F.xxhash64("id"), F.lit(256))
-    doc = v.groupBy("countryCode", group.alias("_g")).agg(F.collect_list(visit).alias("visits")).select(
-        F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit("t").alias("title"), "visits")).alias("document")
-    )
-    return readers.backup(doc)["visits"].select("cityId", "updatedAt", "note")
+    """A backup document written and parsed again."""
+    visit = table(spark, d, "country_info").select(F.ascii("countryCode").cast("bigint").alias("cityId"), F.lit("2026-01-01T00:00:00.000Z").alias("updatedAt"), F.concat_ws("|", "countryCode", "countryName").alias("note"))
+    none = spark.createDataFrame([], "cityId bigint, source string")
+    doc = writers.backup_document(visit, none, "t", "2026-01-01T00:00:00.000Z")
+    part = lambda i: F.split_part("note", F.lit("|"), F.lit(i))
+    return readers.backup(doc)["visits"].select(part(1).alias("code"), part(2).alias("note"), "updatedAt")
 
 
 @query("a21_checksum")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartomill import runtime
+from cartomill.functions import text
+from cartomill.sources import readers
 
 
 def scratch(spark: SparkSession) -> str:
@@ -48,8 +50,71 @@ def feature_lines(df: DataFrame, path: str, geometry: str = "geometry") -> None:
 
 
 def canonical_json(df: DataFrame) -> Column:
-    """K5: text of a row with its keys in order; nulls are written."""
-    return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    """K5: text of a row with the keys of all its objects in order, nested ones too; nulls are written."""
+    return text.canonical_text(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+
+
+def json_array(df: DataFrame, path: str, *order: str) -> None:
+    """K3: one file of a JSON array, rows in order; for tables of a bounded size (a report, an index), as one task writes it.
+
+    An empty table is an empty array.
+    """
+    rows = df.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], canonical_json(df).alias("json")).alias("r"))
+    one = rows.groupBy().agg(F.array_sort(F.collect_list("r")).alias("r"))
+    one.select(F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["json"]), ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def evidence(spark: SparkSession, path: str) -> DataFrame:
+    """K2, K8: (files, bytes, sha256) of what was written to a folder; the digest is of the files' digests in order."""
+    f = readers.files(spark, path, "part-*", content=True)
+    return f.agg(F.count("*").alias("files"), F.coalesce(F.sum("byteSize"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), "\n"), 256).alias("sha256"))
+
+
+def snapshot_metadata(df: DataFrame, key: str = "countryCode") -> DataFrame:
+    """K8: one row: rowCounts by code, total of coded rows, unresolved rows; the counts add up to the total by construction."""
+    code = F.when(F.col(key).rlike(r"\A[A-Z]{2}\z"), F.col(key))
+    counts = df.groupBy(code.alias("code")).agg(F.count("*").alias("n"))  # one row a code
+    coded = F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "n")))
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    return counts.agg(F.map_from_entries(F.array_sort(coded)).alias("rowCounts"), n(F.col("code").isNotNull()).alias("total"), n(F.col("code").isNull()).alias("unresolved"))
+
+
+def manifest_and_index(features: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, index) of features (countryCode, areaId, nameZh, nameLocal, aliases, adminLevel, geometry).
+
+    manifest: countryCode, boundaryVersion, featureCount, checksum (of the features' texts
+    in order of their ids, as a tree of digests by country); index: one row an area.
+    """
+    digest = F.sha2(canonical_json(features), 256)
+    one = features.select("countryCode", "areaId", digest.alias("h"))
+    # parts of a country are digested apart, so that no task holds more than a share of it
+    part = F.pmod(F.xxhash64("areaId"), F.lit(1024))
+    join = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), "\n"), 256)
+    parts = one.groupBy("countryCode", part.alias("part")).agg(F.count("*").alias("n"), join(F.struct("areaId", "h")).alias("h"))
+    manifest = parts.groupBy("countryCode").agg(F.sum("n").alias("featureCount"), join(F.struct("part", "h")).alias("checksum")).withColumn("boundaryVersion", F.lit(version))
+    return manifest, features.select("countryCode", "areaId", "nameZh", "nameLocal", "aliases", "adminLevel", F.lit(version).alias("boundaryVersion"))
+
+
+def parity(index: DataFrame, manifest: DataFrame, packages: DataFrame) -> DataFrame:
+    """(countryCode, code) of countries whose index, manifest and packages (countryCode, areaId) do not say the same."""
+    n = lambda df, name: df.groupBy("countryCode").agg(F.countDistinct("areaId").alias(name))
+    counts = manifest.select("countryCode", F.col("featureCount").alias("m")).join(n(index, "i"), "countryCode", "full").join(n(packages, "p"), "countryCode", "full")
+    same = F.coalesce((F.col("m") == F.col("i")) & (F.col("m") == F.col("p")), F.lit(False))
+    packed = packages.select(F.col("countryCode").alias("_c"), F.col("areaId").alias("_a")).distinct()
+    ids = index.select("countryCode", "areaId").distinct()
+    apart = ids.join(packed, (F.col("countryCode") == F.col("_c")) & (F.col("areaId") == F.col("_a")), "left_anti").select("countryCode")
+    return counts.where(~same).select("countryCode", F.lit("COUNT_MISMATCH").alias("code")).unionByName(apart.distinct().select("countryCode", F.lit("ID_MISMATCH").alias("code")))
+
+
+def backup_document(visits: DataFrame, boundaries: DataFrame, title: str, exported_at: str, most: int = 10_000) -> DataFrame:
+    """One row ``document`` of visits and boundaries in order of cityId; more than ``most`` of either fail, as a backup is bounded."""
+    def listed(df, name):
+        rows = df.limit(most + 1).agg(F.array_sort(F.collect_list(F.struct("cityId", *[c for c in df.columns if c != "cityId"]))).alias(name))
+        return rows.where(F.when(F.size(name) > most, F.raise_error(F.lit(f"too many {name}"))).otherwise(True))
+
+    both = listed(visits, "visits").crossJoin(listed(boundaries, "boundaries"))  # one row each
+    whole = F.struct(F.lit(1).alias("schemaVersion"), F.lit(exported_at).alias("exportedAt"), F.lit(title).alias("title"), "visits", "boundaries")
+    return both.select(F.to_json(whole).alias("document"))
 
 
 def document(value, path: str) -> None:
@@ -108,9 +173,3 @@ def checksum(df: DataFrame, *order: str, rows_per_digest: int = 50_000, fan: int
         parts = -(-parts // fan)
     digest = F.coalesce(F.max("h"), F.sha2(F.lit(""), 256))
     return level.agg(digest.alias("checksum")).select(F.lit(total).cast("bigint").alias("rows"), "checksum")
-
-
-def backup(visits: DataFrame, title: str, exported_at: str) -> DataFrame:
-    """Visits as lines of a backup: a head line, then one line a visit."""
-    head = visits.sparkSession.range(1).select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit(exported_at).alias("exportedAt"), F.lit(title).alias("title"))).alias("value"))
-    return head.unionByName(visits.select(F.to_json(F.struct("*")).alias("value")))
