@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartomill.operators.relational import first_by
+from cartomill.functions import geo, text
+from cartomill.operators.relational import first_by, union_all
 
 NOTE_LIMIT, PAGE = 500, 6
 
@@ -31,6 +32,47 @@ def stats(visits: DataFrame) -> DataFrame:
     )
 
 
+def area_visits(visits: DataFrame, areas: DataFrame) -> DataFrame:
+    """Visits of areas with ``areaSnapshot``, what the area was at the time; those of unknown areas are left out.
+
+    visits: (areaId, createdAt, updatedAt, visitedOn, datePrecision, note).
+    """
+    what = F.struct("areaId", "countryCode", "sourceId", "adminLevel", "nameZh", "nameLocal", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "centroid")
+    return visits.join(areas.select("areaId", what.alias("areaSnapshot")), "areaId")
+
+
+#: What a backup may hold.
+BACKUP = {"visits": 10_000, "boundaries": 10_000, "vertices": 1_000_000, "note": 500}
+
+
+def backup_codes(visits: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """(subject, code) of what is wrong with the visits and boundaries of one backup; a sound one gives no rows.
+
+    visits: (cityId, createdAt, updatedAt, visitedOn, datePrecision, note); boundaries:
+    (cityId, geometry). Subject is the cityId as text, null for the budgets.
+    """
+    none = F.lit(None).cast("string")
+    day = text.date_precision(F.col("visitedOn"))
+    dated = F.col("visitedOn").isNotNull() | F.col("datePrecision").isNotNull()
+    flags = F.array(
+        F.when(F.col("cityId").isNull() | (F.col("cityId") <= 0), "CITY_ID_INVALID"),
+        F.when(text.utc_instant(F.col("createdAt")).isNull() | text.utc_instant(F.col("updatedAt")).isNull(), "TIMESTAMP_INVALID"),
+        F.when(~F.coalesce(text.updated_in_order(F.col("createdAt"), F.col("updatedAt")), F.lit(True)), "UPDATED_BEFORE_CREATED"),
+        F.when(dated & ~day.eqNullSafe(F.col("datePrecision")), "DATE_INVALID"),
+        F.when(F.col("note").isNotNull() & text.bounded(F.col("note"), BACKUP["note"]).isNull() & (text.trimmed(F.col("note")) != ""), "NOTE_INVALID"),
+    )
+    subject = F.col("cityId").cast("string").alias("subject")
+    rows = visits.select(subject, F.explode(F.filter(flags, lambda c: c.isNotNull())).alias("code"))
+    twice = lambda df, code: df.groupBy("cityId").count().where("count > 1").select(subject, F.lit(code).alias("code"))
+    broken = boundaries.where(F.size(geo.problems(F.col("geometry"))) > 0).select(subject, F.lit("GEOMETRY_INVALID").alias("code"))
+    over = lambda df, n, most, code: df.agg(n.alias("n")).where(F.col("n") > most).select(none.alias("subject"), F.lit(code).alias("code"))
+    vertices = F.coalesce(F.sum(geo.vertices(F.col("geometry"))), F.lit(0))
+    return union_all(
+        rows, twice(visits, "VISIT_DUPLICATE"), broken, twice(boundaries, "BOUNDARY_DUPLICATE"), over(visits, F.count("*"), BACKUP["visits"], "TOO_MANY_VISITS"),
+        over(boundaries, F.count("*"), BACKUP["boundaries"], "TOO_MANY_BOUNDARIES"), over(boundaries, vertices, BACKUP["vertices"], "TOO_MANY_VERTICES"),
+    ).distinct()
+
+
 def totals(cities: DataFrame, areas: DataFrame) -> DataFrame:
     """One row: distinct cities and areas visited, and the distinct countries of either; nulls count for nothing."""
     side = lambda df, k, kind: df.select(F.lit(kind).alias("kind"), F.col(k).cast("string").alias("k"), "countryCode")

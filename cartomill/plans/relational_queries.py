@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartomill.functions import geo, text
-from cartomill.operators import changes_of_releases, gazetteer, nearby, relational, selector, visits
+from cartomill.operators import changes_of_releases, gazetteer, nearby, relational, selector, store, visits
 from cartomill.plans.base import AREA, BEFORE, CAND, CITY, LATEST, USABLE, areas, candidates, cities, query, release, release_sql
 from cartomill.runtime import table
 
@@ -645,3 +645,42 @@ def m1_stream(spark, d):
     at = writers.scratch(spark)
     merge.upsert_stream(stream, f"{at}/table", ["user_id"], "ts", f"{at}/offsets")
     return merge.latest(spark, f"{at}/table", stream.schema).select("user_id", "event_id", "value")
+
+
+@query("s20_s25_store", f"SELECT k, v, row_number() OVER (ORDER BY k COLLATE en, k) AS position FROM (SELECT areaId AS k, 'new' AS v FROM {AREA} WHERE countryCode = 'XK' UNION ALL SELECT areaId, 'old' FROM {AREA} WHERE countryCode IS DISTINCT FROM 'XK' AND adminLevel IS DISTINCT FROM 'county')")
+def s20(spark, d):
+    """Areas of one country put anew after those of one level were deleted, listed in order."""
+    a = areas(spark, d).select(F.col("areaId").alias("k"), "countryCode", "adminLevel")
+    kept = store.delete(a.select("k", F.lit("old").alias("v")), a.where("adminLevel = 'county'").select("k"), "k")
+    return relational.positions(store.listed(store.put(kept, a.where("countryCode = 'XK'").select("k", F.lit("new").alias("v")), "k"), "k"))
+
+
+@query("s20_get_f11", f"SELECT areaId, countryCode FROM {AREA} WHERE countryCode IN ('XA', 'XB')")
+def s20_get(spark, d):
+    return store.get(areas(spark, d).select("areaId", "countryCode"), "countryCode", ["XA", "XB"])
+
+
+@query("proj9_visit_snapshot", f"SELECT areaId, countryCode || '/' || sourceId || '/' || coalesce(nameZh, nameLocal, '') AS shown, len(coalesce(aliases, [])) AS aliases, round(centroid.x, 6) AS x FROM {AREA} WHERE countryCode <> 'XK'")
+def proj9(spark, d):
+    a = areas(spark, d)
+    none = F.lit(None).cast("string")
+    v = a.where("countryCode <> 'XK'").select("areaId", F.lit("2026").alias("createdAt"), F.lit("2026").alias("updatedAt"), none.alias("visitedOn"), none.alias("datePrecision"), none.alias("note"))
+    s = F.col("areaSnapshot")
+    shown = F.concat_ws("/", s["countryCode"], s["sourceId"], F.coalesce(s["nameZh"], s["nameLocal"], F.lit("")))
+    return visits.area_visits(v, a).select("areaId", shown.alias("shown"), F.size(s["aliases"]).cast("bigint").alias("aliases"), F.round(s["centroid"]["x"], 6).alias("x"))
+
+
+_BACKUP = f"(SELECT id AS cityId, CASE WHEN id % 11 = 0 THEN '2026-01-01' ELSE '2026-01-02T00:00:00.000Z' END AS createdAt, CASE WHEN id % 7 = 0 THEN '2026-01-01T00:00:00.000Z' ELSE '2026-01-03T00:00:00.000Z' END AS updatedAt, CASE WHEN id % 3 = 0 THEN '2026-02-30' ELSE '2026-02' END AS visitedOn, 'month' AS datePrecision, repeat('n', (id % 600 + 1)::INT) AS note FROM city_summary)"
+
+
+@query("v16_backup_codes", f"WITH v AS {_BACKUP} SELECT DISTINCT cityId::VARCHAR AS subject, unnest(list_filter([CASE WHEN length(createdAt) < 24 THEN 'TIMESTAMP_INVALID' END, CASE WHEN length(createdAt) = 24 AND updatedAt < createdAt THEN 'UPDATED_BEFORE_CREATED' END, CASE WHEN visitedOn = '2026-02-30' THEN 'DATE_INVALID' END, CASE WHEN length(note) > 500 THEN 'NOTE_INVALID' END], lambda c: c IS NOT NULL)) AS code FROM v UNION ALL SELECT cityId::VARCHAR, 'VISIT_DUPLICATE' FROM v GROUP BY cityId HAVING count(*) > 1 UNION ALL SELECT NULL, 'TOO_MANY_VISITS' FROM v HAVING count(*) > 10000")
+def v16(spark, d):
+    """A backup of visits to all rows of the gazetteer, some with faults of each kind, without boundaries."""
+    k = F.col("id")
+    stamp = lambda day: F.lit(f"2026-01-{day:02}T00:00:00.000Z")
+    v = table(spark, d, "city_summary").select(
+        k.alias("cityId"), F.when(k % 11 == 0, "2026-01-01").otherwise(stamp(2)).alias("createdAt"), F.when(k % 7 == 0, stamp(1)).otherwise(stamp(3)).alias("updatedAt"),
+        F.when(k % 3 == 0, "2026-02-30").otherwise("2026-02").alias("visitedOn"), F.lit("month").alias("datePrecision"), F.expr("repeat('n', cast(id % 600 + 1 AS int))").alias("note"),
+    )
+    none = areas(spark, d).where(F.lit(False)).select(F.lit(1).cast("bigint").alias("cityId"), "geometry")
+    return visits.backup_codes(v, none)
