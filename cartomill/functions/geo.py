@@ -200,7 +200,7 @@ def problems(geometry: Column) -> Column:
         "GEOMETRY_EMPTY": (F.size(geometry) == 0) | F.exists(geometry, lambda p: p.isNull() | (F.size(p) == 0)),
         "RING_NOT_CLOSED": F.exists(sound, lambda r: (ends(r)[0]["x"] != ends(r)[1]["x"]) | (ends(r)[0]["y"] != ends(r)[1]["y"])),
         "RING_TOO_SHORT": F.exists(rings, short),
-        "RING_ZERO_AREA": F.exists(sound, lambda r: ring_area(unwrapped(r)) == 0),
+        "RING_ZERO_AREA": F.exists(sound, lambda r: ring_area(r) == 0),
     }
     found = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in checks.items()]), lambda x: x.isNotNull())
     return F.when(geometry.isNull(), F.array(F.lit("GEOMETRY_TYPE_INVALID"))).otherwise(found)
@@ -248,6 +248,23 @@ def unwrap(ring: np.ndarray) -> np.ndarray:
     return out
 
 
+BOX_TYPE = StructType([StructField(n, DoubleType()) for n in ("min_x", "min_y", "max_x", "max_y")])
+
+
+@arrow_udf(BOX_TYPE)
+def unwrapped_box(s: pa.Array) -> pa.Array:
+    """A12 without the jump of longitudes: the box of all rings, each followed the short way round; null for no point."""
+
+    def one(geometry):
+        rings = [unwrap(r) for p in geometry for r in p if len(r)]
+        if not rings:
+            return None
+        low, high = np.min([r.min(axis=0) for r in rings], axis=0), np.max([r.max(axis=0) for r in rings], axis=0)
+        return {"min_x": float(low[0]), "min_y": float(low[1]), "max_x": float(high[0]), "max_y": float(high[1])}
+
+    return _each(one, pa.struct([(n, pa.float64()) for n in ("min_x", "min_y", "max_x", "max_y")]), s)
+
+
 def clip(ring: np.ndarray, x: float, keep_right: bool) -> np.ndarray:
     """The part of a closed ring on one side of a meridian."""
     out = []

@@ -21,10 +21,8 @@ def overlap_candidates(areas: DataFrame, key: str = "areaId", geometry: str = "g
     most four cells of the grid level of its own size, and looked up under its cells of
     each coarser level that occurs, so that both joins are equi-joins on a cell.
     """
-    g = F.transform(geometry, lambda p: F.transform(p, geo.unwrapped))
-    boxed = areas.where(F.col(geometry).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), g.alias("g"))
-    b = geo.bounds(F.col("g"))
-    boxes = boxed.select("k", *[c.alias(n) for n, c in b.items()]).where("min_x IS NOT NULL AND min_y IS NOT NULL").dropDuplicates(["k"])
+    boxed = areas.where(F.col(geometry).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), geo.unwrapped_box(geometry).alias("b"))
+    boxes = boxed.select("k", "b.*").where("min_x IS NOT NULL AND min_y IS NOT NULL AND NOT isnan(min_x) AND NOT isnan(min_y)").dropDuplicates(["k"])
     # boxes are read by several branches below; computed once, they are five columns
     boxes = runtime.cut(boxes)
     # all boxes begin in -180..180; copies reach what lies a turn away
