@@ -68,22 +68,25 @@ def sample_rows(df: DataFrame, total: int, *cols: str) -> np.ndarray:
     return np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(cols))
 
 
-def spread(placed: DataFrame, weight: Column | None = None, most: int | None = None) -> DataFrame:
+def spread(placed: DataFrame, weight: Column | None = None, most: int | None = None, block: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Rows with the ``task`` they meet in: a cell, or a pair of blocks of a heavy one.
 
     placed: ``cell``, ``key``, ``asks`` and ``answers``; a row may do both. Every asking
     row of a cell meets every answering one in exactly one task. A cell is heavy with
-    more than BLOCK rows of a side, or more than ``most`` of the weight that answers.
+    more than ``block`` (BLOCK) rows of a side, or more than ``most`` of the weight that
+    answers. counted: ``cell``, ``asks`` and ``answers`` of at least these rows, where
+    they are cheaper to count than ``placed``.
     """
+    block, most = block or BLOCK, most or max(BLOCK_POINTS, block or 0)
     w = F.lit(1) if weight is None else weight
     asking, answering = F.count_if("asks"), F.count_if("answers")
     load = F.sum(F.when(F.col("answers"), w).otherwise(0))
-    heavy = placed.groupBy("cell").agg(asking.alias("a"), answering.alias("b"), load.alias("w")).where(
-        (F.col("a") > BLOCK) | (F.col("b") > BLOCK) | (F.col("w") > (most or BLOCK_POINTS))
+    heavy = (placed if counted is None else counted).groupBy("cell").agg(asking.alias("a"), answering.alias("b"), load.alias("w")).where(
+        (F.col("a") > block) | (F.col("b") > block) | (F.col("w") > most)
     ).collect()  # one row a heavy cell
     if not heavy:
         return placed.withColumn("task", F.concat_ws("/", F.col("cell").cast("string"), F.lit("0"), F.lit("0")))
-    parts = {r.cell: (max(1, -(-r.a // BLOCK)), max(1, -(-r.b // BLOCK), -(-int(r.w) // (most or BLOCK_POINTS)))) for r in heavy}
+    parts = {r.cell: (max(1, -(-r.a // block)), max(1, -(-r.b // block), -(-int(r.w) // most))) for r in heavy}
     n = [F.coalesce(F.create_map(*[F.lit(x) for c, v in parts.items() for x in (c, v[i])])[F.col("cell")], F.lit(1)) for i in (0, 1)]
     own = [F.pmod(F.xxhash64("key", F.lit(5)), n[i]).cast("int") for i in (0, 1)]
     single = (n[0] == 1) & (n[1] == 1)

@@ -171,3 +171,38 @@ def test_confidence_is_calibrated(spark):
         assert len(values) < 8 or right >= said - 0.15, (said, right, len(values))
     sure = [ok for c, ok in bins[3]]
     assert len(sure) > 80 and np.mean(sure) > 0.95
+
+
+def test_filed_vectors_against_brute_force():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 13))) for _ in range(300)]
+    words += [w[:2] + "x" + w[3:] for w in words[:100]] + ["", "a", "ab cd", "东京", "东北", "京", "东京 ab"]
+    v = [em.vector(w) for w in words]
+    lo, hi = em.vectors_of(words)
+    assert list(zip(lo.tolist(), hi.tolist())) == v
+    bits = [x[0] | x[1] << 64 for x in v]
+    a, b = em.Filed(lo, hi).pairs(lo, hi)
+    exp = {(i, j) for i in range(len(v)) for j in range(len(v)) if (bits[i] ^ bits[j]).bit_count() <= em.FAR_BITS}
+    assert set(zip(a.tolist(), b.tolist())) == exp and len(a) == len(exp)
+    assert len(em.Filed(lo[:0], hi[:0]).pairs(lo, hi)[0]) == len(em.Filed(lo, hi).pairs(lo[:0], hi[:0])[0]) == 0
+
+
+def test_a_common_name_without_a_place_sends_two_cities(spark):
+    """Sixty cities and forty records of one name: each record gets the two cities of least id, not all sixty."""
+    cities = [(i, "Gemork", "Gemork", None, None, "AA", None, None) for i in range(60)] + [(60 + i, f"Gemor{chr(97 + i)}", f"Gemor{chr(97 + i)}", None, None, "AA", None, None) for i in range(9)]
+    candidates = [(str(i), "Gemork", None, "AA", None) for i in range(40)]
+    rows = em.forms(*tables(spark, cities, candidates, [])).dropDuplicates(["side", "key", "form"])
+    pairs = em._by_country(rows.where("side = 1").drop("located"), rows.where("side = 0").drop("located")).collect()
+    assert sorted((r.other, r.city) for r in pairs) == sorted((str(i), c) for i in range(40) for c in "01")
+
+
+def test_near_pairs_are_the_same_by_place_and_by_name(spark, monkeypatch):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice(["ka", "ri", "mo", "tel"]) for _ in range(3)).title()
+    cities = [(i, n := name(), n, None, None, "AA", rng.uniform(0, 0.2), rng.choice([-1, 1]) * rng.uniform(179.9, 180)) for i in range(60)]
+    candidates = [(str(i), name(), None, "AA", square(c[7], c[6], 0.0)) for i, c in enumerate(cities)]
+    rows = em.forms(*tables(spark, cities, candidates, [])).toPandas()
+    few = em._near(rows).sort_values(["other", "city"]).reset_index(drop=True)
+    monkeypatch.setattr(em, "CROWD", -1)
+    crowded = em._near(rows).sort_values(["other", "city"]).reset_index(drop=True)
+    assert len(few) > 30 and few.equals(crowded)
